@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontam import OP7_SQL, op7_benchmark_containment
 from .langid import op2_ppm_language
 from .licenses import OP5_SQL, op5_license_digest
+from .linededup import OP4_SQL, op4_line_runs
+from .packing import op6_vector_packing
 from .sharding import op3_two_pass_shuffle
 from .urlfilter import OP10_SQL, op10_url_filter
 
@@ -11,6 +14,9 @@ QUERIES = {
     "op2_ppm_language": op2_ppm_language,
     "op3_two_pass_shuffle": op3_two_pass_shuffle,
     "op5_license_digest": op5_license_digest,
+    "op6_vector_packing": op6_vector_packing,
+    "op4_line_runs": op4_line_runs,
+    "op7_benchmark_containment": op7_benchmark_containment,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}
+SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}
