@@ -8,9 +8,11 @@ from .licenses import OP5_SQL, op5_license_digest
 from .linededup import OP4_SQL, op4_line_runs
 from .packing import op6_vector_packing
 from .sharding import op3_two_pass_shuffle
+from .simhash import op1_simhash
 from .urlfilter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_ppm_language": op2_ppm_language,
     "op3_two_pass_shuffle": op3_two_pass_shuffle,
     "op5_license_digest": op5_license_digest,
