@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_inverted_multi_index
 from .decontam import OP7_SQL, op7_benchmark_containment
 from .langid import op2_ppm_language
 from .licenses import OP5_SQL, op5_license_digest
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_vector_packing": op6_vector_packing,
     "op4_line_runs": op4_line_runs,
     "op7_benchmark_containment": op7_benchmark_containment,
+    "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_url_filter": op10_url_filter,
 }
 SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}
