@@ -109,15 +109,17 @@ def link_components(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
         raise ValueError("segments and crowds are laid out for links of 4 bits")
     variants = _variants(fps)
     groups = materialize(variants.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.fp").alias("pivot"), "c"), "variants")
-    shared = materialize(variants.join(groups, "key"), "members")
-    stars = shared.where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-    crowded = shared.where(F.col("c") > crowd).select("fp").distinct()
-    if groups.where(F.col("c") > crowd).limit(1).count():
-        stars = stars.union(_crowd_links(crowded))
+    stars = variants.join(groups, "key").where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    crowds = groups.where(F.col("c") > crowd).select("key")
+    crowded = crowds.limit(1).count() > 0
+    if crowded:
+        stars = stars.union(_crowd_links(variants.join(crowds, "key", "left_semi").select("fp").distinct()))
     first = materialize(connected_components(stars), "components")
-    rest = shared.where(F.col("c") <= crowd).select("fp", "w", "key").join(first, F.col("fp") == F.col("node"), "left").select("fp", "w", "key", F.coalesce("root", "fp").alias("root"))
-    rest = materialize(rest, "labelled")
-    a, b = rest.select("key", "w", F.col("fp").alias("a"), F.col("root").alias("u")), rest.select("key", F.col("fp").alias("b"), F.col("root").alias("v"))
+    labelled = materialize(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "labelled")
+    members = _variants(labelled)
+    if crowded:
+        members = members.join(crowds, "key", "left_anti")
+    a, b = members.select("key", "w", F.col("fp").alias("a"), F.col("root").alias("u")), members.select("key", F.col("fp").alias("b"), F.col("root").alias("v"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & (F.bit_count(x) <= distance) & _first_variant(x, F.col("w")))
     second = materialize(connected_components(pairs.select("u", "v")), "components")
