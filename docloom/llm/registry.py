@@ -10,6 +10,7 @@ from .linededup import OP4_SQL, op4_line_runs
 from .packing import op6_vector_packing
 from .sharding import op3_two_pass_shuffle
 from .simhash import op1_simhash
+from .suffixdedup import op8_suffix_dedup
 from .urlfilter import OP10_SQL, op10_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_line_runs": op4_line_runs,
     "op7_benchmark_containment": op7_benchmark_containment,
     "op9_inverted_multi_index": op9_inverted_multi_index,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}
