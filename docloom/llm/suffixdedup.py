@@ -31,11 +31,13 @@ from .common import materialize, table, text_key
 from .gsaca import common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 BUCKET_BYTES = 3_000_000
 TEXT_BYTES = 8_000_000
 #: Bytes that are searched for anchors at once; positions in a block take 24 bits.
 BLOCK = 1 << 22
+#: Strings that are hashed at once.
+_STRINGS = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,13 +46,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of b[i : i + GRAM] for each i, by doubling."""
-    h, width, p = b.astype(np.uint64) + np.uint64(1), 1, _ODD
-    while width < GRAM:
-        with np.errstate(over="ignore"):
+def _hashes(b: np.ndarray, length: int) -> np.ndarray:
+    """Hash of b[i : i + length] for each i, from hashes of lengths that double."""
+    with np.errstate(over="ignore"):
+        h, p, width = b.astype(np.uint64) + np.uint64(1), _ODD, 1
+        full, have = (h, 1) if length & 1 else (None, 0)
+        while 2 * width <= length:
             h, p, width = h[:-width] * p + h[width:], p * p, 2 * width
-    return _mix(h)
+            if length & width:
+                full, have = (h, width) if full is None else (full[: len(b) - have - width + 1] * p + h[have:], have + width)
+        return _mix(full)
 
 
 def entries(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +63,7 @@ def entries(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     w = LENGTH - GRAM + 1
     if len(b) < LENGTH:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
-    h = _gram_hashes(b)
+    h = _hashes(b, GRAM)
     m = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= w:
@@ -136,18 +141,10 @@ def _emit(buckets: int):
 
 def _by_windows(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A class number for each string b[at : at + LENGTH]."""
-    h = b.astype(np.uint64) + np.uint64(1)
-    powers, width, wide = {1: h}, 1, {1: _ODD}
-    while 2 * width <= LENGTH:
-        powers[2 * width] = powers[width][:-width] * wide[width] + powers[width][width:]
-        with np.errstate(over="ignore"):
-            wide[2 * width] = wide[width] * wide[width]
-        width *= 2
-    full, have = powers[width], width
-    for k in sorted(powers, reverse=True):
-        if have + k <= LENGTH:
-            full, have = full[: len(b) - have - k + 1] * wide[k] + powers[k][have : have + len(b) - have - k + 1], have + k
-    key = _mix(full)[at]
+    key = np.empty(len(at), dtype=np.uint64)
+    for lo in range(0, len(at), _STRINGS):
+        part = at[lo : lo + _STRINGS]
+        key[lo : lo + _STRINGS] = _hashes(b[part[0] : part[-1] + LENGTH], LENGTH)[part - part[0]]
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     number = np.empty(len(at), dtype=np.int64)
