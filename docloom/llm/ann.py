@@ -8,7 +8,7 @@ Largest inner product becomes least distance by one more component, sqrt(M**2 -
 queries), which only steers the walk. The directory of cells holds at most ``MAX_CODES`` ** 2 counts.
 
 A cell is stored in units of at most about ``UNIT_ROWS`` rows, so copies of one vector do not meet in one task; units are dealt over
-shards of about ``SHARD_ROWS`` rows, and each shard meets the queries that visit it, ``QUERY_BLOCK`` at a time, in one Python call that
+shards of about ``SHARD_ROWS`` rows, and each shard meets the queries that visit it, a row for each with the units it visits there, ``QUERY_BLOCK`` at a time, in one Python call that
 returns at most k rows per query.
 
 Defined results: vectors that are null, empty, of another length than most, all zero, or that hold a null or non-finite component take no part, as
@@ -139,8 +139,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
         c = cell.to_numpy()
         return pd.Series(first.ravel()[c] + (h.to_numpy().view(np.uint64) % parts.ravel()[c].astype(np.uint64)).astype(np.int64))
 
-    shard = F.pmod(F.xxhash64("unit"), F.lit(n_shards))
-    stored = index.select("vec_id", "v", unit_of("cell", F.xxhash64("vec_id")).alias("unit")).withColumn("shard", shard)
+    stored = index.select("vec_id", "v", unit_of("cell", F.xxhash64("vec_id")).alias("unit")).withColumn("shard", F.col("unit") % n_shards)
 
     def visits(batches):
         held, parts, first = plan.value
@@ -152,11 +151,12 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
             da, db = _square_distances(a, books.value[0]), _square_distances(b, books.value[1])
             for i in range(len(pdf)):
                 cells = walk(da[i], db[i], held, want)
-                units = [int(first.ravel()[c]) + p for c in cells for p in range(parts.ravel()[c])]
-                yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "unit": units})
+                units = np.array([int(first.ravel()[c]) + p for c in cells for p in range(parts.ravel()[c])], dtype=np.int64)
+                shards = units % n_shards
+                own = np.unique(shards)
+                yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "shard": own, "units": [units[shards == k] for k in own]})
 
-    visited = index.where("q").select("vec_id", "v").mapInPandas(visits, "query_id long, unit long")
-    per_shard = visited.withColumn("shard", shard).groupBy("shard", "query_id").agg(F.collect_list("unit").alias("units"))
+    per_shard = index.where("q").select("vec_id", "v").mapInPandas(visits, "query_id long, shard long, units array<long>")
     n_blocks = max(1, -(-index.where("q").count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks))
     asked = per_shard.join(index.where("q").select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("block", block)
