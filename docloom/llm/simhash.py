@@ -107,9 +107,10 @@ def link_components(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
     """fps: (fp, n) with distinct fp. Returns (fp, root) for those with a link."""
     if distance != DISTANCE:
         raise ValueError("segments and crowds are laid out for links of 4 bits")
+    # Spark takes an exploded table for as small as what it is made of, so the joins on variants are told not to broadcast it
     variants = _variants(fps)
     groups = materialize(variants.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.fp").alias("pivot"), "c"), "variants")
-    stars = variants.join(groups, "key").where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    stars = variants.join(groups.hint("merge"), "key").where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), distance)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     crowds = groups.where(F.col("c") > crowd).select("key")
     crowded = crowds.limit(1).count() > 0
     if crowded:
@@ -121,7 +122,7 @@ def link_components(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
         members = members.join(crowds, "key", "left_anti")
     a, b = members.select("key", "w", F.col("fp").alias("a"), F.col("root").alias("u")), members.select("key", F.col("fp").alias("b"), F.col("root").alias("v"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & (F.bit_count(x) <= distance) & _first_variant(x, F.col("w")))
+    pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & (F.bit_count(x) <= distance) & _first_variant(x, F.col("w")))
     second = materialize(connected_components(pairs.select("u", "v")), "components")
     joined = first.select(F.col("node").alias("fp"), F.col("root").alias("r")).join(second.select(F.col("node").alias("r"), F.col("root").alias("r2")), "r", "left").select("fp", F.coalesce("r2", "r").alias("root"))
     alone = second.select(F.col("node").alias("fp"), "root").join(first.select(F.col("node").alias("fp")), "fp", "left_anti")
