@@ -2,6 +2,89 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docloom.functions.text import is_refusal, quality, strip_reasoning
+from docloom.operators.keywords import bm25, distinctive_words
+from docloom.operators.paired import kappa, mcnemar, transitions
+from docloom.operators.similarity import group_gap
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def similarity_gap(spark, d):
+    return group_gap(_t(spark, d, "embeddings"), "embedding", "label")
+
+
+def keywords_distinctive(spark, d):
+    return distinctive_words(_t(spark, d, "documents"), "lang", "text")
+
+
+def retrieval_bm25(spark, d):
+    return bm25(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def category_top3(spark, d):
+    n = _t(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "source"))).where("rank <= 3")
+
+
+def documents_left_labels(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+def duplicate_content(spark, d):
+    h = _t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return h.join(h.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1"), "sha256").select("doc_id", "sha256", "copies", "first_id")
+
+
+def text_quality(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.round(quality(F.col("text")), 6).alias("quality"))
+
+
+def conversation_flags(spark, d):
+    c = _t(spark, d, "conversations")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_refusal(F.col("text"))).alias("refusals"), F.count_if(strip_reasoning(F.col("text")) != F.trim("text")).alias("leaks"))
+
+
+def paired_mcnemar(spark, d):
+    return mcnemar(_t(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+
+
+def paired_kappa(spark, d):
+    return kappa(_t(spark, d, "labels"), F.col("quality"), F.col("toxic"))
+
+
+def paired_transitions(spark, d):
+    return transitions(_t(spark, d, "labels"), F.col("quality"), F.col("toxic"))
+
+
+FLAGSHIP = "keywords_distinctive"
+QUERIES = {f.__name__: f for f in (similarity_gap, keywords_distinctive, retrieval_bm25, category_top3, documents_left_labels, duplicate_content, text_quality, conversation_flags, paired_mcnemar, paired_kappa, paired_transitions)}
+
+_W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"
+SQL = {
+    "similarity_gap": """WITH p AS (SELECT a.label = b.label AS same, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT count(*) FILTER (WHERE same) AS intra_n, count(*) FILTER (WHERE NOT same) AS inter_n, round(avg(s) FILTER (WHERE same), 6) AS intra_mean, round(avg(s) FILTER (WHERE NOT same), 6) AS inter_mean, round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) AS gap FROM p""",
+    "keywords_distinctive": f"""WITH tf AS (SELECT grp, keyword, count(*) AS freq FROM (SELECT lang AS grp, unnest({_W}) AS keyword FROM documents) GROUP BY 1, 2),
+s AS (SELECT grp, keyword, freq, round((freq / sum(freq) OVER (PARTITION BY grp)) / (sum(freq) OVER (PARTITION BY keyword) / sum(freq) OVER ()), 3) AS score FROM tf),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, freq DESC, keyword) AS rank FROM s WHERE freq >= 3)
+SELECT grp, rank::INT AS rank, keyword, freq, score FROM r WHERE rank <= 20""",
+    "retrieval_bm25": f"""WITH w AS (SELECT doc_id AS id, {_W} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
+p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_W}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term), st GROUP BY 1, 2)
+SELECT query_id, rank::INT AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""",
+    "category_top3": "SELECT lang, source, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS rank FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE rank <= 3",
+    "documents_left_labels": "SELECT doc_id, lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
+    "duplicate_content": "SELECT doc_id, sha256, copies, first_id FROM (SELECT doc_id, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS copies, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE copies > 1",
+    "paired_mcnemar": "SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 ELSE (abs(b - c) - 1) ** 2 / (b + c) END, 6) AS statistic FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS c FROM labels)",
+    "paired_transitions": "SELECT coalesce(quality::VARCHAR, 'NULL') AS label_off, coalesce(toxic::VARCHAR, 'NULL') AS label_on, count(*) AS n FROM labels GROUP BY 1, 2",
+    "conversation_flags": """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), 'i cannot|i can''t|i''m sorry|as an ai|unable to')) AS refusals,
+count(*) FILTER (WHERE trim(split_part(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '<think>', 1)) <> trim(text)) AS leaks FROM conversations GROUP BY 1""",
+    "paired_kappa": "SELECT n, round((same / n - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, (count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE toxic = 1) + count(*) FILTER (WHERE quality = 0) * count(*) FILTER (WHERE toxic = 0)) / (count(*) * count(*)) AS pe FROM labels)",
+}
