@@ -11,6 +11,12 @@ enough, components are taken of these, and the pair join then returns only links
 variant. A variant of more than ``CROWD`` fingerprints takes no part in the pair join: its members get a second exact index of all
 points within 2 bits; two fingerprints link exactly if they share such a point, and each point's members form a star.
 
+With ``similarity`` (keep_one_of_each), texts whose distinct shingles have that Jaccard similarity link too: at 0.8 they differ in
+about ten of 64 bits, which no selective segment of a SimHash survives. The same deletion-variant signatures then index a MinHash
+sketch, 6 segments of 5 values: two such texts differ by at most one value in at least one segment with probability 0.9997, so
+their texts meet under one of 30 variants, each with one value left out. Candidates are verified on whole shingle sets. Members of
+a variant are first compared with its pivot, then with each other where components still differ.
+
 Defined results: null or empty texts and those without words have fingerprint 0 and link to each other. Ids may repeat;
 component_id is the least non-null id. Texts of any length are hashed whole. Other columns are not read.
 """
@@ -34,38 +40,69 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWD = 20_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 15
+#: The MinHash sketch: so many segments of so many values.
+SKETCH = (6, 5)
+_XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, SKETCH[0] * SKETCH[1]), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit integer; bytes.split() cuts at exactly the six ASCII blanks."""
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, in blocks; bytes.split() cuts at exactly the six ASCII blanks."""
     from xxhash import xxh64_intdigest as digest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     if len(words) <= shingle:
-        return int(np.uint64(digest(b" ".join(words), SEED)).astype(np.int64))
+        yield np.array([digest(b" ".join(words), SEED)], dtype="<u8")
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
     ends = ends[shingle - 1 :]
-    n, ones = len(starts), np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _BLOCK):
-        h = np.array([digest(line[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist(), strict=True)], dtype="<u8")
+    for at in range(0, len(starts), _BLOCK):
+        yield np.array([digest(line[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit integer."""
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for h in _hashes(text, shingle):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0].astype(np.int64))
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0].astype(np.int64)) if n else 0
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with ``__fp``."""
+def _sketch(text: str | None, shingle: int) -> list[int] | None:
+    """MinHash values of the shingles; None without words."""
+    least = None
+    for h in _hashes(text, shingle):
+        for at in range(0, len(h), 1 << 12):
+            low = ((h[at : at + (1 << 12), None] ^ _XORS) * _FACTORS).min(axis=0)
+            least = low if least is None else np.minimum(least, low)
+    return None if least is None else least.view(np.int64).tolist()
+
+
+def _shingles(text: str | None, shingle: int) -> list[int]:
+    blocks = [np.unique(h) for h in _hashes(text, shingle)]
+    return np.unique(np.concatenate(blocks)).view(np.int64).tolist() if blocks else []
 
-    @F.pandas_udf("long")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _once(of, kind: str, shingle: int):
+    """A UDF of texts that works out each text once a batch."""
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             known: dict = {}
-            yield pd.Series([known[t] if t in known else known.setdefault(t, fingerprint(t, shingle)) for t in texts], dtype="int64")
+            yield pd.Series([known[t] if t in known else known.setdefault(t, of(t, shingle)) for t in texts], dtype="int64" if kind == "long" else object)
+
+    return run
 
-    return docs.withColumn("__fp", of(F.coalesce(F.col(text_col), F.lit(""))))
+
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs with ``__fp``."""
+
+    return docs.withColumn("__fp", _once(fingerprint, "long", shingle)(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _bits(fp, segment: int):
@@ -129,19 +166,65 @@ def link_components(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
     return joined.union(alone)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+def _sketch_keys(sketch):
+    segments, width = SKETCH
+    return F.array(*[F.xxhash64(F.lit(s * width + out), *[F.get(sketch, F.lit(s * width + i)) for i in range(width) if i != out]) for s in range(segments) for out in range(width)])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of pairs (a, b, u, v), a and b text keys, (u, v) of those whose texts are similar enough."""
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v")), "candidates")
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+    asked = texts.join(ends, "k", "left_semi").dropDuplicates(["k"])
+    sets = materialize(asked.select("k", _once(_shingles, "array<long>", shingle)(F.col("text")).alias("s")), "shingles")
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("u", "v")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    found = materialize(connected_components(links), "components").select(F.col("node").alias("root"), F.col("root").alias("r"))
+    return materialize(roots.join(found, "root", "left").select("fp", F.coalesce("r", "root").alias("root")), "roots")
+
+
+def similar_roots(texts: DataFrame, rows: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """roots (fp, root) of all fingerprints, joined further where texts are similar. texts: (k, text); rows: (k, fp, sketch)."""
+    keyed = materialize(rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches")
+    keyed = keyed.select("k", "fp", F.explode(_sketch_keys(F.col("sketch"))).alias("key"))
+    members = keyed.join(roots, "fp").select("key", "k", "root")
+    pivots = materialize(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("k").alias("o"), "k", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.col("p.k").alias("b"), F.col("p.root").alias("v")), "pivots")
+    stars = members.join(pivots.hint("merge"), "key").where("root <> v").select(F.col("k").alias("a"), "b", F.col("root").alias("u"), "v")
+    roots = _joined(roots, _verified(stars, texts, similarity, shingle))
+    members = keyed.join(pivots.select("key"), "key", "left_semi").join(roots, "fp").select("key", "k", "root")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = materialize(members.join(mixed, "key", "left_semi").join(pivots.select("key", F.col("b").alias("k")), ["key", "k"], "left_anti"), "members")
+    other = members.select("key", F.col("k").alias("b"), F.col("root").alias("v"))
+    pairs = members.select("key", F.col("k").alias("a"), F.col("root").alias("u")).join(other.hint("merge"), "key").where("a < b and u <> v").select("a", "b", "u", "v")
+    return _joined(roots, _verified(pairs, texts, similarity, shingle))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
     """(id, k, fp, first) for each row; k: digest of the text; first: (no_id, id, k) of the group's first document."""
-    rows = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text", shingle).select("id", text_key(F.col("__text")).alias("k"), F.col("__fp").alias("fp")), "fingerprints")
+    texts = docs.select(text_key(F.col(text_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    if similarity is not None:
+        named = named.withColumn("sketch", _once(_sketch, "array<long>", shingle)(F.col("__text")))
+    sketches = ["sketch"] if similarity is not None else []
+    rows = materialize(fingerprints(named, "__text", shingle).select("id", text_key(F.col("__text")).alias("k"), F.col("__fp").alias("fp"), *sketches), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("first")), "distinct")
     roots = materialize(link_components(fps.select("fp", "n"), distance, crowd), "roots")
+    if similarity is not None:
+        every = materialize(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+        roots = similar_roots(texts, rows.select("k", "fp", "sketch"), every, similarity, shingle)
+        rows = rows.drop("sketch")
     labelled = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("first"))
     return rows.join(labelled.select("fp", "root").join(firsts, "root").select("fp", "first"), "fp")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = DISTANCE, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs, all columns, that come first in their group: one row of each group."""
-    groups = materialize(near_duplicate_groups(docs, id_col, text_col, shingle, distance), "groups")
+    groups = materialize(near_duplicate_groups(docs, id_col, text_col, shingle, distance, similarity=similarity), "groups")
     first = groups.where(F.struct(F.col("id").isNull().alias("no_id"), "id", "k") == F.col("first")).groupBy("id", "k").agg(F.count(F.lit(1)).alias("n"))
     first = materialize(first.select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.col("n").alias("__n")), "first")
     kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")) & (text_key(docs[text_col]) == F.col("__k")), "left_semi")

@@ -164,3 +164,30 @@ def test_urls(spark):
     urls = ["http://A.net/x", "http://example.net/en/1?u", "http://notexample.com/de/", "http://www.example.com/de/#f", "http://net", None, "no scheme", "http://x.org/fr/y", "http://x.org?q=/fr/"]
     out = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert out == {0: ("net/", "block"), 1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("example.com/de/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("org/fr/", "allow"), 8: (None, "allow")}
+
+
+def test_similar_texts_join_exactly(spark):
+    r, texts = random.Random(9), []
+    for g in range(12):
+        base = prose(100 + g, 80).split()
+        for _ in range(8):
+            w = list(base)
+            for at in r.sample(range(80), r.randint(0, 4)):
+                w[at] = "changed%d" % r.randint(0, 99)
+            texts.append((len(texts) + 10, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t in texts}
+    bits = {i: simhash.fingerprint(t, 5) for i, t in texts}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 or ((bits[a] ^ bits[b]) & (2**64 - 1)).bit_count() <= 4):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    kept = simhash.keep_one_of_each(docs(spark, texts)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i in sets if find(i) == i)
