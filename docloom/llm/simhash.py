@@ -14,8 +14,9 @@ points within 2 bits; two fingerprints link exactly if they share such a point,
 With ``similarity`` (keep_one_of_each), texts whose distinct shingles have that Jaccard similarity link too: at 0.8 they differ in
 about ten of 64 bits, which no selective segment of a SimHash survives. The same deletion-variant signatures then index a MinHash
 sketch, 6 segments of 5 values: two such texts differ by at most one value in at least one segment with probability 0.9997, so
-their texts meet under one of 30 variants, each with one value left out. Candidates are verified on whole shingle sets. Members of
-a variant are first compared with its pivot, then with each other where components still differ.
+their texts meet under one of 30 variants, each with one value left out. Candidates are verified on whole shingle sets. Members of a
+variant are compared with its pivot, three times with other pivots, and up to ``PAIRED`` members with each other where components
+still differ. In a larger variant, a text that is similar to none of the pivots, under any of its 30 variants, stays apart.
 
 Defined results: null or empty texts and those without words have fingerprint 0 and link to each other. Ids may repeat;
 component_id is the least non-null id. Texts of any length are hashed whole. Other columns are not read.
@@ -42,6 +43,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 1 << 15
 #: The MinHash sketch: so many segments of so many values.
 SKETCH = (6, 5)
+#: Times that pivots are chosen, and the most members of a variant that are compared with each other as well.
+TURNS, PAIRED = 3, 32
 _XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, SKETCH[0] * SKETCH[1]), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
 
@@ -191,13 +194,18 @@ def similar_roots(texts: DataFrame, rows: DataFrame, roots: DataFrame, similarit
     """roots (fp, root) of all fingerprints, joined further where texts are similar. texts: (k, text); rows: (k, fp, sketch)."""
     keyed = materialize(rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches")
     keyed = keyed.select("k", "fp", F.explode(_sketch_keys(F.col("sketch"))).alias("key"))
-    members = keyed.join(roots, "fp").select("key", "k", "root")
-    pivots = materialize(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("k").alias("o"), "k", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.col("p.k").alias("b"), F.col("p.root").alias("v")), "pivots")
-    stars = members.join(pivots.hint("merge"), "key").where("root <> v").select(F.col("k").alias("a"), "b", F.col("root").alias("u"), "v")
-    roots = _joined(roots, _verified(stars, texts, similarity, shingle))
-    members = keyed.join(pivots.select("key"), "key", "left_semi").join(roots, "fp").select("key", "k", "root")
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = materialize(members.join(mixed, "key", "left_semi").join(pivots.select("key", F.col("b").alias("k")), ["key", "k"], "left_anti"), "members")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = materialize(keyed.join(counts.hint("merge"), "key"), "variants")
+    # the text that meets most others is in the middle of its group, so most of the group links to it
+    met = met.join(met.groupBy("k").agg(F.sum("c").alias("met")), "k")
+    for turn in range(TURNS):
+        members = met.join(roots, "fp").select("key", "k", "root", "met", "c")
+        order = F.struct(-F.col("met"), F.xxhash64("k"), "k", "root") if turn == 0 else F.struct(F.lit(0).cast("long"), F.xxhash64("key", "k", F.lit(turn)), "k", "root")
+        mixed = members.groupBy("key").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        pivots = materialize(mixed.select("key", F.col("p.k").alias("b"), F.col("p.root").alias("v")), "pivots")
+        stars = members.join(pivots.hint("merge"), "key").where("root <> v").select(F.col("k").alias("a"), "b", F.col("root").alias("u"), "v")
+        roots = _joined(roots, _verified(stars, texts, similarity, shingle))
+    members = materialize(met.where(F.col("c") <= PAIRED).join(roots, "fp").select("key", "k", "root"), "members")
     other = members.select("key", F.col("k").alias("b"), F.col("root").alias("v"))
     pairs = members.select("key", F.col("k").alias("a"), F.col("root").alias("u")).join(other.hint("merge"), "key").where("a < b and u <> v").select("a", "b", "u", "v")
     return _joined(roots, _verified(pairs, texts, similarity, shingle))
