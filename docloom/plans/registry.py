@@ -9,6 +9,7 @@ from docloom.functions.text import is_refusal, quality, strip_reasoning
 from docloom.operators.keywords import bm25, distinctive_words
 from docloom.operators.paired import kappa, mcnemar, transitions
 from docloom.operators.similarity import group_gap
+from docloom.operators.tables import js_distance, last_before, pivot_counts, representatives, rollup_rates, segments
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +64,60 @@ def paired_transitions(spark, d):
     return transitions(_t(spark, d, "labels"), F.col("quality"), F.col("toxic"))
 
 
+def compliance_rollup(spark, d):
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
+    return rollup_rates(docs, ["lang", "source"], F.col("quality") == 1)
+
+
+def label_pivot(spark, d):
+    return pivot_counts(_t(spark, d, "documents"), "source", "lang", ["de", "en", "es", "fr"])
+
+
+def segment_bounds(spark, d):
+    c = segments(_t(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user")
+    return c.groupBy("conv_id", "segment").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+def asof_label_rows(spark, d):
+    e = last_before(_t(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_id"), F.col("event_type") == "click", "click_id")
+    return e.where("event_type <> 'click'").select("event_id", "click_id")
+
+
+def label_representatives(spark, d):
+    return representatives(_t(spark, d, "embeddings"), "vec_id", "label", "embedding")
+
+
+def quality_source_distance(spark, d):
+    return js_distance(_t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id"), "source", F.col("quality") == 1)
+
+
+def json_props(spark, d):
+    k = F.from_json("props", "k long").getField("k")
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.min(k).alias("least"), F.max(k).alias("most"))
+
+
+def first_n_per_group(spark, d):
+    r = _t(spark, d, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    return r.where("rank <= 3")
+
+
 FLAGSHIP = "keywords_distinctive"
-QUERIES = {f.__name__: f for f in (similarity_gap, keywords_distinctive, retrieval_bm25, category_top3, documents_left_labels, duplicate_content, text_quality, conversation_flags, paired_mcnemar, paired_kappa, paired_transitions)}
+QUERIES = {f.__name__: f for f in (similarity_gap, keywords_distinctive, retrieval_bm25, category_top3, documents_left_labels, duplicate_content, text_quality, conversation_flags, paired_mcnemar, paired_kappa, paired_transitions, compliance_rollup, label_pivot, segment_bounds, asof_label_rows, label_representatives, quality_source_distance, json_props, first_n_per_group)}
 
 _W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"
 SQL = {
+    "compliance_rollup": "SELECT lang, source, n, passed, round(passed / n, 6) AS rate FROM (SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source))",
+    "label_pivot": "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY 1",
+    "segment_bounds": "SELECT conv_id, segment, min(turn) AS first_turn, max(turn) AS last_turn FROM (SELECT *, (count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM conversations) GROUP BY 1, 2",
+    "asof_label_rows": "SELECT event_id, click_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS click_id FROM events) WHERE event_type <> 'click'",
+    "label_representatives": """WITH l AS (SELECT vec_id AS id, label AS grp, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT grp, d, avg(x) AS m FROM l GROUP BY 1, 2),
+c AS (SELECT grp, id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS cosine FROM l JOIN m USING (grp, d) GROUP BY 1, 2)
+SELECT grp, rank::INT AS rank, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cosine DESC, id) AS rank FROM c) WHERE rank <= 2""",
+    "quality_source_distance": """WITH n AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS a, count(*) FILTER (WHERE quality <> 1) AS b FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+p AS (SELECT a / (SELECT sum(a) FROM n) AS p, b / (SELECT sum(b) FROM n) AS q FROM n)
+SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 6) AS distance FROM p""",
+    "json_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY 1",
+    "first_n_per_group": "SELECT source, doc_id, rank::INT AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3",
     "similarity_gap": """WITH p AS (SELECT a.label = b.label AS same, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
 SELECT count(*) FILTER (WHERE same) AS intra_n, count(*) FILTER (WHERE NOT same) AS inter_n, round(avg(s) FILTER (WHERE same), 6) AS intra_mean, round(avg(s) FILTER (WHERE NOT same), 6) AS inter_mean, round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) AS gap FROM p""",
     "keywords_distinctive": f"""WITH tf AS (SELECT grp, keyword, count(*) AS freq FROM (SELECT lang AS grp, unnest({_W}) AS keyword FROM documents) GROUP BY 1, 2),
