@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +33,38 @@ def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def transitions(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.groupBy(F.coalesce(a.cast("string"), F.lit("NULL")).alias("label_off"), F.coalesce(b.cast("string"), F.lit("NULL")).alias("label_on")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def wilcoxon(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(n, w_plus, w_minus, z): signed ranks of the differences that aren't 0, ties at their mean rank, z corrected for ties.
+
+    Ranks come from counts of distinct differences, so only those are ordered.
+    """
+    d = df.select((a - b).cast("double").alias("d")).where("d <> 0")
+    sizes = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    below = F.sum("k").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = sizes.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("k") + 1) / 2)
+    k = F.col("k").cast("double")
+    one = ranked.agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(k * k * k - k).alias("ties"))
+    n = F.col("n").cast("double")
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return one.select("n", "w_plus", "w_minus", F.round(z, 6).alias("z"))
+
+
+def bootstrap_mean(df: DataFrame, value: Column, resamples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """One row (n, mean, low, high): percentile interval of the mean.
+
+    A resample of rows is a multinomial draw over the distinct values, so values are counted first and each resample draws counts.
+    Values should have few distinct levels (labels, differences of labels). Nulls take no part; without values all but n is null.
+    """
+    counts = df.select(value.cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("x")
+        n = int(f.k.sum())
+        means = np.random.default_rng(seed).multinomial(n, f.k / n, resamples) @ f.x.to_numpy() / n
+        low, high = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
+        return pd.DataFrame({"n": [n], "mean": [float((f.x * f.k).sum() / n)], "low": [low], "high": [high]})
+
+    out = counts.groupBy(F.lit(0).alias("g")).applyInPandas(run, "n long, mean double, low double, high double")
+    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("mean").alias("mean"), F.max("low").alias("low"), F.max("high").alias("high"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+TASKS = 20_000
 #: Scores are ranked as rounded to so many decimals, ties to the smaller ids, so that the order of summation doesn't matter.
 DECIMALS = 6
 
@@ -36,7 +37,9 @@ def pair_map(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, r
                 valid = ia[:, None] < ib[None, :] if r.lo == r.hi else np.ones(scores.shape, bool)
                 yield report(ia, ga, ib, gb, scores, valid)
 
-    return a.join(b, ["lo", "hi"]).repartition("lo", "hi").mapInPandas(run, schema)
+    # few pairs of blocks a task, as Arrow batches are counted in rows and a row holds two blocks
+    tasks = min(blocks * (blocks + 1) // 2, TASKS)
+    return a.join(b, ["lo", "hi"]).repartition(tasks, "lo", "hi").mapInPandas(run, schema)
 
 
 def _pairs(ia, ib, s, rows, cols) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from docloom.operators.keywords import bm25, distinctive_words
 from docloom.operators.paired import kappa, mcnemar, transitions
 from docloom.operators.similarity import group_gap
 from docloom.operators.tables import js_distance, last_before, pivot_counts, representatives, rollup_rates, segments
-from docloom.plans import pairs, reports
+from docloom.plans import pairs, passages, reports
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,3 +143,5 @@ count(*) FILTER (WHERE trim(split_part(regexp_replace(text, '(?s)<think>.*?</thi
 for _module in (pairs, reports):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
+QUERIES |= passages.QUERIES
+SQL |= passages.sql(SQL["split_sentences"])
