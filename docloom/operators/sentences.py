@@ -34,7 +34,8 @@ def blank_run(c: Column) -> Column:
 
 def latin_ratio(c: Column) -> Column:
     """Share of A-Z and a-z among letters; null without letters."""
-    return F.regexp_count(c, F.lit("[A-Za-z]")) / F.nullif(F.regexp_count(c, F.lit("\\p{L}")), F.lit(0))
+    # runs of what isn't counted are far fewer matches than letters
+    return F.length(F.regexp_replace(c, "[^A-Za-z]+", "")) / F.nullif(F.length(F.regexp_replace(c, "[^\\p{L}]+", "")), F.lit(0))
 
 
 def excerpt(c: Column, n: int) -> Column:
