@@ -16,7 +16,9 @@ about ten of 64 bits, which no selective segment of a SimHash survives. The same
 sketch, 6 segments of 5 values: two such texts differ by at most one value in at least one segment with probability 0.9997, so
 their texts meet under one of 30 variants, each with one value left out. Candidates are verified on whole shingle sets. Members of a
 variant are compared with its pivot, three times with other pivots, and up to ``PAIRED`` members with each other where components
-still differ. In a larger variant, a text that is similar to none of the pivots, under any of its 30 variants, stays apart.
+still differ. Texts of larger variants whose components still differ get a further exact key: with a text's shingles in order of
+rarity, two similar texts share one of the first size - ceil(similarity * size) + 1, and what is left of both after the first one
+they share must be enough. No pair that meets in a variant and is similar enough is left out.
 
 Defined results: null or empty texts and those without words have fingerprint 0 and link to each other. Ids may repeat;
 component_id is the least non-null id. Texts of any length are hashed whole. Other columns are not read.
@@ -43,7 +45,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 1 << 15
 #: The MinHash sketch: so many segments of so many values.
 SKETCH = (6, 5)
-#: Times that pivots are chosen, and the most members of a variant that are compared with each other as well.
+#: Times that pivots are chosen, and the most members of a variant that are compared with each other directly; larger ones are by prefixes.
 TURNS, PAIRED = 3, 32
 _XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, SKETCH[0] * SKETCH[1]), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
@@ -185,6 +187,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
     return both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("u", "v")
 
 
+def _prefix_pairs(crowded: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """crowded: (k, root). Pairs (a, b, u, v) of different roots, among them each that is similar enough."""
+    asked = texts.join(crowded, "k", "left_semi").dropDuplicates(["k"])
+    rows = materialize(asked.select("k", F.explode(_once(_shingles, "array<long>", shingle)(F.col("text"))).alias("s")), "crowded-shingles")
+    rarity = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rows.join(rarity.hint("merge"), "s").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x")).select("k", "x", F.size("x").alias("size"))
+    prefix = F.slice("x", 1, (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
+    keyed = materialize(ranked.join(crowded, "k").select("k", "root", "size", F.posexplode(prefix).alias("at", "x")).select("k", "root", "size", "at", "x.s"), "prefixes")
+    other = keyed.select("s", F.col("k").alias("b"), F.col("root").alias("v"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    # from their first common shingle on, two texts share at most what is left of either
+    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    near = left * (1 + similarity) >= (F.col("size") + F.col("size_b")) * similarity - 1e-9
+    return keyed.withColumnsRenamed({"k": "a", "root": "u"}).join(other.hint("merge"), "s").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near).select("a", "b", "u", "v")
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     found = materialize(connected_components(links), "components").select(F.col("node").alias("root"), F.col("root").alias("r"))
     return materialize(roots.join(found, "root", "left").select("fp", F.coalesce("r", "root").alias("root")), "roots")
@@ -208,7 +225,11 @@ def similar_roots(texts: DataFrame, rows: DataFrame, roots: DataFrame, similarit
     members = materialize(met.where(F.col("c") <= PAIRED).join(roots, "fp").select("key", "k", "root"), "members")
     other = members.select("key", F.col("k").alias("b"), F.col("root").alias("v"))
     pairs = members.select("key", F.col("k").alias("a"), F.col("root").alias("u")).join(other.hint("merge"), "key").where("a < b and u <> v").select("a", "b", "u", "v")
-    return _joined(roots, _verified(pairs, texts, similarity, shingle))
+    roots = _joined(roots, _verified(pairs, texts, similarity, shingle))
+    members = met.where(F.col("c") > PAIRED).join(roots, "fp").select("key", "k", "root")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    crowded = materialize(members.join(mixed.hint("merge"), "key").select("k", "root").distinct(), "crowded")
+    return _joined(roots, _verified(_prefix_pairs(crowded, texts, similarity, shingle), texts, similarity, shingle))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
