@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document that loses all its lines goes with them."""
-    out = dedup_lines(docs).where((F.col("__removed") <= 0) | (F.length("__text") > 0))
+    """Later copies of maximal repeated line runs go; a document that loses all its lines goes with them."""
+    out = dedup_lines(docs, max_run=None).where((F.col("__removed") <= 0) | (F.length("__text") > 0))
     changed = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__removed") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(*docs.columns)
 

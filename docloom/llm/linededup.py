@@ -9,6 +9,12 @@ longest common prefix is 2**r lines or more. A suffix that no other shares so fa
 In each interval the occurrence with the smallest (doc_id, line number) stays; each other run with at least ``min_chars``
 characters is a later copy, and its lines go. Repeats inside a text count as well.
 
+The query op4_line_runs and its SQL count these runs of 1, 2, 4 or 8 lines only, and a blank line ends them. ``max_run=None`` takes maximal
+runs instead: the lines without the blank ones form the sequence, and every run of it with ``min_chars`` characters that has occurred before
+is a later copy, however many lines it has. Such a run is the union of the least stretches inside it with ``min_chars`` characters,
+counted from each of its lines forward or back (a line with too few characters after it in the run has enough before), so it is enough to compare these
+stretches. They are frames over the running number of characters; equal contents have equal stretches. Blank lines stay.
+
 Hot lines: intervals are aggregated before the shuffle and never gathered; joins put one row per interval against the
 occurrences, which the adaptive join splits. Lines are named by 128 bits of hash.
 
@@ -18,7 +24,7 @@ alike. A null doc_id comes after all others. A document left without lines has t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_key
@@ -60,20 +66,50 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("doc").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_run: int = MAX_RUN) -> DataFrame:
-    """docs with ``__text`` (the lines that stay), ``__lines`` and ``__removed`` (numbers of lines)."""
-    removed = materialize(repeated_lines(docs, id_col, text_col, min_chars, max_run).select(F.col("doc").alias("__doc"), F.col("removed").alias("__gone")), "removed-lines")
+def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, removed): per document the line numbers, from 0, of later copies of maximal runs; blank lines inside them are among these."""
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), _doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = lines.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    line = F.trim("line")
+    rows = lines.select("row", "doc", "pos", F.length(line).alias("n"), F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")).alias("name")).where(F.col("n") > 0)
+    of = Window.partitionBy("row")
+    rows = rows.withColumn("upto", F.sum("n").over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("n"))
+    ahead, back = of.orderBy("before").rangeBetween(0, min_chars - 1), of.orderBy("upto").rangeBetween(1 - min_chars, 0)
+    stretch = lambda w: F.struct(F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("last"), F.sum("n").over(w).alias("chars"), F.collect_list("name").over(w).alias("names"))
+    both = rows.select("doc", "n", stretch(ahead).alias("x"), stretch(back).alias("y"))
+    # one that has enough without its last line only is the stretch ahead of its first line as well
+    x, y = F.when(F.col("x.chars") >= min_chars, F.col("x")), F.when(F.col("y.chars") - F.col("n") >= min_chars, F.col("y"))
+    found = both.select("doc", F.explode(F.array_compact(F.array(x, y))).alias("x")).select("doc", "x.pos", "x.last", F.xxhash64("x.names").alias("a"), F.xxhash64(F.lit(1), "x.names").alias("b"))
+    found = materialize(found, "stretches")
+    at = F.struct("doc", "pos")
+    shared = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("end")).where(F.col("first") != F.col("end")).drop("end")
+    later = found.join(shared, ["a", "b"]).where(at != F.col("first"))
+    return later.select("doc", F.explode(F.sequence("pos", "last")).alias("pos")).groupBy("doc").agg(F.collect_set("pos").alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_run: int | None = MAX_RUN) -> DataFrame:
+    """docs with ``__text`` (the lines that stay), ``__lines`` and ``__removed`` (numbers of lines). max_run None: maximal runs."""
+    gone = repeated_stretches(docs, id_col, text_col, min_chars) if max_run is None else repeated_lines(docs, id_col, text_col, min_chars, max_run)
+    removed = materialize(gone.select(F.col("doc").alias("__doc"), F.col("removed").alias("__gone")), "removed-lines")
     named = docs.withColumn("__doc", _doc(id_col, text_col))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    out = named.join(removed, "__doc", "left")
+    out = named.join(removed, "__doc", "left").withColumn("__gone", F.filter("__gone", lambda i: F.length(F.trim(F.get(lines, i))) > 0))
     return out.select(*docs.columns, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("__text"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5) of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__removed", F.lit(0)).alias("n_removed"), F.md5(F.col("__text").cast("binary")).alias("kept_md5"))
+    return _report(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_maximal_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by maximal runs."""
+    return _report(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_run=None))
+
+
+def _report(deduped: DataFrame) -> DataFrame:
+    return deduped.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__removed", F.lit(0)).alias("n_removed"), F.md5(F.col("__text").cast("binary")).alias("kept_md5"))
 
 
 OP4_SQL = f"""
@@ -88,3 +124,17 @@ t AS (SELECT l.doc_id, l.k, count(*) AS n_lines, count(r.pos) AS n_removed, md5(
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, t.kept_md5
 FROM documents d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND md5(coalesce(d.text, '')) = t.k AND d.text IS NOT NULL
 """
+
+MAXIMAL_SQL = f"""
+WITH doc AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS k, text FROM documents),
+l AS (SELECT doc_id, k, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, k, string_split(text, chr(10)) AS x FROM doc WHERE text IS NOT NULL)),
+c AS (SELECT doc_id, k, pos, trim(line, ' ') AS line, length(trim(line, ' ')) AS n, sum(length(trim(line, ' '))) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM l WHERE length(trim(line, ' ')) > 0),
+s AS (SELECT a.doc_id, a.k, a.pos, max(b.pos) AS last, sum(b.n) AS chars, string_agg(b.line, chr(10) ORDER BY b.pos) AS name FROM c a JOIN c b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.pos >= a.pos AND b.upto - b.n < a.upto - a.n + {MIN_CHARS} GROUP BY 1, 2, 3
+  UNION SELECT a.doc_id, a.k, min(b.pos), a.pos, sum(b.n), string_agg(b.line, chr(10) ORDER BY b.pos) FROM c a JOIN c b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.pos <= a.pos AND b.upto > a.upto - {MIN_CHARS} GROUP BY a.doc_id, a.k, a.pos),
+g AS (SELECT doc_id, k, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS LAST, k, pos) AS o FROM s WHERE chars >= {MIN_CHARS}) WHERE o > 1),
+r AS (SELECT DISTINCT c.doc_id, c.k, c.pos FROM c JOIN g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.k = g.k AND c.pos BETWEEN g.pos AND g.last),
+t AS (SELECT l.doc_id, l.k, count(*) AS n_lines, count(r.pos) AS n_removed, md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE r.pos IS NULL), '')) AS kept_md5
+  FROM l LEFT JOIN r ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.k = r.k AND l.pos = r.pos GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, t.kept_md5
+FROM documents d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND md5(coalesce(d.text, '')) = t.k AND d.text IS NOT NULL
+"""

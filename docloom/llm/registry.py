@@ -6,7 +6,7 @@ from .ann import op9_inverted_multi_index
 from .decontam import OP7_SQL, op7_benchmark_containment
 from .langid import op2_ppm_language
 from .licenses import OP5_SQL, op5_license_digest
-from .linededup import OP4_SQL, op4_line_runs
+from .linededup import MAXIMAL_SQL, OP4_SQL, op4_line_runs, op4_maximal_line_runs
 from .packing import op6_vector_packing
 from .sharding import op3_two_pass_shuffle
 from .simhash import op1_simhash
@@ -20,9 +20,10 @@ QUERIES = {
     "op5_license_digest": op5_license_digest,
     "op6_vector_packing": op6_vector_packing,
     "op4_line_runs": op4_line_runs,
+    "op4_maximal_line_runs": op4_maximal_line_runs,
     "op7_benchmark_containment": op7_benchmark_containment,
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
-SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}
+SQL = {"op4_line_runs": OP4_SQL, "op4_maximal_line_runs": MAXIMAL_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL}

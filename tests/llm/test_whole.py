@@ -2,7 +2,7 @@
 
 import random
 
-from docloom.llm import simhash
+from docloom.llm import linededup, simhash
 
 from test_llm import docs, prose
 
@@ -32,3 +32,26 @@ def test_similar_texts_of_a_crowded_template(spark):
     assert sum(find(i) == i for i in sets) > 50
     kept = simhash.keep_one_of_each(docs(spark, texts)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i in sets if find(i) == i)
+
+
+def test_maximal_line_runs(spark):
+    r, texts = random.Random(3), []
+    own = lambda n, size: [prose(r.randint(0, 10**9), 60)[:size] for _ in range(n)]
+    short, three, blank = own(20, 6), own(3, 35), own(3, 35)
+    texts = [(1, short), (2, [*own(2, 30), *short, *own(2, 30)]), (3, three), (4, [*own(1, 70), *three, *own(1, 70)]), (5, blank), (6, [blank[0], "", *blank[1:], "  "]), (7, ["x" * 9] * 12)]
+    texts += [(10 + i, [r.choice("abc") * r.choice([1, 12, 35]) for _ in range(r.randint(1, 25))]) for i in range(12)]
+    want, seen = {}, set()
+    for i, lines in texts:
+        own_lines = [(p, x.strip(" ")) for p, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for s in range(len(own_lines)):
+            for e in range(s + 1, len(own_lines) + 1):
+                run = tuple(x for _, x in own_lines[s:e])
+                if sum(map(len, run)) >= 80:
+                    if run in seen:
+                        gone |= {p for p, _ in own_lines[s:e]}
+                    seen.add(run)
+        want[i] = (len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    assert [want[i][0] for i in (2, 4, 6)] == [20, 3, 3]
+    out = linededup.dedup_lines(docs(spark, [(i, "\n".join(x)) for i, x in texts]), max_run=None).collect()
+    assert {r.doc_id: (r["__removed"], r["__text"]) for r in out} == {i: (n if n else 0, t) for i, (n, t) in want.items()}
