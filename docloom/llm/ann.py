@@ -2,7 +2,8 @@
 
 Two codebooks, each for one half of the vectors, are fitted by k-means on a bounded sample of ``SAMPLE`` rows. A vector's cell is the pair
 of its nearest centroids; every row is indexed. A query walks the pairs in order of summed distance with a heap until
-the cells passed hold ``CANDIDATES`` rows, or ``CANDIDATE_SHARE`` of all if that is more; these are scored exactly, in double precision, and the best stay.
+the cells passed hold as many different vectors as ``CANDIDATES``, or ``CANDIDATE_SHARE`` of all rows if that is more; their rows, copies
+too, are scored exactly, in double precision, and the best stay.
 
 Largest inner product becomes least distance by one more component, sqrt(M**2 - |v|**2) for M the longest length (0 in
 queries), which only steers the walk. The directory of cells holds at most ``MAX_CODES`` ** 2 counts.
@@ -125,13 +126,16 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
         return pd.Series(_square_distances(a, books.value[0]).argmin(axis=1) * n_right + _square_distances(b, books.value[1]).argmin(axis=1))
 
     index = materialize(rows.select("vec_id", "v", "q", cell_of("v").alias("cell")), "cells")
-    directory = index.groupBy("cell").count().toPandas()
-    held = np.zeros((len(books.value[0]), n_right), dtype=np.int64)
+    # the walk counts different vectors, so copies use up no query's candidates; units are cut by rows
+    copies = index.groupBy("cell", F.xxhash64("v").alias("h")).count()
+    directory = copies.groupBy("cell").agg(F.count(F.lit(1)).alias("different"), F.sum("count").alias("count")).toPandas()
+    held, different = (np.zeros((len(books.value[0]), n_right), dtype=np.int64) for _ in range(2))
     held.ravel()[directory["cell"].to_numpy(dtype=np.int64)] = directory["count"].to_numpy()
+    different.ravel()[directory["cell"].to_numpy(dtype=np.int64)] = directory["different"].to_numpy()
     n_shards = max(1, -(-total // SHARD_ROWS))
     parts = np.maximum(1, -(-held // UNIT_ROWS))
     first = (np.cumsum(parts.ravel()) - parts.ravel()).reshape(parts.shape)
-    plan = spark.sparkContext.broadcast((held, parts, first))
+    plan = spark.sparkContext.broadcast((different, parts, first))
 
     @F.pandas_udf("long")
     def unit_of(cell: pd.Series, h: pd.Series) -> pd.Series:
@@ -142,7 +146,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
     stored = index.select("vec_id", "v", unit_of("cell", F.xxhash64("vec_id")).alias("unit")).withColumn("shard", F.col("unit") % n_shards)
 
     def visits(batches):
-        held, parts, first = plan.value
+        different, parts, first = plan.value
         for pdf in batches:
             x = _matrix(pdf["v"])
             if not len(x):
@@ -150,7 +154,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
             a, b = halves(x, np.ones(len(x), dtype=bool))
             da, db = _square_distances(a, books.value[0]), _square_distances(b, books.value[1])
             for i in range(len(pdf)):
-                cells = walk(da[i], db[i], held, want)
+                cells = walk(da[i], db[i], different, want)
                 units = np.array([int(first.ravel()[c]) + p for c in cells for p in range(parts.ravel()[c])], dtype=np.int64)
                 shards = units % n_shards
                 own = np.unique(shards)

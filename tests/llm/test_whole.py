@@ -2,7 +2,10 @@
 
 import random
 
-from docloom.llm import linededup, simhash
+import numpy as np
+from pyspark.sql import functions as F
+
+from docloom.llm import ann, linededup, simhash
 
 from test_llm import docs, prose
 
@@ -34,6 +37,30 @@ def test_similar_texts_of_a_crowded_template(spark):
     assert sorted(r.doc_id for r in kept) == sorted(i for i in sets if find(i) == i)
 
 
+def test_copies_use_up_no_candidates(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[7].tolist()) for i in range(1000)]
+    is_query = (F.col("vec_id") < 2000) & (F.pmod("vec_id", F.lit(20)) == 0)
+
+    def recall(rows):
+        out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), is_query, candidates=1, share=0.4).collect()
+        vectors, found, true = {i: np.array(v) for i, v in rows}, 0, 0
+        ids = np.array(sorted(vectors))
+        table = np.stack([vectors[i] for i in ids])
+        for q in range(0, 2000, 20):
+            s = table @ vectors[q]
+            s[ids == q] = -np.inf
+            best = set(ids[np.lexsort([ids, -s])[:20]].tolist())
+            found, true = found + len(best & {a.vec_id for a in out if a.query_id == q}), true + 20
+        return found / true
+
+    with_copies, without = recall(rows), recall(rows[:2000])
+    print("recall", with_copies, without)
+    assert with_copies >= without
+
+
 def test_maximal_line_runs(spark):
     r, texts = random.Random(3), []
     own = lambda n, size: [prose(r.randint(0, 10**9), 60)[:size] for _ in range(n)]
