@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import is_refusal
 from docloom.operators.keywords import words
-from docloom.operators.sentences import blank_run, excerpt, latin_ratio, normalize_symbols, sentences
+from docloom.operators.sentences import NORMALIZING, blank_run, excerpt, latin_ratio, normalize_symbols, normalize_whole, sentences
 
 #: Parameters of the queries below.
 ALLOWED, MIN_ALLOCATION, SAMPLE = tuple(f"src{i}" for i in range(10)), 3, 100
@@ -25,6 +25,10 @@ def normalize_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", excerpt(normalize_symbols(F.col("text")), 300).alias("excerpt"))
 
 
+def normalize_whole_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", normalize_whole(F.col("text")).alias("text"))
+
+
 def suspect_text(spark, d):
     t = _t(spark, d, "documents").select("doc_id", blank_run(F.col("text")).cast("long").alias("blank_run"), F.regexp_count("text", F.lit("[\\x{4E00}-\\x{9FFF}]")).cast("long").alias("ideographs"))
     return t.withColumn("suspect", (F.col("blank_run") >= 100) | (F.col("ideographs") >= 5))
@@ -109,19 +113,23 @@ def neyman_allocation(spark, d):
     return size.join(F.broadcast(total)).select("label", "n", F.round("s", 6).alias("spread"), F.greatest(F.round(SAMPLE * F.col("n") * F.col("s") / F.col("total")), F.lit(MIN_ALLOCATION)).cast("long").alias("allocated"))
 
 
-QUERIES = {f.__name__: f for f in (split_sentences, normalize_text, suspect_text, latin_ratio_filter, review_flags, token_frequency_topn, overlap_retrieval_topk, page_paragraphs, paired_cliffs_delta, paired_change_rate, validity_rates, taxonomy_membership, work_grid_resume, determinism_rate, elbow_choice, neyman_allocation)}
+QUERIES = {f.__name__: f for f in (split_sentences, normalize_text, normalize_whole_text, suspect_text, latin_ratio_filter, review_flags, token_frequency_topn, overlap_retrieval_topk, page_paragraphs, paired_cliffs_delta, paired_change_rate, validity_rates, taxonomy_membership, work_grid_resume, determinism_rate, elbow_choice, neyman_allocation)}
 
 _B = "[ \\t\\n\\r\\f]"
 _W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"
 _RATIO = "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0)"
 _REFUSAL = "regexp_matches(lower(text), 'i cannot|i can''t|i''m sorry|as an ai|unable to')"
 _DIGITS = f"'([0-9]{_B}*)\\.({_B}*[0-9])', '\\1' || chr(2) || '\\2', 'g'"
+_WHOLE = "translate(text, '‘’“”‐‑‒–—−：，！？′″', '''''\"\"------:,!?''\"')"
+for _p, _by in NORMALIZING:
+    _WHOLE = "regexp_replace({}, '{}', '{}', 'g')".format(_WHOLE, _p.replace("'", "''"), _by)
 _MEMBERS = ", ".join(f"'{s}'" for s in ALLOWED)
 SQL = {
     "split_sentences": f"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {_DIGITS}), {_DIGITS}), '([.?!]["'')\\]]*)', '\\1' || chr(1), 'g') AS t FROM documents),
 s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(replace(x, chr(2), '.'), '{_B}+', ' ', 'g'))), lambda x: x <> '') AS a FROM m)
 SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS sentence FROM s""",
     "normalize_text": "SELECT doc_id, CASE WHEN length(t) > 300 THEN substring(t, 1, 300) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, translate(text, '‘’“”‐‑‒–—−：，！？', '''''\"\"------:,!?') AS t FROM documents)",
+    "normalize_whole_text": f"SELECT doc_id, trim({_WHOLE}) AS text FROM documents",
     "suspect_text": f"""SELECT *, blank_run >= 100 OR ideographs >= 5 AS suspect FROM (SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '{_B}{{20,}}'), lambda x: length(x))), 0) AS blank_run,
 length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS ideographs FROM documents)""",
     "latin_ratio_filter": f"SELECT * FROM (SELECT doc_id, round({_RATIO}, 6) AS ratio FROM documents) WHERE ratio < 0.95",
