@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests, local mode)."""
+    """The shared folder of the cluster; a temporary one only where none is configured and the master is this very machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -29,13 +32,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more: all that was made of them has been written itself."""
+    for df in dfs:
+        if path := getattr(df, "_docloom_path", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ascii_lower(c: Column) -> Column:

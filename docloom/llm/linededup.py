@@ -1,133 +1,123 @@
 """Line dedup: a suffix array over line-id sequences by distributed prefix doubling, in DataFrame operations only.
 
-A text is a sequence of lines (cut at \\n, compared without blanks at their ends). Round 0 ranks the lines that occur more than once; round r ranks the
-runs of 2**r lines by the pair of ranks of their halves: the distinct pairs are sorted over the cluster and numbered in
-order, so ranks follow the order of suffixes cut off at 2**r lines, and equal ranks are the intervals of suffixes whose
-longest common prefix is 2**r lines or more. A suffix that no other shares so far leaves the rounds. Rounds end at
-``MAX_RUN`` lines: a longer repeated run is the union of the repeated runs of that length inside it, so no run is lost or shortened.
-
-In each interval the occurrence with the smallest (doc_id, line number) stays; each other run with at least ``min_chars``
-characters is a later copy, and its lines go. Repeats inside a text count as well.
-
-The query op4_line_runs and its SQL count these runs of 1, 2, 4 or 8 lines only, and a blank line ends them. ``max_run=None`` takes maximal
-runs instead: the lines without the blank ones form the sequence, and every run of it with ``min_chars`` characters that has occurred before
-is a later copy, however many lines it has. Such a run is the union of the least stretches inside it with ``min_chars`` characters,
-counted from each of its lines forward or back (a line with too few characters after it in the run has enough before), so it is enough to compare these
-stretches. They are frames over the running number of characters; equal contents have equal stretches. Blank lines stay.
+A text is a sequence of lines (cut at \\n, compared without blanks at their ends, blank lines left out). Round 0 ranks the lines that
+occur more than once; round r ranks the runs of 2**r lines by the pair of ranks of their halves: the distinct pairs are sorted over the
+cluster and numbered in order, so ranks follow the order of suffixes cut off at 2**r lines, and the suffixes of one rank are the interval whose
+longest common prefix is 2**r lines or more. A suffix that no other shares so far leaves the rounds.
+
+A maximal repeated run is a longest run of lines that has occurred before, at a smaller (doc_id, line number). Each with at least ``min_chars``
+characters is a later copy and its lines go, however many lines it has; repeats inside a text count as well. Such a run is the union of the least
+stretches in it with ``min_chars`` characters, counted from each of its lines forward or back (a line with too few characters after it in
+the run has enough before), and equal contents have equal stretches. So an interval is asked for at the depths of these
+stretches only: a stretch of m lines, 2**r <= m < 2**(r+1), lies in the interval named by m, the rank of its first 2**r lines and that of its last
+2**r. No line is empty, so m is at most ``min_chars`` and the rounds end by themselves; a longer run needs no further round, its
+stretches cover it. Runs that are in no stretch leave the rounds too.
 
 Hot lines: intervals are aggregated before the shuffle and never gathered; joins put one row per interval against the
 occurrences, which the adaptive join splits. Lines are named by 128 bits of hash.
 
 Defined results: a null text has no lines and stays null. Rows equal in doc_id and text are one document, all treated
-alike. A null doc_id comes after all others. A document left without lines has the empty text.
+alike. A null doc_id comes after all others. A document left without lines has the empty text. Blank lines stay. An empty table gives an empty
+one. A very long text is split in the row and its lines are spread like others. Other columns pass through; names that begin with ``__`` are taken.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_key
+from .common import discard, materialize, table, text_key
 
 MIN_CHARS = 80
-MAX_RUN = 8
 
 
 def _doc(id_col: str, text_col: str):
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"))
 
 
-def _rank(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """rows (doc, pos, n, *by) whose ``by`` is shared, with rank and later (not the first occurrence)."""
-    first = F.min(F.struct("doc", "pos")).alias("first")
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), first).where(F.col("c") > 1).drop("c")
-    ranked = materialize(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
-    out = rows.join(ranked, by).select("doc", "pos", "n", "rank", (F.struct("doc", "pos") != F.col("first")).alias("later"))
-    return materialize(out, name)
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_run: int = MAX_RUN) -> DataFrame:
-    """(doc, removed): per document the line numbers, from 0, that belong to later copies of repeated runs."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(_doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = lines.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = F.trim("line")
-    rows = lines.select("doc", "pos", F.length(line).alias("n"), F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")).where(F.col("n") > 0)
-    active = _rank(rows, ["a", "b"], "runs-1")
-    gone, run = None, 1
-    while True:
-        copies = active.where(F.col("later") & (F.col("n") >= min_chars)).select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("pos"))
-        gone = copies if gone is None else gone.union(copies)
-        if run >= max_run:
-            break
-        left, right = active.select("doc", "pos", "n", F.col("rank").alias("a")), active.select("doc", (F.col("pos") - run).alias("pos"), F.col("n").alias("m"), F.col("rank").alias("b"))
-        pairs = left.join(right, ["doc", "pos"]).select("doc", "pos", (F.col("n") + F.col("m")).alias("n"), "a", "b")
-        run *= 2
-        active = _rank(pairs, ["a", "b"], f"runs-{run}")
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("removed"))
-
-
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, removed): per document the line numbers, from 0, of later copies of maximal runs; blank lines inside them are among these."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), _doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = lines.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = F.trim("line")
-    rows = lines.select("row", "doc", "pos", F.length(line).alias("n"), F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")).alias("name")).where(F.col("n") > 0)
-    of = Window.partitionBy("row")
-    rows = rows.withColumn("upto", F.sum("n").over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("n"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """A row per non-blank line: doc, at (its number among these), its name (a, b), its characters n, before (characters up to it) and the
+    lines of its least stretches: ahead from it, and back from it where that is not the stretch ahead of another line."""
+    lines = docs.where(F.col(text_col).isNotNull()).select(_doc(id_col, text_col).alias("doc"), F.split(text_col, "\n", -1).alias("lines"))
+    full = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    lines = lines.select("doc", F.posexplode(full).alias("at", "line"))
+    rows = lines.select("doc", "at", F.length("line").alias("n"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    rows = rows.groupBy("doc", "at").agg(*[F.first(c).alias(c) for c in ("n", "a", "b")])  # rows equal in id and text are one document
+    of = Window.partitionBy("doc")
+    rows = rows.withColumn("upto", F.sum("n").over(of.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("n"))
     ahead, back = of.orderBy("before").rangeBetween(0, min_chars - 1), of.orderBy("upto").rangeBetween(1 - min_chars, 0)
-    stretch = lambda w: F.struct(F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("last"), F.sum("n").over(w).alias("chars"), F.collect_list("name").over(w).alias("names"))
-    both = rows.select("doc", "n", stretch(ahead).alias("x"), stretch(back).alias("y"))
-    # one that has enough without its last line only is the stretch ahead of its first line as well
-    x, y = F.when(F.col("x.chars") >= min_chars, F.col("x")), F.when(F.col("y.chars") - F.col("n") >= min_chars, F.col("y"))
-    found = both.select("doc", F.explode(F.array_compact(F.array(x, y))).alias("x")).select("doc", "x.pos", "x.last", F.xxhash64("x.names").alias("a"), F.xxhash64(F.lit(1), "x.names").alias("b"))
-    found = materialize(found, "stretches")
-    at = F.struct("doc", "pos")
-    shared = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("end")).where(F.col("first") != F.col("end")).drop("end")
-    later = found.join(shared, ["a", "b"]).where(at != F.col("first"))
-    return later.select("doc", F.explode(F.sequence("pos", "last")).alias("pos")).groupBy("doc").agg(F.collect_set("pos").alias("removed"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_run: int | None = MAX_RUN) -> DataFrame:
-    """docs with ``__text`` (the lines that stay), ``__lines`` and ``__removed`` (numbers of lines). max_run None: maximal runs."""
-    gone = repeated_stretches(docs, id_col, text_col, min_chars) if max_run is None else repeated_lines(docs, id_col, text_col, min_chars, max_run)
-    removed = materialize(gone.select(F.col("doc").alias("__doc"), F.col("removed").alias("__gone")), "removed-lines")
-    named = docs.withColumn("__doc", _doc(id_col, text_col))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    out = named.join(removed, "__doc", "left").withColumn("__gone", F.filter("__gone", lambda i: F.length(F.trim(F.get(lines, i))) > 0))
-    return out.select(*docs.columns, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("__text"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
+    of_frame = lambda w: F.struct(F.count(F.lit(1)).over(w).cast("int").alias("m"), F.sum("n").over(w).alias("chars"))
+    rows = rows.withColumn("x", of_frame(ahead)).withColumn("y", of_frame(back))
+    m_ahead, m_back = F.when(F.col("x.chars") >= min_chars, F.col("x.m")), F.when(F.col("y.chars") - F.col("n") >= min_chars, F.col("y.m"))
+    return rows.select("doc", "at", "n", "before", "a", "b", m_ahead.alias("ahead"), m_back.alias("back"))
+
+
+def _rank(rows: DataFrame, carried: list[str], name: str) -> DataFrame:
+    """The rows (doc, at, a, b, *carried) whose (a, b) is shared, with rank in place of (a, b) and first, the first occurrence's (doc, at)."""
+    groups = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at")).alias("first")).where("c > 1").drop("c")
+    ranked = materialize(groups.orderBy("a", "b").withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
+    out = materialize(rows.join(ranked.hint("merge"), ["a", "b"]).select("doc", "at", "rank", "first", *carried), name)
+    discard(ranked)
+    return out
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, removed): per document the numbers, among its non-blank lines and from 0, of those in later copies of repeated runs."""
+    rows = materialize(_lines(docs, id_col, text_col, min_chars), "lines")
+    suffixes = _rank(rows, ["n", "before", "ahead", "back"], "runs-1")
+    discard(rows)
+    ahead = suffixes.where("ahead > 1").select("doc", "at", F.col("ahead").alias("m"))
+    back = suffixes.where("back > 1").select("doc", (F.col("at") - F.col("back") + 1).alias("at"), F.col("back").alias("m"))
+    stretches = materialize(ahead.union(back), "stretches")
+    here = F.struct("doc", "at")
+    gone = [materialize(suffixes.where((F.col("ahead") == 1) & (here != F.col("first"))).select("doc", "at", F.lit(1).alias("m")), "gone")]
+    active = suffixes.select("doc", "at", "rank", "before", F.col("n").alias("first_n"), F.col("n").alias("last_n"), (F.col("before") + F.col("n")).alias("upto"))
+    run, held = 1, [suffixes]
+    while stretches.where(F.col("m") >= run).limit(1).count():
+        own = stretches.where((F.col("m") >= run) & (F.col("m") < 2 * run))
+        head = own.join(active.select("doc", "at", F.col("rank").alias("a")).hint("merge"), ["doc", "at"])
+        tail = active.select("doc", F.col("at").alias("end"), F.col("rank").alias("b")).hint("merge")
+        named = materialize(head.withColumn("end", F.col("at") + F.col("m") - run).join(tail, ["doc", "end"]).select("doc", "at", "m", "a", "b"), "named")
+        shared = named.groupBy("m", "a", "b").agg(F.min(here).alias("first"), F.max(here).alias("other")).where("first <> other").drop("other")
+        gone.append(materialize(named.join(shared.hint("merge"), ["m", "a", "b"]).where(here != F.col("first")).select("doc", "at", "m"), "gone"))
+        discard(named)
+        left = active.select("doc", "at", "before", "first_n", F.col("rank").alias("a"))
+        right = active.select("doc", (F.col("at") - run).alias("at"), "last_n", "upto", F.col("rank").alias("b"))
+        # a run inside a stretch has too few characters without its first or without its last line
+        pairs = left.join(right.hint("merge"), ["doc", "at"]).where(F.col("upto") - F.col("before") - F.greatest("first_n", "last_n") < min_chars)
+        run *= 2
+        active = _rank(pairs, ["before", "first_n", "last_n", "upto"], f"runs-{run}")
+        discard(*held)
+        held = [active]
+    out = materialize(reduce(DataFrame.union, gone).select("doc", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")).groupBy("doc").agg(F.collect_set("at").alias("removed")), "removed-lines")
+    discard(stretches, *gone, *held)
+    return out
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with ``__text`` (the lines that stay), ``__lines`` and ``__removed`` (numbers of lines)."""
+    removed = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("doc").alias("__doc"), F.col("removed").alias("__gone"))
+    # merged whatever its size: the texts move once at any scale
+    named = docs.withColumn("__doc", _doc(id_col, text_col)).join(removed.hint("merge"), "__doc", "left").withColumn("__all", F.split(text_col, "\n", -1))
+    full = F.filter(F.transform("__all", lambda x, i: F.when(F.length(F.trim(x)) > 0, i)), lambda i: i.isNotNull())
+    named = named.withColumn("__full", F.when(F.col("__gone").isNotNull(), full))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.transform("__gone", lambda o: F.get("__full", o)))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__all", i)), "\n")
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept).alias("__text"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__all")).alias("__lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias("__removed"))
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5) of every document."""
-    return _report(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op4_maximal_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by maximal runs."""
-    return _report(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_run=None))
-
-
-def _report(deduped: DataFrame) -> DataFrame:
-    return deduped.select("doc_id", F.col("__lines").alias("n_lines"), F.greatest("__removed", F.lit(0)).alias("n_removed"), F.md5(F.col("__text").cast("binary")).alias("kept_md5"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.md5(F.col("__text").cast("binary")).alias("kept_md5"))
 
 
+#: A run counts if it has been seen before, at an earlier place; its least stretches of MIN_CHARS characters, forward and back, cover it.
 OP4_SQL = f"""
 WITH doc AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS k, text FROM documents),
 l AS (SELECT doc_id, k, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, k, string_split(text, chr(10)) AS x FROM doc WHERE text IS NOT NULL)),
-w1 AS (SELECT doc_id, k, pos, length(trim(line, ' ')) AS n, md5(trim(line, ' ')) AS name FROM l WHERE length(trim(line, ' ')) > 0),
-{",".join(f'''w{2 * r} AS (SELECT a.doc_id, a.k, a.pos, a.n + b.n AS n, md5(a.name || b.name) AS name FROM w{r} a JOIN w{r} b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.pos = a.pos + {r})''' for r in (1, 2, 4))},
-g AS ({" UNION ALL ".join(f'''SELECT doc_id, k, unnest(range(pos, pos + {r})) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS LAST, k, pos) AS o FROM w{r}) WHERE o > 1 AND n >= {MIN_CHARS}''' for r in (1, 2, 4, 8))}),
-r AS (SELECT DISTINCT doc_id, k, pos FROM g),
-t AS (SELECT l.doc_id, l.k, count(*) AS n_lines, count(r.pos) AS n_removed, md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE r.pos IS NULL), '')) AS kept_md5
-  FROM l LEFT JOIN r ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.k = r.k AND l.pos = r.pos GROUP BY 1, 2)
-SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, t.kept_md5
-FROM documents d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND md5(coalesce(d.text, '')) = t.k AND d.text IS NOT NULL
-"""
-
-MAXIMAL_SQL = f"""
-WITH doc AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS k, text FROM documents),
-l AS (SELECT doc_id, k, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, k, string_split(text, chr(10)) AS x FROM doc WHERE text IS NOT NULL)),
 c AS (SELECT doc_id, k, pos, trim(line, ' ') AS line, length(trim(line, ' ')) AS n, sum(length(trim(line, ' '))) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM l WHERE length(trim(line, ' ')) > 0),
 s AS (SELECT a.doc_id, a.k, a.pos, max(b.pos) AS last, sum(b.n) AS chars, string_agg(b.line, chr(10) ORDER BY b.pos) AS name FROM c a JOIN c b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.pos >= a.pos AND b.upto - b.n < a.upto - a.n + {MIN_CHARS} GROUP BY 1, 2, 3
   UNION SELECT a.doc_id, a.k, min(b.pos), a.pos, sum(b.n), string_agg(b.line, chr(10) ORDER BY b.pos) FROM c a JOIN c b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.k = b.k AND b.pos <= a.pos AND b.upto > a.upto - {MIN_CHARS} GROUP BY a.doc_id, a.k, a.pos),

@@ -76,9 +76,13 @@ def test_sharding(spark, n):
 
 def test_line_runs(spark):
     long = ["L%d " % i + "x" * 90 for i in range(4)]
-    texts = [(1, "\n".join(long)), (2, "own line\n" + "\n".join(long[1:3])), (3, "short\nshort\nshort"), *ODD]
-    out = {(r.doc_id, r["__removed"]): r["__text"] for r in linededup.dedup_lines(docs(spark, texts)).collect()}
-    assert out[2, 2] == "own line" and out[3, 0] == "short\nshort\nshort" and out[1, 0] is None or (1, 0) in out
+    texts = [(1, "\n".join(long)), (2, "own line\n" + "\n".join(long[1:3])), (3, "short\nshort\nshort"), (6, "\n".join(long)), (6, "\n".join(long)), *ODD]
+    out = linededup.dedup_lines(docs(spark, texts)).collect()
+    by = {(r.doc_id, r["__lines"]): (r["__removed"], r["__text"]) for r in out}
+    assert len(out) == len(texts)
+    assert by[1, 4] == (0, "\n".join(long)) and by[2, 3] == (2, "own line") and by[3, 3] == (0, "short\nshort\nshort") and by[6, 4] == (4, "")
+    assert by[1, 0] == (0, None) and by[2, 1] == (0, "") and by[5, 1] == (0, ODD[-1][1])
+    assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
 def test_licenses(spark):

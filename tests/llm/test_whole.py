@@ -80,5 +80,5 @@ def test_maximal_line_runs(spark):
                     seen.add(run)
         want[i] = (len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
     assert [want[i][0] for i in (2, 4, 6)] == [20, 3, 3]
-    out = linededup.dedup_lines(docs(spark, [(i, "\n".join(x)) for i, x in texts]), max_run=None).collect()
+    out = linededup.dedup_lines(docs(spark, [(i, "\n".join(x)) for i, x in texts])).collect()
     assert {r.doc_id: (r["__removed"], r["__text"]) for r in out} == {i: (n if n else 0, t) for i, (n, t) in want.items()}
