@@ -1,17 +1,20 @@
 """Packing by vector bin packing under simultaneous limits on tokens, segments and loss-bearing tokens.
 
-A document is tokenised whole and ends with an end id. It is cut into pieces of at most ``max_tokens`` ids (and of at most
-``max_loss`` loss-bearing ids). A full piece is a sequence of its own. The others are items of a vector bin packing: a sequence is opened with
+A document is tokenised whole and ends with an end id. It is cut into pieces of at most ``max_tokens`` ids and of at most
+``max_loss`` loss-bearing ids. In a plain text all ids bear loss; instruction data come as parts (``parts_col``: text, loss), of which
+those with loss bear it, and the end id. A full piece is a sequence of its own. The others are items of a vector bin packing: a sequence is opened with
 the largest item left, then takes, again and again, the fitting item whose demand has the largest dot product with what
 is left of the three limits, until none fits. Items of equal demand are interchangeable, so a choice is made among kinds
 of demand, at most a few thousand, not among items.
 
-Items are dealt into groups of about ``GROUP_ITEMS`` by a hash of (doc_id, start), each packed by itself in canonical
-order; each group leaves one short sequence or so, which is the price of not packing in one task. The result depends on the rows
-and parameters only, so a recomputed task repeats it.
+Items are dealt into groups of about ``GROUP_ITEMS`` by a hash of (doc_id, start, number), each packed by itself in canonical
+order; each group leaves one short sequence or so, which is the price of not packing in one task. The number is the piece's place in the
+task that cut it, so equal rows, even a third of the table, are spread. It is written with the piece, so a recomputed task repeats the packing;
+over another partitioning of the input the same pieces may be packed together otherwise.
 
-Defined results: a null or empty text is the end id alone. Rows may repeat, each is packed. Texts of any length are
-tokenised whole. Ids pass through Python as strings, so null and large ids come back as they were. Other columns are not read.
+Defined results: a null or empty text, and a null or empty list of parts, is the end id alone. Rows may repeat, each is packed; ties go by
+(doc_id, start). Texts of any length are tokenised whole. An empty table gives no sequence. Ids pass through Python as strings, so null and
+large ids come back as they were. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ MAX_SEGMENTS = 256
 END_ID = 0
 GROUP_ITEMS = 1 << 15
 CACHE_WORDS = 400_000
-SCHEMA = "doc_id string, start long, length long, loss long, ids_crc32 long, doc_tokens long"
+SCHEMA = "doc_id string, start long, length long, loss long, ids_crc32 long, doc_tokens long, number long"
 
 
 class _Ids(dict):
@@ -62,9 +66,12 @@ class ByteBpe:
     """Ids of byte_bpe_50k, as tokenizers gives them with add_special_tokens=False.
 
     The pre-tokeniser lets no token cross from a non-space to a following space, so a text is encoded run by run (space,
-    then non-space) with a cache; texts with unusual white space are encoded in one call. Tests hold it against tokenizers.
+    then non-space) with a cache; texts with unusual white space are encoded in one call. The string of the vocabulary's one
+    special token becomes that token wherever it stands. Tests hold it against tokenizers.
     """
 
+    SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+
     def __init__(self, ranks_file: str, pattern: str):
         import tiktoken
 
@@ -74,6 +81,12 @@ class ByteBpe:
         self.ids = _Ids(self.encoding.encode_ordinary)
 
     def encode(self, text: str) -> np.ndarray:
+        if self.SPECIAL in text:
+            first, *others = map(self._ordinary, text.split(self.SPECIAL))
+            return np.concatenate([first, *chain.from_iterable((np.array([self.SPECIAL_ID], dtype="<u4"), x) for x in others)])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> np.ndarray:
         if _ODD_SPACE.search(text):
             return np.array(self.encoding.encode_ordinary(text), dtype="<u4")
         return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, _RUNS.findall(text))), dtype="<u4")
@@ -86,28 +99,39 @@ def byte_bpe() -> ByteBpe:
     return ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def cut_pieces(docs: DataFrame, tokenizer: Callable[[], object] = byte_bpe, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Rows of SCHEMA (and ``ids``, if asked for): the pieces of each document; all ids bear loss."""
+def _ids_and_loss(tok, text, parts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a document, and before each of them (and after the last) the number of those that bear loss."""
+    if parts is None:
+        encoded = [(tok.encode(text), True)] if text else []
+    else:
+        encoded = [(tok.encode(p["text"]), bool(p["loss"])) for p in parts if p is not None and p["text"]]
+    encoded.append((np.array([end_id]), True))
+    ids = np.concatenate([x for x, _ in encoded]).astype("<u4")
+    return ids, np.concatenate([[0], np.cumsum(np.repeat([bears for _, bears in encoded], [len(x) for x, _ in encoded]))])
+
+
+def cut_pieces(docs: DataFrame, tokenizer: Callable[[], object] = byte_bpe, max_tokens: int = MAX_TOKENS, max_loss: int | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Rows of SCHEMA (and ``ids``, if asked for): the pieces of each document. parts_col: array of (text string, loss boolean), read instead of the text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = tokenizer()
+        tok, number = tokenizer(), TaskContext.get().partitionId() << 33
         for pdf in batches:
-            docs_, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(tok.encode(text), np.uint32(end_id)).astype("<u4") if text else np.array([end_id], dtype="<u4")
-                for s in range(0, len(ids), max_tokens):
-                    piece = ids[s : s + max_tokens]
-                    docs_.append(doc_id)
-                    starts.append(s)
-                    lengths.append(len(piece))
-                    crcs.append(zlib.crc32(piece))
-                    totals.append(len(ids))
+            out: list[tuple] = []
+            kept = []
+            for doc_id, text, parts in zip(pdf["doc_id"], pdf["text"], pdf["parts"] if parts_col else [None] * len(pdf), strict=True):
+                ids, loss = _ids_and_loss(tok, text, (parts if parts is not None else []) if parts_col else None, end_id)
+                s = 0
+                while s < len(ids):
+                    e = min(s + max_tokens, len(ids), int(np.searchsorted(loss, loss[s] + (max_loss or max_tokens), "right")) - 1)
+                    out.append((doc_id, s, e - s, int(loss[e] - loss[s]), zlib.crc32(ids[s:e]), len(ids), number))
                     if with_ids:
-                        kept.append(piece.astype(np.int32))
-            out = pd.DataFrame({"doc_id": docs_, "start": starts, "length": lengths, "loss": lengths, "ids_crc32": crcs, "doc_tokens": totals})
-            yield out.assign(ids=kept) if with_ids else out
+                        kept.append(ids[s:e].astype(np.int32))
+                    s, number = e, number + 1
+            pieces = pd.DataFrame(out, columns=["doc_id", "start", "length", "loss", "ids_crc32", "doc_tokens", "number"])
+            yield pieces.assign(ids=kept) if with_ids else pieces
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.lit(None).cast("string") if parts_col else F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("text"), *([F.col(parts_col).alias("parts")] if parts_col else []))
     return rows.mapInPandas(cut, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
@@ -140,11 +164,11 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(pieces: DataFrame, n_groups: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """pieces (SCHEMA) with sequence_id and offset. sequence_id: unique; offset: ids before the piece in its sequence."""
+    """pieces (SCHEMA, ids) with sequence_id and offset. sequence_id: unique; offset: ids before the piece in its sequence."""
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens], dtype=np.int64)
 
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ignore_index=True)
+        pdf = pdf.sort_values(["length", "loss", "doc_id", "start", "ids_crc32", "number"], ignore_index=True)
         bins = np.empty(len(pdf), dtype=np.int64)
         order = np.empty(len(pdf), dtype=np.int64)
         at = 0
@@ -160,15 +184,16 @@ def pack(pieces: DataFrame, n_groups: int, max_tokens: int = MAX_TOKENS, max_seg
         pdf["offset"] = before - before.groupby(pdf["sequence_id"]).transform("min")
         return pdf[out_cols]
 
-    cols = ["doc_id", "start", "length", "loss", "ids_crc32", "doc_tokens"]
+    ids = [c for c in pieces.columns if c == "ids"]
+    cols = ["doc_id", "start", "length", "loss", "ids_crc32", "doc_tokens", "number", *ids]
     out_cols = [*cols, "sequence_id", "offset"]
-    grouped = pieces.select(*cols, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_groups)).alias("g"))
-    return grouped.groupBy("g").applyInPandas(pack_group, SCHEMA + ", sequence_id long, offset long")
+    grouped = pieces.select(*cols, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "number"), F.lit(n_groups)).alias("g"))
+    return grouped.groupBy("g").applyInPandas(pack_group, SCHEMA + (", ids array<int>" if ids else "") + ", sequence_id long, offset long").drop("number")
 
 
-def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: Callable[[], object] = byte_bpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack. Token ids stay where they are read; the shuffle moves numbers only."""
-    pieces = materialize(cut_pieces(docs, tokenizer, min(max_tokens, max_loss or max_tokens), id_col=id_col, text_col=text_col), "pieces")
+def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: Callable[[], object] = byte_bpe, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Tokenise, cut and pack. Unless with_ids asks for them, token ids stay where they are read and the shuffle moves numbers only."""
+    pieces = materialize(cut_pieces(docs, tokenizer, max_tokens, max_loss, id_col=id_col, text_col=text_col, parts_col=parts_col, with_ids=with_ids), "pieces")
     n_groups = max(1, -(-pieces.count() // GROUP_ITEMS))
     out = pack(pieces, n_groups, max_tokens, max_segments, max_loss)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("doc_id", id_col)
