@@ -13,7 +13,9 @@ shards of about ``SHARD_ROWS`` rows, and each shard meets the queries that visit
 returns at most k rows per query.
 
 Defined results: vectors that are null, empty, of another length than most, all zero, or that hold a null or non-finite component take no part, as
-query or candidate, nor do rows without id. Rows that share the query's id are its own and no candidates of it. Copies tie and are ordered by id.
+query or candidate, nor do rows without id. Rows that share the query's id are its own and no candidates of it; an id asked for by several
+rows is one query, that of its least vector. Other rows that repeat are candidates each. Copies tie and are ordered by id. An empty table gives
+no rows. Columns other than the two named, whatever they are called, are not read.
 """
 
 from __future__ import annotations
@@ -160,10 +162,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
                 own = np.unique(shards)
                 yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "shard": own, "units": [units[shards == k] for k in own]})
 
-    per_shard = index.where("q").select("vec_id", "v").mapInPandas(visits, "query_id long, shard long, units array<long>")
-    n_blocks = max(1, -(-index.where("q").count() // QUERY_BLOCK))
+    asked_for = materialize(index.where("q").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    per_shard = asked_for.mapInPandas(visits, "query_id long, shard long, units array<long>")
+    n_blocks = max(1, -(-asked_for.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks))
-    asked = per_shard.join(index.where("q").select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("block", block)
+    asked = per_shard.join(asked_for.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("block", block)
     stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def rerank(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
