@@ -1,7 +1,9 @@
 import hashlib
 import random
-import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,25 +94,76 @@ def test_licenses(spark):
     assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(spark, texts), known).collect()} == {1: "MIT", 2: None, 3: None}
 
 
-def test_packing(spark):
-    out = packing.pack_documents(docs(spark, ODD), max_tokens=64, max_segments=3).collect()
-    assert len({(r.doc_id, r.start, r.ids_crc32) for r in out}) >= 6
+def check_sequences(out, tokens, segments, loss):
     seqs = {}
     for r in out:
-        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        seqs.setdefault(r.sequence_id, []).append(r)
     for s in seqs.values():
-        s.sort()
-        assert len(s) <= 3 and sum(n for _, n in s) <= 64 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False))
+        s.sort(key=lambda r: r.offset)
+        assert len(s) <= segments and sum(r.length for r in s) <= tokens and sum(r.loss for r in s) <= loss
+        assert s[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in zip(s, s[1:], strict=False))
+    return seqs
 
 
-def test_tokens_equal_the_library():
+def test_packing(spark):
+    rows = [*ODD, *[(100 + i, prose(i, 3 + 7 * i)) for i in range(30)], *[(77, "twin")] * 40]
+    out = packing.pack_documents(docs(spark, rows), max_tokens=64, max_segments=3).collect()
+    check_sequences(out, 64, 3, 64)
+    tok = library()
+    want = Counter()
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for s in range(0, len(ids), 64):
+            want[i, s, len(ids[s : s + 64]), zlib.crc32(np.array(ids[s : s + 64], dtype="<u4").tobytes()), len(ids)] += 1
+    assert want == Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out)
+    assert packing.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_packing_of_instructions(spark):
+    talks = [(i, [(prose(i, 20), False), (prose(50 + i, 5 * (i % 4)), True), (None, True)]) for i in range(25)] + [(90, None), (91, [])]
+    df = spark.createDataFrame(talks, "doc_id long, parts array<struct<text string, loss boolean>>")
+    out = packing.pack_documents(df, max_tokens=400, max_segments=50, max_loss=30, parts_col="parts", with_ids=True).collect()
+    seqs = check_sequences(out, 400, 50, 30)
+    assert any(sum(r.loss for r in s) >= 28 and sum(r.length for r in s) < 300 for s in seqs.values())  # the loss limit binds first
+    tok = library()
+    for i, parts in talks:
+        encoded = [(tok.encode(t or "", add_special_tokens=False).ids, bears) for t, bears in parts or []]
+        own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in own for x in r.ids] == [x for ids, _ in encoded for x in ids] + [0]
+        assert sum(r.loss for r in own) == sum(len(ids) for ids, bears in encoded if bears) + 1
+
+
+def test_place_by_hand():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        limits = np.array([64, 8, 32])  # so that shares are exact and ties are ties
+        demand = np.stack([rng.integers(1, 40, 60), np.ones(60, dtype=np.int64), rng.integers(0, 32, 60)], axis=1)
+        bins, order = packing.place(demand, limits)
+        left, n, got = list(range(60)), 0, []
+        while left:
+            room, pick = limits.astype(float).copy(), []
+            while fits := [i for i in left if (demand[i] <= room).all()]:
+                key = lambda i: sum(demand[i] / limits) if not pick else float((demand[i] / limits) @ (room / limits))  # noqa: E731, B023
+                best = max(map(key, fits))
+                i = min((i for i in fits if key(i) >= best), key=lambda i: (tuple(demand[i]), i))
+                pick.append(i)
+                left.remove(i)
+                room -= demand[i]
+            got.append(sorted(tuple(demand[i]) for i in pick))
+        own = [sorted(tuple(demand[i]) for i in np.flatnonzero(bins == b)) for b in range(bins.max() + 1)]
+        assert own == got
+
+
+def library():
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    own = packing.byte_bpe()
-    for text in ["a  b\n\n c", " x \t y", "don't 12 34!\r\n", "é  b", "<|endoftext|> x", "  ", "a  b", prose(3, 50)]:
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_tokens_equal_the_library():
+    t, own = library(), packing.byte_bpe()
+    for text in ["a  b\n\n c", " x \t y", "don't 12 34!\r\n", "é  b", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|ENDOFTEXT|>", "  ", "a  b", prose(3, 50)]:
         assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
