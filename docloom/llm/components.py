@@ -32,4 +32,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e, old, mark = new, mark, _mark(new)
         if mark == old:
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._docloom_path = e._docloom_path
+    return out

@@ -14,14 +14,17 @@ points within 2 bits; two fingerprints link exactly if they share such a point,
 With ``similarity`` (keep_one_of_each), texts whose distinct shingles have that Jaccard similarity link too: at 0.8 they differ in
 about ten of 64 bits, which no selective segment of a SimHash survives. The same deletion-variant signatures then index a MinHash
 sketch, 6 segments of 5 values: two such texts differ by at most one value in at least one segment with probability 0.9997, so
-their texts meet under one of 30 variants, each with one value left out. Candidates are verified on whole shingle sets. Members of a
-variant are compared with its pivot, three times with other pivots, and up to ``PAIRED`` members with each other where components
+their texts meet under one of 30 variants, each with one value left out. Texts that meet nobody leave at once; shingle sets are worked out for
+the others, once, and candidates of one size (a similar pair's sizes have that ratio too) are verified on whole sets. Members of a
+variant are compared with its pivot, ``TURNS`` times with other pivots, and up to ``PAIRED`` members with each other where components
 still differ. Texts of larger variants whose components still differ get a further exact key: with a text's shingles in order of
 rarity, two similar texts share one of the first size - ceil(similarity * size) + 1, and what is left of both after the first one
-they share must be enough. No pair that meets in a variant and is similar enough is left out.
+they share must be enough. No pair that meets in a variant and is similar enough is left out. Between the steps go texts' numbers and
+components only.
 
 Defined results: null or empty texts and those without words have fingerprint 0 and link to each other. Ids may repeat;
-component_id is the least non-null id. Texts of any length are hashed whole. Other columns are not read.
+component_id is the least non-null id. Texts of any length are hashed whole, block by block. An empty table gives an empty result. Columns other
+than id and text are passed on by keep_one_of_each, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_key
+from .common import discard, materialize, table, text_key
 from .components import connected_components
 
 SHINGLE = 4
@@ -78,13 +81,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _sketch(text: str | None, shingle: int) -> list[int] | None:
-    """MinHash values of the shingles; None without words."""
-    least = None
+    """MinHash values of the shingles and the number of different ones; None without words."""
+    least, blocks = None, []
     for h in _hashes(text, shingle):
         for at in range(0, len(h), 1 << 12):
             low = ((h[at : at + (1 << 12), None] ^ _XORS) * _FACTORS).min(axis=0)
             least = low if least is None else np.minimum(least, low)
-    return None if least is None else least.view(np.int64).tolist()
+        blocks.append(np.unique(h))
+    return None if least is None else [*least.view(np.int64).tolist(), len(np.unique(np.concatenate(blocks)))]
 
 
 def _shingles(text: str | None, shingle: int) -> list[int]:
@@ -176,79 +180,99 @@ def _sketch_keys(sketch):
     return F.array(*[F.xxhash64(F.lit(s * width + out), *[F.get(sketch, F.lit(s * width + i)) for i in range(width) if i != out]) for s in range(segments) for out in range(width)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Of pairs (a, b, u, v), a and b text keys, (u, v) of those whose texts are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, u, v) of texts and their components, (u, v) of those whose texts are similar enough."""
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
     pairs = materialize(pairs.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v")), "candidates")
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    asked = texts.join(ends, "k", "left_semi").dropDuplicates(["k"])
-    sets = materialize(asked.select("k", _once(_shingles, "array<long>", shingle)(F.col("text")).alias("s")), "shingles")
-    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
+    one, two = sets.select(F.col("t").alias("a"), F.col("s").alias("x")), sets.select(F.col("t").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("u", "v")
+    links = materialize(both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("u", "v").distinct(), "links")
+    discard(pairs)
+    return links
 
 
-def _prefix_pairs(crowded: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """crowded: (k, root). Pairs (a, b, u, v) of different roots, among them each that is similar enough."""
-    asked = texts.join(crowded, "k", "left_semi").dropDuplicates(["k"])
-    rows = materialize(asked.select("k", F.explode(_once(_shingles, "array<long>", shingle)(F.col("text"))).alias("s")), "crowded-shingles")
-    rarity = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.join(rarity.hint("merge"), "s").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x")).select("k", "x", F.size("x").alias("size"))
+def _prefix_pairs(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """crowded: (t, root). Pairs (a, b, u, v) of different roots, among them each that is similar enough."""
+    rows = materialize(sets.join(crowded, "t").select("t", "root", F.size("s").alias("size"), F.explode("s").alias("s")), "crowded-shingles")
+    rarity = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what one text has alone is shared with none
+    ranked = rows.join(rarity.hint("merge"), "s", "left").groupBy("t", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "s"))).alias("x"))
     prefix = F.slice("x", 1, (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
-    keyed = materialize(ranked.join(crowded, "k").select("k", "root", "size", F.posexplode(prefix).alias("at", "x")).select("k", "root", "size", "at", "x.s"), "prefixes")
-    other = keyed.select("s", F.col("k").alias("b"), F.col("root").alias("v"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
+    keyed = materialize(ranked.select("t", "root", "size", F.posexplode(prefix).alias("at", "x")).where("x.n > 1").select("t", "root", "size", "at", "x.s"), "prefixes")
+    discard(rows)
+    other = keyed.select("s", F.col("t").alias("b"), F.col("root").alias("v"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     # from their first common shingle on, two texts share at most what is left of either
     left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
     near = left * (1 + similarity) >= (F.col("size") + F.col("size_b")) * similarity - 1e-9
-    return keyed.withColumnsRenamed({"k": "a", "root": "u"}).join(other.hint("merge"), "s").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near).select("a", "b", "u", "v")
+    return keyed.withColumnsRenamed({"t": "a", "root": "u"}).join(other.hint("merge"), "s").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near).select("a", "b", "u", "v")
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    found = materialize(connected_components(links), "components").select(F.col("node").alias("root"), F.col("root").alias("r"))
-    return materialize(roots.join(found, "root", "left").select("fp", F.coalesce("r", "root").alias("root")), "roots")
-
-
-def similar_roots(texts: DataFrame, rows: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """roots (fp, root) of all fingerprints, joined further where texts are similar. texts: (k, text); rows: (k, fp, sketch)."""
-    keyed = materialize(rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketches")
-    keyed = keyed.select("k", "fp", F.explode(_sketch_keys(F.col("sketch"))).alias("key"))
+def similar_roots(docs: DataFrame, text_col: str, rows: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(root, to): the components of roots (fp, root) that meet others, and what they become where texts are similar. rows: (k, fp, sketch)."""
+    named = rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    texts = materialize(named.join(roots, "fp").select(F.monotonically_increasing_id().alias("t"), "k", "root", "sketch"), "sketches")
+    keyed = texts.select("t", F.explode(_sketch_keys(F.col("sketch"))).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(keyed.join(counts.hint("merge"), "key"), "variants")
     # the text that meets most others is in the middle of its group, so most of the group links to it
-    met = met.join(met.groupBy("k").agg(F.sum("c").alias("met")), "k")
+    meets = met.groupBy("t").agg(F.sum("c").alias("met"))
+    asked = materialize(texts.join(meets.hint("merge"), "t").select("t", "k", "root", F.get("sketch", F.lit(SKETCH[0] * SKETCH[1])).alias("size"), "met"), "asked")
+    own = docs.select(text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(asked.select("k", "t").hint("merge"), "k").dropDuplicates(["t"])
+    sets = materialize(own.select("t", _once(_shingles, "array<long>", shingle)(F.col("text")).alias("s")), "shingles")
+    members = materialize(met.join(asked.select("t", "root", F.col("root").alias("was"), "size", "met").hint("merge"), "t"), "members")
+    was = materialize(asked.select(F.col("root").alias("was"), "root").distinct(), "was")
+    discard(met, texts, asked)
+
+    def merge(members: DataFrame, pairs: DataFrame) -> DataFrame:
+        """members with the components that they have after the links among pairs; so has was."""
+        nonlocal was
+        links = _verified(pairs, sets, similarity)
+        components = connected_components(links)
+        found = materialize(components, "components")
+        renamed = found.select(F.col("node").alias("root"), F.col("root").alias("r")).hint("merge")
+        out, old = [materialize(x.join(renamed, "root", "left").withColumn("root", F.coalesce("r", "root")).select(x.columns), "members") for x in (members, was)], was
+        was = out[1]
+        discard(links, components, found, old)
+        return out[0]
+
+    near = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-9
     for turn in range(TURNS):
-        members = met.join(roots, "fp").select("key", "k", "root", "met", "c")
-        order = F.struct(-F.col("met"), F.xxhash64("k"), "k", "root") if turn == 0 else F.struct(F.lit(0).cast("long"), F.xxhash64("key", "k", F.lit(turn)), "k", "root")
+        order = F.struct(-F.col("met"), F.xxhash64("t"), "t", "root", "size") if turn == 0 else F.struct(F.lit(0).cast("long"), F.xxhash64("key", "t", F.lit(turn)), "t", "root", "size")
         mixed = members.groupBy("key").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        pivots = materialize(mixed.select("key", F.col("p.k").alias("b"), F.col("p.root").alias("v")), "pivots")
-        stars = members.join(pivots.hint("merge"), "key").where("root <> v").select(F.col("k").alias("a"), "b", F.col("root").alias("u"), "v")
-        roots = _joined(roots, _verified(stars, texts, similarity, shingle))
-    members = materialize(met.where(F.col("c") <= PAIRED).join(roots, "fp").select("key", "k", "root"), "members")
-    other = members.select("key", F.col("k").alias("b"), F.col("root").alias("v"))
-    pairs = members.select("key", F.col("k").alias("a"), F.col("root").alias("u")).join(other.hint("merge"), "key").where("a < b and u <> v").select("a", "b", "u", "v")
-    roots = _joined(roots, _verified(pairs, texts, similarity, shingle))
-    members = met.where(F.col("c") > PAIRED).join(roots, "fp").select("key", "k", "root")
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    crowded = materialize(members.join(mixed.hint("merge"), "key").select("k", "root").distinct(), "crowded")
-    return _joined(roots, _verified(_prefix_pairs(crowded, texts, similarity, shingle), texts, similarity, shingle))
+        pivots = mixed.select("key", F.col("p.t").alias("b"), F.col("p.root").alias("v"), F.col("p.size").alias("size_b"))
+        met = materialize(members.join(pivots.hint("merge"), "key"), "members")
+        discard(members)
+        stars = met.where(F.col("root") != F.col("v")).where(near).select(F.col("t").alias("a"), "b", F.col("root").alias("u"), "v")
+        members = merge(met.drop("b", "v", "size_b"), stars)
+        discard(met)
+    few = members.where(F.col("c") <= PAIRED)
+    other = few.select("key", F.col("t").alias("b"), F.col("root").alias("v"), F.col("size").alias("size_b"))
+    pairs = few.select("key", F.col("t").alias("a"), F.col("root").alias("u"), "size").join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near).select("a", "b", "u", "v")
+    members, old = merge(members, pairs), members
+    discard(old)
+    mixed = members.where(F.col("c") > PAIRED).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    crowded = materialize(members.join(mixed.hint("merge"), "key").select("t", "root").distinct(), "crowded")
+    merge(crowded, _prefix_pairs(crowded, sets, similarity))
+    discard(members, sets, crowded)
+    return was.select(F.col("was").alias("root"), F.col("root").alias("to"))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, crowd: int = CROWD, similarity: float | None = None) -> DataFrame:
     """(id, k, fp, first) for each row; k: digest of the text; first: (no_id, id, k) of the group's first document."""
-    texts = docs.select(text_key(F.col(text_col)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     if similarity is not None:
         named = named.withColumn("sketch", _once(_sketch, "array<long>", shingle)(F.col("__text")))
     sketches = ["sketch"] if similarity is not None else []
     rows = materialize(fingerprints(named, "__text", shingle).select("id", text_key(F.col("__text")).alias("k"), F.col("__fp").alias("fp"), *sketches), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("first")), "distinct")
-    roots = materialize(link_components(fps.select("fp", "n"), distance, crowd), "roots")
+    linked = link_components(fps.select("fp", "n"), distance, crowd)
+    roots = materialize(fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     if similarity is not None:
-        every = materialize(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-        roots = similar_roots(texts, rows.select("k", "fp", "sketch"), every, similarity, shingle)
-        rows = rows.drop("sketch")
-    labelled = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = labelled.groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(labelled.select("fp", "root").join(firsts, "root").select("fp", "first"), "fp")
+        to = similar_roots(docs, text_col, rows.select("k", "fp", "sketch"), roots.select("fp", "root"), similarity, shingle)
+        roots = materialize(roots.join(to.hint("merge"), "root", "left").select("fp", "first", F.coalesce("to", "root").alias("root")), "roots")
+    firsts = roots.groupBy("root").agg(F.min("first").alias("first"))
+    return rows.drop("sketch").join(roots.select("fp", "root").join(firsts, "root").select("fp", "first"), "fp")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = DISTANCE, similarity: float | None = 0.8) -> DataFrame:
