@@ -182,23 +182,36 @@ def test_suffix_array():
         assert gsaca.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("construction", ["windows", "grouping"])
-def test_repeats(spark, construction):
+def test_suffix_array_of_parts():
+    r = random.Random(3)
+    for _ in range(100):
+        s = [c for _ in range(r.randint(1, 6)) for c in [*[r.choice([1, 2, 300]) for _ in range(r.randint(0, 9))], 0]]
+        assert gsaca.suffix_array(np.array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+@pytest.mark.parametrize(("construction", "small"), [("windows", False), ("grouping", False), ("grouping", True)])
+def test_repeats(spark, construction, small):
+    sizes = {"bucket_bytes": 500, "filter_bytes": 900, "home_bytes": 700} if small else {}
     shared = prose(1, 30)
     texts = [(2, prose(2, 20) + shared + prose(3, 20)), (1, shared + prose(4, 10)), (3, shared[10:80] + "é" + shared), (7, shared + prose(4, 10)), *ODD]
-    want, seen = {}, set()
+    texts += [(20 + i, prose(40 + i, 9) + shared[i : 60 + 3 * i] + prose(60 + i, 4)) for i in range(12)] + [(40, "ab" * 70), (41, "ab" * 90), (41, "xab" * 50 + shared), (42, "ab" * 30 + "z" + "ab" * 30)]
+    want = {}
     for i, t in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
         b = (t or "").encode()
         gone = [False] * len(b)
         for s in range(len(b) - 49):
             if any(b[s : s + 50] in (u or "").encode() for j, u in texts if j is not None and j < i):
                 gone[s : s + 50] = [True] * 50
-        want[i, len(b)] = hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest(), sum(gone)
-    out = suffixdedup.remove_repeats(docs(spark, texts), construction=construction).collect()
+        want[i, len(b)] = hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest(), sum(gone), sum(g and not f for f, g in zip([False, *gone], gone, strict=False))
+    out = suffixdedup.remove_repeats(docs(spark, texts), construction=construction, **sizes).collect()
     assert len(out) == len(texts)
     for r in out:
         if r.doc_id is not None:
-            assert (bytes(r.kept).hex(), r.n_removed) == want[r.doc_id, r.n_bytes]
+            assert (bytes(r.kept).hex(), r.n_removed, r.n_spans) == want[r.doc_id, r.n_bytes]
+    assert sum(w[1] > 0 for w in want.values()) > 10
+    assert suffixdedup.remove_repeats(docs(spark, [])).count() == 0
+    with pytest.raises(TypeError):
+        suffixdedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_neighbours(spark):
