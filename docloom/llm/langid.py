@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching (PPM).
 
-Training: from each language a bounded sample of labelled rows (``SAMPLE_ROWS`` rows of lowest seeded hash, whole texts)
+Training: from each language a bounded sample of its different labelled texts (the ``SAMPLE_ROWS`` of lowest seeded hash, whole)
 gives counts of byte strings of length 1 to ``ORDER`` + 1, gathered by the executors. They form a context tree per
 language. Frozen afterwards, a context of n bytes, seen N times with T different successors, codes a successor seen c
 times with probability c / (N + T) and escapes to the next shorter context with T / (N + T) (escape method C, without
@@ -11,7 +11,8 @@ Code lengths are rounded to 2**-16 bit and summed as integers, so the result dep
 Scoring needs no per-byte loop: the deepest known string ending at each byte is found by table look-up for whole blocks.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0. Where no labelled row exists, all are
-``und``. Rows may repeat. Texts of any length are scored whole, block by block.
+``und``. Rows may repeat. Texts of any length are scored whole, block by block. An empty table gives an empty one. Columns named in ``keep`` are passed
+on; others are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SAMPLE_ROWS = 400
 #: Bytes that are scored at once.
 BLOCK = 1 << 19
 UNIT = 1 << 16
+#: Known byte pairs up to which the deepest contexts are found by position, in a table of their square; more are searched.
+DENSE_PAIRS = 4096
 HELD_OUT = 5
 
 
@@ -61,7 +64,8 @@ class ContextTrees:
 
     langs: list[str]
     pair_id: np.ndarray  # 65536 -> dense number of a known pair, 0: unknown
-    row4: np.ndarray  # (pair, pair) -> row of cost4, 0: unknown
+    row4: np.ndarray  # (pair, pair) -> row of cost4, 0: unknown; empty where that would be too large, then keys4 is searched
+    keys4: np.ndarray  # the pairs of cost4, sorted
     cost4: np.ndarray
     esc3: np.ndarray  # row of a known 3-byte context -> cost of leaving it
     row3: np.ndarray  # (pair, byte) -> row of cost3 and esc3, 0: unknown
@@ -75,7 +79,12 @@ class ContextTrees:
         pairs = (data[:-1].astype(np.int32) << 8) | data[1:]
         ids = self.pair_id[pairs]
         n_pairs = np.int32(self.row3.shape[0])
-        row = self.row4[ids[:-2] * n_pairs + ids[2:]]
+        if len(self.row4):
+            row = self.row4[ids[:-2] * n_pairs + ids[2:]]
+        else:
+            pair = ids[:-2].astype(np.int64) * n_pairs + ids[2:]
+            row = np.searchsorted(self.keys4, pair)
+            row = np.where(self.keys4[np.minimum(row, len(self.keys4) - 1)] == pair, row + 1, 0)
         cost = self.cost4[row]
         if len(miss := np.flatnonzero(row == 0)):
             ctx = self.row3[ids[miss], data[miss + 2]]  # the three bytes before
@@ -89,7 +98,7 @@ class ContextTrees:
         return total[ends - ORDER] - total[starts - ORDER]
 
 
-def grow_trees(counts: pd.DataFrame) -> ContextTrees:
+def grow_trees(counts: pd.DataFrame, dense_pairs: int = DENSE_PAIRS) -> ContextTrees:
     """counts: lang, gram (4 bytes as an integer), n."""
     langs = sorted(counts["lang"].unique())
     L = len(langs)
@@ -133,21 +142,24 @@ def grow_trees(counts: pd.DataFrame) -> ContextTrees:
     row3 = np.zeros((n_pairs, 256), dtype=np.int32)
     row3[pair_id[keys[3] >> 8], keys[3] & 255] = np.arange(1, len(keys[3]) + 1)
     c4, e3 = level(4, c3[np.searchsorted(keys[3], keys[4] & 0xFFFFFF)], keys[3])
-    row4 = np.zeros(n_pairs * n_pairs, dtype=np.int32)
-    row4[pair_id[keys[4] >> 16] * n_pairs + pair_id[keys[4] & 0xFFFF]] = np.arange(1, len(keys[4]) + 1)
+    keys4 = pair_id[keys[4] >> 16].astype(np.int64) * n_pairs + pair_id[keys[4] & 0xFFFF]
+    row4 = np.zeros(n_pairs * n_pairs if n_pairs <= dense_pairs else 0, dtype=np.int32)
+    if len(row4):
+        row4[keys4] = np.arange(1, len(keys4) + 1)
     zero = np.zeros((1, L), dtype=np.int64)
     narrow = lambda a: np.concatenate([zero, a]).astype(np.int32)
-    return ContextTrees(langs, pair_id, row4, narrow(c4), narrow(e3), row3, narrow(c3), cost2.astype(np.int32), esc2.astype(np.int32))
+    return ContextTrees(langs, pair_id, row4, keys4, narrow(c4), narrow(e3), row3, narrow(c3), cost2.astype(np.int32), esc2.astype(np.int32))
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ContextTrees | None:
     """Trees from rows with text and language. The driver sees counts of a bounded sample, never texts."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    by_lang = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    by_lang = F.broadcast(by_lang) if by_lang.limit(10_001).count() <= 10_000 else by_lang
     # a first, loose cut by hash keeps the exact one cheap: of h's range each language keeps 4 times what it needs
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_rows + 100) / F.col("total"))
-    loose = rows.join(F.broadcast(by_lang), "lang").where(F.pmod("h", F.lit(1 << 30)) <= share * (1 << 30))
+    loose = rows.join(by_lang, "lang").where(F.pmod("h", F.lit(1 << 30)) <= share * (1 << 30)).dropDuplicates(["lang", "text"])
     sample = loose.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_rows)
     counts = sample.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return grow_trees(counts) if len(counts) else None
