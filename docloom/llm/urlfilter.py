@@ -5,7 +5,8 @@ key that a list entry could have. A key that the Bloom filter refuses is certain
 joined with the list itself, so false positives never reach the result. The longest listed key decides.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits nothing and gets ``default``. Rows may
-repeat; each is judged. Equal keys listed with different verdicts block. Columns other than the id are not read.
+repeat; each is judged. Equal keys listed with different verdicts block. Of a long host only suffixes with no more labels than the longest listed one
+are looked up: others can't be listed. An empty table gives an empty one, an empty list gives ``default``. Columns other than id and url are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """(id, host, path, rule, verdict) for every row of pages."""
     spark = pages.sparkSession
     rules = rules.groupBy(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.max("verdict").alias("verdict")).where(F.col("host").isNotNull())
+    depth = rules.agg(F.max(F.size(F.split("host", "\\.", -1)))).first()[0] or 1
     lengths = sorted(r[0] for r in rules.select(F.length("path").alias("n")).distinct().collect())
     words = spark.sparkContext.broadcast(build_filter(rules))
 
@@ -78,7 +80,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     judged = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     urls = judged.select("host", "path").distinct()
     labels = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - (depth - 1), F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = (
         urls.where(F.col("host") != "")
         .select("host", "path", F.explode(suffixes).alias("r_host"))
