@@ -1,8 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Words are runs of letters and digits in lower case; shingles are ``SHINGLE`` words (a shorter item is one shingle). Items
+Words are runs of letters and digits in lower case; shingles are ``SHINGLE`` words. A text or an item of fewer words is one shingle, so so short an item is
+found where a text is nothing else, not inside longer texts: words that common would reject clean documents. Items
 are partitioned by their number of distinct shingles, in powers of two. An item's sketch is the bottom k of its shingles
-under a hash order (shingles rarer among the items first), with k = floor((1 - threshold) * u) + 1 for the largest size u
+under a hash order that puts shingles rarer among the items first (so it is a bottom-k sketch by rarity, then hash; texts are searched whole instead of being sketched), with k = floor((1 - threshold) * u) + 1 for the largest size u
 of its partition. A text that holds at least ``threshold`` of an item's shingles misses at most floor((1 - threshold) *
 size) of them, fewer than k, so it shares one of the sketch: the search loses no item. Texts are searched whole, by
 hashing each of their shingles against the sketches; a text too short for an item's partition is not a candidate.
@@ -12,7 +13,8 @@ code. Texts are told apart by a 128-bit digest, so copies are searched once each
 up a third of the rows costs one verification.
 
 Defined results: null and empty texts or items without words match nothing. Repeated rows each get their pairs. Ids may
-repeat or be null; pairs are joined by text, not by id. Other columns are not read.
+repeat or be null; pairs are joined by text, not by id. Texts of any length are searched whole. An empty table of texts or of items gives no pair.
+Other columns, whatever their names, are not read; decontaminate passes them on.
 """
 
 from __future__ import annotations

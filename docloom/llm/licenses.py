@@ -5,8 +5,11 @@ Normalisation, in this order: A-Z to lower case; copyright lines (``copyright``
 becomes one blank; equivalent spellings get one form. So line wrapping, bullets, quotes and the holder's name don't
 matter, while any other changed word does. Texts are compared entire: a licence inside a longer text is not a match.
 
+A copyright line goes whole: a licence that follows the holder's name on the same line goes with it and is not found.
+
 Defined results: a null text has the digest of the empty text and no licence, as has a text without letters or digits.
-Every row gets a row. Other columns are not read.
+Every row gets a row; rows may repeat. Texts of any length are hashed whole. An empty table gives an empty one. Columns other than id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .common import ascii_lower, table
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorised", "authorized"),
     ("behaviour", "behavior"), ("favour", "favor"), ("fulfil", "fulfill"), ("licence", "license"), ("licenced", "licensed"),
-    ("merchantability", "merchantability"), ("modelling", "modeling"), ("noncommercial", "non commercial"), ("organisation", "organization"),
+    ("modelling", "modeling"), ("noncommercial", "non commercial"), ("organisation", "organization"),
     ("organisations", "organizations"), ("recognise", "recognize"), ("sub license", "sublicense"), ("whilst", "while"), ("wilful", "willful"),
 ]
 COPYRIGHT_LINE = "(?m)^[^a-z0-9\\n]*(copyright[ \\t]*([(]c[)]|©|[0-9]|<|[\\[]|:|by )|[(]c[)]|©|all rights reserved)[^\\n]*$"
@@ -52,7 +55,7 @@ def canonical(text: Column) -> Column:
     """The normal form that is hashed."""
     c = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
     c = F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
-    return reduce(lambda x, s: F.regexp_replace(x, f"\\b{s[0]}\\b", s[1]), [s for s in SPELLINGS if s[0] != s[1]], c)
+    return reduce(lambda x, s: F.regexp_replace(x, f"\\b{s[0]}\\b", s[1]), SPELLINGS, c)
 
 
 def digest(text: Column) -> Column:
@@ -79,8 +82,7 @@ def _sql(column: str) -> str:
     quoted = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     c = f"trim(regexp_replace(regexp_replace(translate(coalesce({column}, ''), {quoted}), '{COPYRIGHT_LINE.replace(chr(92) * 2, chr(92))}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for a, b in SPELLINGS:
-        if a != b:
-            c = f"regexp_replace({c}, '\\b{a}\\b', '{b}', 'g')"
+        c = f"regexp_replace({c}, '\\b{a}\\b', '{b}', 'g')"
     return c
 
 
