@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,24 +57,100 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicate_groups(docs(spark, [])).count() == 0
 
 
+def by_contexts(counts, text):
+    """Code lengths of a text, byte by byte, from counts of four-byte strings: escape method C, order 3."""
+    out = []
+    for lang in sorted(counts["lang"].unique()):
+        after = {}
+        for gram, n in counts[counts["lang"] == lang][["gram", "n"]].itertuples(index=False):
+            g = int(gram).to_bytes(4, "big")
+            for k in range(4):
+                after.setdefault(g[3 - k : 3], Counter())[g[3]] += n
+        data, total, known = b"\n" * 3 + text.encode(), 0, {}
+        for at in range(3, len(data)):
+            key = data[at - 3 : at + 1]
+            if key not in known:
+                bits = lambda p: int(np.rint(-np.log2(p) * langid.UNIT))
+                cost = 0
+                for k in (3, 2, 1, 0):
+                    seen = after.get(key[3 - k : 3])
+                    if seen is None:
+                        continue
+                    n, kinds = sum(seen.values()), len(seen)
+                    if key[3] in seen:
+                        cost += bits(seen[key[3]] / (n + kinds))
+                        break
+                    cost += bits(kinds / (n + kinds))
+                else:
+                    cost += 8 * langid.UNIT
+                known[key] = cost
+            total += known[key]
+        out.append(total)
+    return out
+
+
 def test_language(spark):
     rows = [(i, " ".join(random.Random(i).choices(v, k=30)), lang, "s", 0, 1, 2) for i in range(120) for lang, v in [("xx", ["alpha", "beta", "gam"]), ("yy", ["oumo", "quez", "zorr"])]]
     df = spark.createDataFrame(rows, DOCS)
     trees = langid.train(df)
     out = langid.identify(df, trees, keep=("lang",)).collect()
     assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in out)
+    few = langid.grow_trees(counts := pd.concat(langid._count([pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars", "k", "rank"])])), dense_pairs=0)
+    texts = ["alpha oumo", "new bytes ~~é beta", "zorr" * 30000]
+    assert (langid._score(few, texts) == langid._score(langid.grow_trees(counts), texts)).all()
+    assert langid._score(few, texts).tolist() == [by_contexts(counts, t) for t in texts]
     odd = langid.identify(docs(spark, ODD), trees).collect()
     assert len(odd) == len(ODD) and sum(r.lang_pred == "und" for r in odd) == 3
     assert langid.train(docs(spark, [])) is None and langid.identify(docs(spark, ODD), None).count() == len(ODD)
 
 
+def by_hand(rows, n_shards, seed, bucket_rows):
+    """The two passes over (a, b) rows, one by one."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    def h(*parts):
+        out = 42
+        for kind, x in parts:
+            out = xxh64_intdigest(x.encode() if kind == "s" else struct.pack("<" + kind, x), out)
+        return out - (1 << 64) if out >> 63 else out
+
+    n_buckets, buckets, copies = max(1, -(-len(rows) // bucket_rows)), {}, Counter()
+    for a, b in rows:
+        copies[a, b] += 1
+        x = h(("i", seed), ("q", a), ("s", b), ("q", copies[a, b]))
+        buckets.setdefault(x % n_buckets, []).append((x, a, b))
+    out, place = set(), 0
+    for k in sorted(buckets):
+        items, order = sorted(buckets[k]), list(range(len(buckets[k])))
+        for i in range(len(items), 1, -1):
+            j = h(("i", seed), ("q", k), ("i", i)) % i
+            order[i - 1], order[j] = order[j], order[i - 1]
+        for i in order:
+            out.add((*items[i][1:], place % n_shards, place // n_shards))
+            place += 1
+    return out
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500])
 def test_sharding(spark, n):
-    df = spark.createDataFrame([(i // 3, "x") for i in range(n)], "a long, b string")
-    out = sharding.assign_shards(df, 4, seed=1, bucket_rows=16).collect()
-    assert sorted((r.a, r.b) for r in out) == sorted((i // 3, "x") for i in range(n))
-    places = sorted(r.slot * 4 + r.shard for r in out)
-    assert places == list(range(n))
+    rows = [(i // 3, "x") for i in range(n)] + [(-1, "hot")] * n
+    want = by_hand(rows, 4, 1, 16)
+    random.Random(n).shuffle(rows)
+    for parts in (1, 5):
+        out = sharding.assign_shards(spark.createDataFrame(rows, "a long, b string").repartition(parts), 4, seed=1, bucket_rows=16).collect()
+        assert {(r.a, r.b, r.shard, r.slot) for r in out} == want and len(out) == len(rows)
+
+
+def test_sharding_writes_and_refuses(spark, tmp_path):
+    df = docs(spark, ODD)
+    sharding.write_shards(df, str(tmp_path / "s"), 3, seed=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(repr, back.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    assert sorted(Counter(r.shard for r in back.collect()).values()) == [2, 2, 3]
+    with pytest.raises(ValueError, match="shard"):
+        sharding.assign_shards(spark.createDataFrame([(1, 2)], "a long, shard int"), 4)
 
 
 def test_line_runs(spark):
@@ -92,6 +169,9 @@ def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     texts = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "\n  ")), (2, mit + " extra"), (3, None)]
     assert {r.doc_id: r.license for r in licenses.scan_licenses(docs(spark, texts), known).collect()} == {1: "MIT", 2: None, 3: None}
+    out = licenses.scan_licenses(docs(spark, ODD).withColumn("license", F.lit("x")).withColumn("digest", F.lit(1)), known).collect()
+    assert sorted(map(str, (r.doc_id for r in out))) == sorted(str(i) for i, _ in ODD) and all(r.license is None for r in out)
+    assert licenses.scan_licenses(docs(spark, []), known).count() == 0
 
 
 def check_sequences(out, tokens, segments, loss):
@@ -172,7 +252,8 @@ def test_containment(spark):
     items = spark.createDataFrame([(1, item), (2, prose(6, 3)), (3, None), (4, "")], "item_id long, text string")
     texts = [(10, prose(7, 400) + " " + item + " " + prose(8, 400)), (11, prose(9, 300)), (12, " ".join(item.split()[:20])), *ODD]
     kept = decontam.decontaminate(docs(spark, texts), items).collect()
-    assert {r.doc_id for r in kept} == {11, 12, 1, 2, 3, 4, None, 5}
+    assert {r.doc_id for r in kept} == {11, 12, 1, 2, 3, 4, None, 5} and len(kept) == len(texts) - 1
+    assert decontam.decontaminate(docs(spark, []), items).count() == 0 and decontam.decontaminate(docs(spark, ODD), items.limit(0)).count() == len(ODD)
 
 
 def test_suffix_array():
@@ -234,6 +315,9 @@ def test_urls(spark):
     urls = ["http://A.net/x", "http://example.net/en/1?u", "http://notexample.com/de/", "http://www.example.com/de/#f", "http://net", None, "no scheme", "http://x.org/fr/y", "http://x.org?q=/fr/"]
     out = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert out == {0: ("net/", "block"), 1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("example.com/de/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("org/fr/", "allow"), 8: (None, "allow")}
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20000 + "net/x", "c"), (2, "http://b.net/", "c"), (2, "http://b.net/", "c")], "page_id long, url string, verdict string")
+    assert [(r.page_id, r.rule) for r in urlfilter.judge_urls(pages, rules).orderBy("page_id").collect()] == [(1, "net/"), (2, "net/"), (2, "net/")]
+    assert urlfilter.judge_urls(pages.limit(0), rules).count() == 0 and urlfilter.judge_urls(pages, rules.limit(0)).where("verdict = 'allow'").count() == 3
 
 
 def test_similar_texts_join_exactly(spark):
