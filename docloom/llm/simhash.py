@@ -17,8 +17,8 @@ sketch, 6 segments of 5 values: two such texts differ by at most one value in at
 their texts meet under one of 30 variants, each with one value left out. Texts that meet nobody leave at once; shingle sets are worked out for
 the others, once, and candidates of one size (a similar pair's sizes have that ratio too) are verified on whole sets. Members of a
 variant are compared with its pivot, ``TURNS`` times with other pivots, and up to ``PAIRED`` members with each other where components
-still differ. Texts of larger variants whose components still differ get a further exact key: with a text's shingles in order of
-rarity, two similar texts share one of the first size - ceil(similarity * size) + 1, and what is left of both after the first one
+still differ. Texts of larger variants whose components still differ get a further exact key: with a text's shingles in one order, rare ones
+first, two similar texts share one of the first size - ceil(similarity * size) + 1, and what is left of both after the first one
 they share must be enough. No pair that meets in a variant and is similar enough is left out. Between the steps go texts' numbers and
 components only.
 
@@ -50,6 +50,8 @@ _BLOCK = 1 << 15
 SKETCH = (6, 5)
 #: Times that pivots are chosen, and the most members of a variant that are compared with each other directly; larger ones are by prefixes.
 TURNS, PAIRED = 3, 32
+#: Remainders of shingles that are counted to tell frequent ones.
+COUNTS = 1 << 19
 _XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 1, SKETCH[0] * SKETCH[1]), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 
 
@@ -194,13 +196,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _prefix_pairs(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """crowded: (t, root). Pairs (a, b, u, v) of different roots, among them each that is similar enough."""
-    rows = materialize(sets.join(crowded, "t").select("t", "root", F.size("s").alias("size"), F.explode("s").alias("s")), "crowded-shingles")
-    rarity = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # what one text has alone is shared with none
-    ranked = rows.join(rarity.hint("merge"), "s", "left").groupBy("t", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "s"))).alias("x"))
-    prefix = F.slice("x", 1, (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
-    keyed = materialize(ranked.select("t", "root", "size", F.posexplode(prefix).alias("at", "x")).where("x.n > 1").select("t", "root", "size", "at", "x.s"), "prefixes")
-    discard(rows)
+    """crowded: (t, root). Pairs (a, b, u, v) of different roots, among them each that is similar enough.
+
+    Any one order of all shingles gives a right prefix; rare ones first gives few candidates. How many shingles fall to each of ``COUNTS`` remainders
+    is enough to tell frequent ones and is of a fixed size.
+    """
+    own = sets.join(crowded.hint("merge"), "t").select("t", "root", "s")
+    found = own.select(F.explode("s").alias("s")).groupBy(F.pmod("s", F.lit(COUNTS)).alias("k")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = np.zeros(COUNTS, dtype=np.int64)
+    counts[found["k"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
+    shared = own.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("array<long>")
+    def prefix(parts: pd.Series) -> pd.Series:
+        out = []
+        for x in parts:
+            x = np.asarray(x, dtype=np.int64)
+            out.append(x[np.lexsort([x, shared.value[x % COUNTS]])][: len(x) - int(np.ceil(len(x) * similarity - 1e-9)) + 1])
+        return pd.Series(out, dtype=object)
+
+    keyed = materialize(own.select("t", "root", F.size("s").alias("size"), F.posexplode(prefix("s")).alias("at", "s")), "prefixes")
     other = keyed.select("s", F.col("t").alias("b"), F.col("root").alias("v"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
     # from their first common shingle on, two texts share at most what is left of either
     left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
