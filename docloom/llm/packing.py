@@ -102,9 +102,9 @@ def byte_bpe() -> ByteBpe:
 def _ids_and_loss(tok, text, parts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a document, and before each of them (and after the last) the number of those that bear loss."""
     if parts is None:
-        encoded = [(tok.encode(text), True)] if text else []
-    else:
-        encoded = [(tok.encode(p["text"]), bool(p["loss"])) for p in parts if p is not None and p["text"]]
+        ids = np.append(tok.encode(text), np.uint32(end_id)) if text else np.array([end_id], dtype="<u4")
+        return ids, np.arange(len(ids) + 1)
+    encoded = [(tok.encode(p["text"]), bool(p["loss"])) for p in parts if p is not None and p["text"]]
     encoded.append((np.array([end_id]), True))
     ids = np.concatenate([x for x, _ in encoded]).astype("<u4")
     return ids, np.concatenate([[0], np.cumsum(np.repeat([bears for _, bears in encoded], [len(x) for x, _ in encoded]))])
@@ -122,7 +122,9 @@ def cut_pieces(docs: DataFrame, tokenizer: Callable[[], object] = byte_bpe, max_
                 ids, loss = _ids_and_loss(tok, text, (parts if parts is not None else []) if parts_col else None, end_id)
                 s = 0
                 while s < len(ids):
-                    e = min(s + max_tokens, len(ids), int(np.searchsorted(loss, loss[s] + (max_loss or max_tokens), "right")) - 1)
+                    e = min(s + max_tokens, len(ids))
+                    if max_loss is not None:
+                        e = min(e, int(np.searchsorted(loss, loss[s] + max_loss, "right")) - 1)
                     out.append((doc_id, s, e - s, int(loss[e] - loss[s]), zlib.crc32(ids[s:e]), len(ids), number))
                     if with_ids:
                         kept.append(ids[s:e].astype(np.int32))
