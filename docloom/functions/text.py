@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Phrases of a refusal, looked for in lower case.
-REFUSALS = ("i cannot", "i can't", "i'm sorry", "as an ai", "unable to")
+REFUSALS = ("죄송", "답변할 수 없", "i cannot", "i can't", "as an ai")
 
 
 def non_blank(c: Column) -> Column:
@@ -27,10 +27,21 @@ def is_refusal(c: Column) -> Column:
     return F.coalesce(F.greatest(*[F.contains(F.lower(c), F.lit(p)) for p in REFUSALS]), F.lit(False))
 
 
+#: The visible characters of a text of full length, and the classes of characters, as insides of a character class.
+FULL_LENGTH = 1200
+SPACES = r"\x{09}\x{0A}\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+MEANINGFUL = r"0-9A-Za-z\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}"
+CONTROLS = r"\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}"
+
+
 def quality(c: Column) -> Column:
-    """0 to 1 from the share of letters and digits among visible characters and from length, less for control and replacement characters."""
+    """0 to 1 from the share of meaningful among visible characters and from length, less for control and replacement characters.
+
+    Spaces, control and replacement characters aren't visible. Characters are counted by taking runs of the others out.
+    """
+    left = lambda inside: F.length(F.regexp_replace(c, f"[{inside}]+", ""))
     points = F.greatest(F.length(c), F.lit(1))
-    visible = F.regexp_count(c, F.lit("\\S"))
-    meaningful = F.regexp_count(c, F.lit("[\\p{L}\\p{N}]"))
-    q = 0.55 * meaningful / F.greatest(visible, F.lit(1)) + 0.45 * F.least(F.lit(1.0), F.log1p(visible) / F.log(F.lit(1201.0))) - 1.5 * F.regexp_count(c, F.lit("\\x{FFFD}")) / points - F.regexp_count(c, F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")) / points
+    visible = left(SPACES + CONTROLS + r"\x{FFFD}")
+    replaced, controls = F.length(c) - left(r"\x{FFFD}"), F.length(c) - left(CONTROLS)
+    q = 0.55 * left("^" + MEANINGFUL) / F.greatest(visible, F.lit(1)) + 0.45 * F.least(F.lit(1.0), F.log1p(visible) / F.log1p(F.lit(FULL_LENGTH))) - 1.5 * replaced / points - controls / points
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))

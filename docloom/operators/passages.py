@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def line_windows(text: str | None, max_chars: int = 5000, overlap: int = 3) -> list[tuple[int, int]]:
-    """(first, last) line numbers from 1: windows of at most max_chars characters that share ``overlap`` lines and always move on.
+    """(first, last) line numbers from 1: windows of at most max_chars characters, line ends counted, that share ``overlap`` lines and always move on.
 
     A line that is longer than a window stands alone in one. Null and empty texts have no window.
     """
-    lines, out, at = (text or "").split("\n") if text else [], [], 0
-    while at < len(lines):
-        end, used = at, 0
-        while end < len(lines) and (end == at or used + len(lines[end]) + 1 <= max_chars):
-            used += len(lines[end]) + 1
-            end += 1
-        out.append((at + 1, end))
-        if end == len(lines):
-            break
-        at = max(at + 1, end - overlap)
-    return out
+    if not text:
+        return []
+    upto = np.concatenate([[0], np.cumsum([len(x) + 1 for x in text.split("\n")])])
+    # by first line: the last one that fits, and where the window after it begins
+    number = np.arange(1, len(upto))
+    last = np.maximum(np.searchsorted(upto, upto[:-1] + max_chars, side="right") - 1, number)
+    following = np.maximum(last - overlap, number)
+    firsts = [0]
+    while last[firsts[-1]] < number[-1]:
+        firsts.append(int(following[firsts[-1]]))
+    return [(k + 1, int(last[k])) for k in firsts]
 
 
 def overlap_windows(docs: DataFrame, id_col: str, text_col: str, max_chars: int = 5000, overlap: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What smart quotes, dashes and full-width marks become.
-SYMBOLS = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "：": ":", "，": ",", "！": "!", "？": "?"}
+SYMBOLS = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "：": ":", "，": ",", "！": "!", "？": "?", "′": "'", "″": '"'}
 BLANKS = "[ \\t\\n\\r\\f]"
 
 

@@ -76,6 +76,10 @@ def sql(split: str) -> dict[str, str]:
         "collect_until_boundary": f"""WITH z AS ({split}), a AS (SELECT doc_id, min(pos) AS f FROM z WHERE regexp_matches(sentence, '[0-9]') GROUP BY 1),
 b AS (SELECT doc_id, f, min(pos) FILTER (WHERE pos > f AND length(sentence) < 30) AS e FROM z JOIN a USING (doc_id) GROUP BY 1, 2)
 SELECT doc_id, pos, sentence FROM z JOIN b USING (doc_id) WHERE pos >= f AND pos < f + 12 AND (e IS NULL OR pos < e)""",
+        "overlap_line_windows": """WITH RECURSIVE l AS (SELECT doc_id, i, n, length(x) + 1 AS size, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''))),
+b AS (SELECT a.doc_id, a.i AS s, any_value(a.n) AS n, greatest(a.i, coalesce(max(b.i) FILTER (WHERE b.upto - (a.upto - a.size) <= 5000), 0)) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.i),
+w AS (SELECT doc_id, 0 AS pos, s, e, n FROM b WHERE s = 1 UNION ALL SELECT b.doc_id, w.pos + 1, b.s, b.e, b.n FROM w JOIN b ON b.doc_id = w.doc_id AND b.s = greatest(w.s + 1, w.e - 2) WHERE w.e < w.n)
+SELECT doc_id, pos::INT AS pos, s::INT AS first, e::INT AS last FROM w""",
         "json_in_text": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
         "assign_nearest_centroid": """WITH l AS (SELECT vec_id AS id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS c, i, avg(x) AS m FROM l GROUP BY 1, 2),
 a AS (SELECT id, min(struct_pack(d2 := d2, c := c)) AS b FROM (SELECT id, c, sum((x - m) * (x - m)) AS d2 FROM l JOIN m USING (i) GROUP BY 1, 2) GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import is_refusal, quality, strip_reasoning
+from docloom.functions.text import CONTROLS, MEANINGFUL, SPACES, is_refusal, quality, strip_reasoning
 from docloom.operators.keywords import bm25, distinctive_words
 from docloom.operators.paired import kappa, mcnemar, transitions
 from docloom.operators.similarity import group_gap
@@ -106,7 +106,10 @@ FLAGSHIP = "keywords_distinctive"
 QUERIES = {f.__name__: f for f in (similarity_gap, keywords_distinctive, retrieval_bm25, category_top3, documents_left_labels, duplicate_content, text_quality, conversation_flags, paired_mcnemar, paired_kappa, paired_transitions, compliance_rollup, label_pivot, segment_bounds, asof_label_rows, label_representatives, quality_source_distance, json_props, first_n_per_group)}
 
 _W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"
+_COUNT = "length(regexp_replace(text, '[{}]+', '', 'g'))"
+_VISIBLE, _REPLACED, _CONTROLS = (_COUNT.format(x) for x in (SPACES + CONTROLS + r"\x{FFFD}", r"\x{FFFD}", CONTROLS))
 SQL = {
+    "text_quality": f"SELECT doc_id, round(greatest(0, least(1, 0.55 * {_COUNT.format('^' + MEANINGFUL)} / greatest({_VISIBLE}, 1) + 0.45 * least(1, ln(1 + {_VISIBLE}) / ln(1201)) - 1.5 * (length(text) - {_REPLACED}) / greatest(length(text), 1) - (length(text) - {_CONTROLS}) / greatest(length(text), 1))), 6) AS quality FROM documents",
     "compliance_rollup": "SELECT lang, source, n, passed, round(passed / n, 6) AS rate FROM (SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source))",
     "label_pivot": "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY 1",
     "segment_bounds": "SELECT conv_id, segment, min(turn) AS first_turn, max(turn) AS last_turn FROM (SELECT *, (count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM conversations) GROUP BY 1, 2",
@@ -135,7 +138,7 @@ SELECT query_id, rank::INT AS rank, id, score FROM (SELECT *, row_number() OVER
     "duplicate_content": "SELECT doc_id, sha256, copies, first_id FROM (SELECT doc_id, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS copies, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE copies > 1",
     "paired_mcnemar": "SELECT b, c, round(CASE WHEN b + c = 0 THEN 0 ELSE (abs(b - c) - 1) ** 2 / (b + c) END, 6) AS statistic FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS c FROM labels)",
     "paired_transitions": "SELECT coalesce(quality::VARCHAR, 'NULL') AS label_off, coalesce(toxic::VARCHAR, 'NULL') AS label_on, count(*) AS n FROM labels GROUP BY 1, 2",
-    "conversation_flags": """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), 'i cannot|i can''t|i''m sorry|as an ai|unable to')) AS refusals,
+    "conversation_flags": """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(text), '죄송|답변할 수 없|i cannot|i can''t|as an ai')) AS refusals,
 count(*) FILTER (WHERE trim(split_part(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '<think>', 1)) <> trim(text)) AS leaks FROM conversations GROUP BY 1""",
     "paired_kappa": "SELECT n, round((same / n - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, (count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE toxic = 1) + count(*) FILTER (WHERE quality = 0) * count(*) FILTER (WHERE toxic = 0)) / (count(*) * count(*)) AS pe FROM labels)",
 }
