@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.operators import pairs
+from pyspark.sql import functions as F
+
+from docloom.operators import kmeans, pairs
 
 _ARGS = ("vec_id", "embedding", "label")
 
@@ -35,7 +37,24 @@ def silhouette_by_label(spark, d):
     return pairs.silhouette(_v(spark, d), *_ARGS)
 
 
-QUERIES = {f.__name__: f for f in (top_pairs, bottom_pairs, knn_graph, similarity_histogram, within_label_pairs, silhouette_by_label)}
+def kmeans_seeded(spark, d):
+    """Sizes of five clusters, the best of three restarts."""
+    v = _v(spark, d)
+    wcss, centres = kmeans.sweep(v, "vec_id", "embedding", [5])[5]
+    return kmeans.assigned(v, "embedding", centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("wcss", F.round(F.lit(wcss), 6))
+
+
+def k_sweep(spark, d):
+    """wcss and mean silhouette for k from 2 to 6; the elbow is told, the first best silhouette is chosen."""
+    v = _v(spark, d).select("vec_id", "embedding")
+    found = kmeans.sweep(v, "vec_id", "embedding", [2, 3, 4, 5, 6])
+    rows = [(k, float(w), pairs.silhouette(kmeans.assigned(v, "embedding", c).withColumn("cluster", F.col("cluster").cast("long")), "vec_id", "embedding", "cluster").first()["silhouette"]) for k, (w, c) in found.items()]
+    bend, best = kmeans.elbow({k: w for k, w, _ in rows}), max(s for _, _, s in rows if s is not None)
+    chosen = min(k for k, _, s in rows if s == best)
+    return spark.createDataFrame([(k, round(w, 6), s, k == bend, k == chosen) for k, w, s in rows], "k int, wcss double, silhouette double, is_elbow boolean, is_chosen boolean")
+
+
+QUERIES = {f.__name__: f for f in (kmeans_seeded, k_sweep, top_pairs, bottom_pairs, knn_graph, similarity_histogram, within_label_pairs, silhouette_by_label)}
 
 _P = "WITH e AS (SELECT vec_id AS id, label AS grp, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS i, b.id AS j, a.grp AS gi, b.grp AS gj, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.id {op} b.id)"
 _HALF, _FULL = _P.format(op="<"), _P.format(op="<>")
