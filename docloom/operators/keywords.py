@@ -10,14 +10,20 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 2)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def distinctive_words(docs: DataFrame, group_col: str, text_col: str, min_freq: int = 3, top: int = 20) -> DataFrame:
     """(group, rank, keyword, freq, score): share in the group over share in all, of words that the group has min_freq times."""
     tf = docs.select(F.col(group_col).alias("grp"), F.explode(words(F.col(text_col))).alias("keyword")).groupBy("grp", "keyword").agg(F.count(F.lit(1)).alias("freq"))
-    in_group = tf.groupBy("grp").agg(F.sum("freq").alias("group_total"))
-    in_all = tf.groupBy("keyword").agg(F.sum("freq").alias("all_freq"))
-    total = tf.agg(F.sum("freq").alias("total"))
+    # only the words of a text are exploded once; totals are sizes, which need no words apart
+    in_group = docs.groupBy(F.col(group_col).alias("grp")).agg(F.sum(F.size(words(F.col(text_col)))).alias("group_total"))
+    total = in_group.agg(F.sum("group_total").alias("total"))
+    tf = tf.withColumn("all_freq", F.sum("freq").over(Window.partitionBy("keyword")))
     score = F.round((F.col("freq") / F.col("group_total")) / (F.col("all_freq") / F.col("total")), 3)
-    scored = tf.where(F.col("freq") >= min_freq).join(in_group, "grp").join(in_all, "keyword").join(F.broadcast(total)).withColumn("score", score)
+    scored = tf.where(F.col("freq") >= min_freq).join(in_group, "grp").join(F.broadcast(total)).withColumn("score", score)
     order = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("freq"), "keyword")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("grp", "rank", "keyword", "freq", "score")
 
@@ -27,7 +33,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     w = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     stats = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = small(asked.select("term").distinct())  # only asked words leave the row they are in
+    postings = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -22,6 +22,16 @@ def chi2_tail(x: float) -> float:
     return math.erfc(math.sqrt(x / 2))
 
 
+def with_p_values(df: DataFrame, statistic: str | None = None, z: str | None = None) -> DataFrame:
+    """df with p_value: of a statistic with one degree of freedom, or two-sided of a standard normal z; null where that is null."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: chi2_tail(v) if pd.notna(v) else None).astype("float64")
+
+    return df.withColumn("p_value", tail(F.col(statistic).cast("double") if statistic else F.col(z) * F.col(z)))
+
+
 def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """(n, kappa): Cohen's, null with fewer than two labels, 1 where chance agreement is whole."""
     cells = df.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,15 @@ def until_boundary(parts: DataFrame, group: str, order: str, start: Column, stop
     return inside.where(F.col(order) < F.col("__first") + most).select(*parts.columns)
 
 
+def slice_until(parts: Column, start: Callable[[Column], Column], stop: Callable[[Column], Column], most: int = 12) -> tuple[Column, Column]:
+    """The same inside a row: (number, from 0, of the first start; the parts from it up to the first stop after it). No start: an empty array."""
+    first = F.array_position(F.transform(parts, start), F.lit(True)).cast("int")
+    stops = F.transform(parts, lambda x, i: F.when(stop(x) & (i + 1 > first), i + 1))
+    end = F.coalesce(F.array_min(stops), F.size(parts) + 1)
+    found = F.when(first > 0, F.slice(parts, F.greatest(first, F.lit(1)), F.least(end - first, F.lit(most)))).otherwise(F.slice(parts, 1, 0))
+    return first - 1, found
+
+
 def json_object(c: Column) -> Column:
     """The text itself if it is JSON, else from its first { to its last } if that is; else null."""
     inner = F.regexp_extract(c, "(?s)(\\{.*\\})", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.keywords import small
+
 
 def rollup_rates(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
     """(keys, n, passed, rate) by every prefix of the keys; a null key means all."""
@@ -28,10 +30,11 @@ def last_before(df: DataFrame, group: str, order: list[str], value: Column, when
 
 def representatives(vectors: DataFrame, id_col: str, group: str, vector: str, top: int = 2) -> DataFrame:
     """(group, rank, id, cosine): each group's rows nearest to its mean, ties to the smaller id."""
-    long = vectors.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.posexplode(F.col(vector).cast("array<double>")).alias("d", "x"))
-    mean = long.groupBy("grp", "d").agg(F.avg("x").alias("m"))
-    cosine = F.round(F.sum(F.col("x") * F.col("m")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("m") * F.col("m")))), 6)
-    near = long.join(mean, ["grp", "d"]).groupBy("grp", "id").agg(cosine.alias("cosine"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))
+    parts = rows.select("grp", F.posexplode("v").alias("d", "x")).groupBy("grp", "d").agg(F.avg("x").alias("m"))
+    mean = parts.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = rows.join(small(mean, 10_000), "grp").select("grp", "id", F.round(dot("v", "m") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("m", "m"))), 6).alias("cosine"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= top)
 
 

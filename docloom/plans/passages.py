@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.clusters import assign, lloyd, means
 from docloom.operators.paired import bootstrap_mean, wilcoxon
-from docloom.operators.passages import json_object, overlap_windows, until_boundary
+from docloom.operators.passages import json_object, overlap_windows, slice_until
 from docloom.operators.sentences import sentences
 
 K, STEPS = 5, 3
@@ -18,8 +18,10 @@ def _t(spark, d, name):
 
 def collect_until_boundary(spark, d):
     """From each document's first sentence with a digit to the next short one."""
-    s = _t(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    return until_boundary(s, "doc_id", "pos", F.col("sentence").rlike("[0-9]"), F.length("sentence") < 30)
+    s = _t(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
+    first, found = slice_until(F.col("s"), lambda x: x.rlike("[0-9]"), lambda x: F.length(x) < 30)
+    out = s.select("doc_id", first.alias("first"), F.posexplode(found).alias("i", "sentence"))
+    return out.select("doc_id", (F.col("first") + F.col("i")).alias("pos"), "sentence")
 
 
 def overlap_line_windows(spark, d):

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_refusal
-from docloom.operators.keywords import words
+from docloom.operators.keywords import small, words
+from docloom.operators.paired import mcnemar, wilcoxon, with_p_values
 from docloom.operators.sentences import NORMALIZING, blank_run, excerpt, latin_ratio, normalize_symbols, normalize_whole, sentences
 
 #: Parameters of the queries below.
@@ -52,6 +53,7 @@ def overlap_retrieval_topk(spark, d):
     """Documents that share most distinct words with each benchmark item."""
     docs = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     asked = _t(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    docs = docs.join(small(asked.select("word").distinct()), "word", "left_semi")
     shared = docs.join(asked, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).where("rank <= 5")
 
@@ -69,6 +71,14 @@ def paired_change_rate(spark, d):
     return _t(spark, d, "labels").agg(F.round(F.avg((F.col("quality") != F.col("toxic")).cast("int")), 6).alias("rate"))
 
 
+def paired_p_values(spark, d):
+    """McNemar and signed-rank tests of the two labels, with p-values."""
+    l = _t(spark, d, "labels")
+    a = with_p_values(mcnemar(l, F.col("quality") == 1, F.col("toxic") == 1), statistic="statistic").select(F.lit("mcnemar").alias("test"), "statistic", "p_value")
+    b = with_p_values(wilcoxon(l, F.col("quality") * 3, F.col("toxic") * 2), z="z").select(F.lit("signed ranks").alias("test"), F.col("z").alias("statistic"), "p_value")
+    return a.union(b)
+
+
 def validity_rates(spark, d):
     j = _t(spark, d, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, d, "labels"), "doc_id")
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"), F.round(F.avg("n_chars"), 6).alias("n_chars"))
@@ -113,7 +123,7 @@ def neyman_allocation(spark, d):
     return size.join(F.broadcast(total)).select("label", "n", F.round("s", 6).alias("spread"), F.greatest(F.round(SAMPLE * F.col("n") * F.col("s") / F.col("total")), F.lit(MIN_ALLOCATION)).cast("long").alias("allocated"))
 
 
-QUERIES = {f.__name__: f for f in (split_sentences, normalize_text, normalize_whole_text, suspect_text, latin_ratio_filter, review_flags, token_frequency_topn, overlap_retrieval_topk, page_paragraphs, paired_cliffs_delta, paired_change_rate, validity_rates, taxonomy_membership, work_grid_resume, determinism_rate, elbow_choice, neyman_allocation)}
+QUERIES = {f.__name__: f for f in (paired_p_values, split_sentences, normalize_text, normalize_whole_text, suspect_text, latin_ratio_filter, review_flags, token_frequency_topn, overlap_retrieval_topk, page_paragraphs, paired_cliffs_delta, paired_change_rate, validity_rates, taxonomy_membership, work_grid_resume, determinism_rate, elbow_choice, neyman_allocation)}
 
 _B = "[ \\t\\n\\r\\f]"
 _W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"

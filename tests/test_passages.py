@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators.clusters import assign, lloyd
 from docloom.operators.paired import bootstrap_mean, wilcoxon
-from docloom.operators.passages import json_object, line_windows, until_boundary
+from docloom.operators.paired import chi2_tail, with_p_values
+from docloom.operators.passages import json_object, line_windows, slice_until, until_boundary
 from docloom.operators.sentences import blank_run, excerpt, latin_ratio, normalize_symbols, sentences
 from docloom.sources.records import last_of_each, read_csv, read_json_lines, record_counts, remaining, write_csv, write_json_lines
 
@@ -31,6 +32,20 @@ def test_until_boundary(spark):
     assert sorted((r.g, r.p) for r in out.collect()) == [(1, 2), (1, 3)] + [(3, i) for i in range(12)]
 
 
+def test_slice_until(spark):
+    df = spark.createDataFrame([(1, list("..s.x.")), (2, ["x"]), (3, ["s"] * 20), (4, []), (5, None)], "g int, c array<string>")
+    first, found = slice_until(F.col("c"), lambda c: c == "s", lambda c: c == "x")
+    out = {r.g: r[1:] for r in df.select("g", first, found).collect()}
+    assert out[1] == (2, ["s", "."]) and out[2][1] == [] and out[3] == (0, ["s"] * 12) and out[4][1] == [] and not out[5][1]
+
+
+def test_p_values(spark):
+    df = spark.createDataFrame([(3.841459, -1.959964), (0.0, 0.0), (None, None)], "x double, z double")
+    assert [round(r.p_value, 5) if r.p_value is not None else None for r in with_p_values(df, statistic="x").collect()] == [0.05, 1.0, None]
+    assert [round(r.p_value, 5) if r.p_value is not None else None for r in with_p_values(df, z="z").collect()] == [0.05, 1.0, None]
+    assert chi2_tail(0) == 1
+
+
 def test_json_object(spark):
     df = spark.createDataFrame([('{"a":1}',), ('so {"a":{"b":2}} then',), ("none",), ("bad {x",), (None,)], "t string")
     assert [r[0] for r in df.select(json_object(F.col("t"))).collect()] == ['{"a":1}', '{"a":{"b":2}}', None, None, None]
