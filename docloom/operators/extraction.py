@@ -124,6 +124,12 @@ def meaningful(c: Column, digits: bool = False) -> Column:
     return (F.length(c) >= 2) & (F.regexp_like(c, F.lit("[가-힣]")) | by_digits)
 
 
+def mentions(c: Column, rule: Rule) -> Column:
+    """The text has one of the rule's labels as a word of its own: a single search, where ``after`` needs one a spelling."""
+    found = F.regexp_like(c, F.lit(f"(?i)(?<![{UNIT}])(?:{'|'.join(map(spaced, rule.aliases))})(?![{UNIT}])"))
+    return found | after_garbled(c, rule.garbled).isNotNull() if rule.garbled else found
+
+
 def _follows(c: Column, rule: Rule) -> Column:
     found = [after(c, a) for a in rule.aliases] + ([after_garbled(c, rule.garbled)] if rule.garbled else [])
     return F.coalesce(*found)
@@ -146,13 +152,14 @@ def collect(parts: Column, rule: Rule, layout: Layout, useful=meaningful) -> Col
         every = F.concat(F.array(s["inline"]["kept"]), F.transform(used, lambda x: x["kept"]))
         return F.array_distinct(F.slice(F.filter(every, lambda x: useful(x, rule.digits)), 1, layout.most))
 
-    tails = F.transform(parts, lambda x, i: F.struct(_follows(x, rule).alias("tail"), i.alias("i")))
-    first = F.filter(tails, lambda x: x["tail"].isNotNull())
-    state = F.transform(F.slice(first, 1, 1), lambda x: F.struct(x["tail"].alias("tail"), F.slice(parts, x["i"] + 2, F.size(parts)).alias("rest")))
+    first = F.array_position(F.transform(parts, lambda x: mentions(x, rule)), F.lit(True)).cast("int")
+    state = F.transform(F.filter(F.array(first), lambda i: i > 0), lambda i: F.struct(_follows(F.get(parts, i - 1), rule).alias("tail"), F.slice(parts, i + 1, F.size(parts)).alias("rest")))
     found = F.coalesce(F.get(F.transform(F.transform(state, of_first), chunks), F.lit(0)), F.array().cast("array<string>"))
     if rule.fallback is None:
         return found
-    return F.when(F.size(found) > 0, found).otherwise(collect(parts, rule.fallback, layout, useful))
+    # inside a lambda, so that what is found is worked out once
+    other = collect(parts, rule.fallback, layout, useful)
+    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(other)), F.lit(0))
 
 
 def document_sentences(paragraphs: Column, normalize=normalize_whole) -> Column:

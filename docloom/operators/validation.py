@@ -236,9 +236,14 @@ def code_errors(codes: Column, known: Column) -> Column:
     """struct(errors, total, good, empty, unknown) of an array of label codes; a blank one is empty, one that isn't known unknown."""
     items = F.coalesce(codes, F.array().cast("array<string>"))
     fault = F.transform(items, lambda x: F.when(_is_blank(x), "P03_EMPTY_LABEL_CODE").when(~F.array_contains(known, x), "P03_UNKNOWN_LABEL_CODE"))
-    n = lambda name: F.size(F.filter(fault, lambda x: x == name))
-    empty, unknown = n("P03_EMPTY_LABEL_CODE"), n("P03_UNKNOWN_LABEL_CODE")
-    return F.struct(F.array_compact(fault).alias("errors"), F.size(items).alias("total"), (F.size(items) - empty - unknown).alias("good"), empty.alias("empty"), unknown.alias("unknown"))
+
+    def counted(f: Column) -> Column:
+        bad = F.array_compact(f)
+        empty = F.size(F.filter(bad, lambda x: x == "P03_EMPTY_LABEL_CODE"))
+        return F.struct(bad.alias("errors"), F.size(f).alias("total"), (F.size(f) - F.size(bad)).alias("good"), empty.alias("empty"), (F.size(bad) - empty).alias("unknown"))
+
+    # inside a lambda, so that the faults are worked out once
+    return F.get(F.transform(F.array(fault), counted), F.lit(0))
 
 
 def escalate(df: DataFrame, key: str, attempts: list[Callable[[DataFrame], DataFrame]], accepted: Column, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from docloom.operators.keywords import bm25, distinctive_words
 from docloom.operators.paired import kappa, mcnemar, transitions
 from docloom.operators.similarity import group_gap
 from docloom.operators.tables import js_distance, last_before, pivot_counts, representatives, rollup_rates, segments
-from docloom.plans import fields, pairs, passages, reports
+from docloom.plans import extraction, fields, pairs, passages, reports
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,3 +150,5 @@ QUERIES |= passages.QUERIES
 SQL |= passages.sql(SQL["split_sentences"])
 QUERIES |= fields.QUERIES
 SQL |= fields.sql(SQL["split_sentences"])
+QUERIES |= extraction.QUERIES
+SQL |= extraction.sql(SQL["split_sentences"])
