@@ -1,25 +1,30 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass 1 scatters rows uniformly into buckets of about ``bucket_rows`` by a seeded hash of the whole row, so that a bucket
-fits in a task's memory whatever the input's size. Pass 2 gathers a bucket, orders it canonically and runs a seeded
-Fisher-Yates shuffle over it. A row's place in the whole order is its bucket's first place plus its place in the bucket;
-place p goes to shard ``p mod shards``, slot ``p div shards``, so shard sizes differ by at most one row (law ``rows``).
+Pass 1 scatters whole rows uniformly into buckets by a seeded hash of the row and writes the buckets out. Buckets are so many that one holds about
+``bucket_rows`` rows and ``bucket_bytes`` bytes at most, so it fits in a task's memory whatever the input's size and the rows' lengths. Pass 2 reads a
+bucket, which is in canonical order, and runs a seeded Fisher-Yates shuffle over its rows. A row's place in the whole order is its bucket's first place
+plus its place in the bucket; place p goes to shard ``p mod shards``, slot ``p div shards``, so shard sizes differ by at most one row (law ``rows``).
 
 The result depends on the rows, the seed, the row count and the parameters, never on partitions or on the order of
-input, so a recomputed task repeats it. Equal rows would meet in one bucket; they are counted first and numbered, ``COPIES`` at a
-time, and the number takes part in the hash, so a row that makes up a third of the table is spread like any other. Nulls are values like others;
-texts of any length move with their row. An empty table gives an empty result. Columns named shard or slot, or with a name that begins
-with ``__``, are refused.
+input, so a recomputed task repeats it. Equal rows would meet in one bucket; they are numbered, ``COPIES`` at a
+time, and the number takes part in the hash, so a row that makes up a third of the table is spread like any other. Rows are first counted by a
+64-bit key: a row whose key occurs once has no equal and goes straight to its bucket, the others are counted by all their columns. The input is read
+two or three times and has to be the same each time. Nulls are values like others; texts of any length move with their row. An empty table gives an
+empty result. Columns named shard or slot, or with a name that begins with ``__``, are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 BUCKET_ROWS = 512
+BUCKET_BYTES = 1 << 20
+#: Keys of repeated rows that are sent to all tasks; with more of them, all rows are counted by their columns.
+LOOKUP = 100_000
 #: Equal rows that one task numbers.
 COPIES = 10_000
 #: Buckets whose first places are summed up together; the sums over such runs form a short table.
@@ -36,31 +41,64 @@ def _fisher_yates(n, seed: int, bucket):
     return F.aggregate(steps, F.sequence(F.lit(1), n), swap)
 
 
-def assign_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes a value takes."""
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        value = F.to_json(value)
+    elif not isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8).cast("long")
+    return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df's rows with ``__copy``: equal rows are numbered from 1."""
+    row = [F.col(f"`{c}`") for c in df.columns]
+    copies = df.groupBy(*row).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = copies.select(*row, "__n", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES))).alias("__chunk")).repartition(F.xxhash64(*row, "__chunk"))
+    low, high = F.col("__chunk") * COPIES + 1, F.least((F.col("__chunk") + 1) * COPIES, F.col("__n"))
+    return chunks.select(*row, F.explode(F.sequence(low, high)).alias("__copy"))
+
+
+def assign_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, lookup: int = LOOKUP) -> DataFrame:
     """df's rows with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard)."""
     cols = df.columns
     if taken := [c for c in cols if c in ("shard", "slot") or c.startswith("__")]:
         raise ValueError(f"columns named like the result's: {taken}")
-    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    n_buckets = max(1, -(-df.count() // bucket_rows))
-    chunks = copies.select(*cols, "__n", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / COPIES))).alias("__chunk")).repartition(F.xxhash64(*[F.col(f"`{c}`") for c in cols], "__chunk"))
-    low, high = F.col("__chunk") * COPIES + 1, F.least((F.col("__chunk") + 1) * COPIES, F.col("__n"))
-    rows = chunks.select(*cols, F.explode(F.sequence(low, high)).alias("__copy"))
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols], F.col("__copy"))
-    scattered = rows.select(F.pmod(h, F.lit(n_buckets)).alias("__bucket"), F.struct(h.alias("__h"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row")).alias("__item"))
-    gathered = materialize(scattered.groupBy("__bucket").agg(F.array_sort(F.collect_list("__item")).alias("__items")), "shuffle-buckets")
-
-    sizes = gathered.select("__bucket", F.size("__items").cast("long").alias("__size"), F.floor(F.col("__bucket") / RUN).alias("__run"))
+    row = [F.col(f"`{c}`") for c in cols]
+    size = sum((_bytes(c, f.dataType) for c, f in zip(row, df.schema.fields, strict=True)), F.lit(0).cast("long"))
+    keyed = df.withColumn("__key", F.xxhash64(*row))
+    keys = materialize(keyed.select("__key", size.alias("__bytes")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.sum("__bytes").alias("__bytes")), "shuffle-keys")
+    total = keys.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("__n") > 1).alias("repeated")).first()
+    n_buckets = max(1, -(-total.rows // bucket_rows), -(-total.bytes // bucket_bytes))
+
+    once = F.lit(1).cast("long").alias("__copy")
+    if not total.repeated:
+        rows = df.select(*row, once)
+    elif total.repeated <= lookup:
+        repeated = F.broadcast(keys.where(F.col("__n") > 1).select("__key"))
+        rows = keyed.join(repeated, "__key", "left_anti").select(*row, once).union(_numbered(keyed.join(repeated, "__key", "left_semi").select(*row)))
+    else:
+        rows = _numbered(df)
+    h = F.xxhash64(F.lit(seed), *row, F.col("__copy"))
+    scattered = rows.select(F.pmod(h, F.lit(n_buckets)).alias("__bucket"), F.struct(h.alias("__h"), F.struct(*row).alias("__row")).alias("__item")).repartition("__bucket")
+    gathered = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.array_sort(F.collect_list("__item")).alias("__items"))
+    gathered = materialize(gathered, "shuffle-buckets")
+    discard(keys)
+
+    sizes = gathered.select("__bucket", "__size", F.floor(F.col("__bucket") / RUN).alias("__run"))
     runs = sizes.groupBy("__run").agg(F.sum("__size").alias("__total"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("__run", F.coalesce(F.sum("__total").over(before(Window.orderBy("__run"))), F.lit(0)).alias("__base"))
     firsts = sizes.select("__bucket", "__run", F.coalesce(F.sum("__size").over(before(Window.partitionBy("__run").orderBy("__bucket"))), F.lit(0)).alias("__within"))
     firsts = firsts.join(runs, "__run").select("__bucket", (F.col("__base") + F.col("__within")).alias("__first"))
 
-    shuffled = gathered.join(firsts, "__bucket").select("__first", "__items", _fisher_yates(F.size("__items"), seed, F.col("__bucket")).alias("__order"))
-    placed = shuffled.select("__first", "__items", F.posexplode("__order").alias("__pos", "__i"))
+    shuffled = gathered.join(F.broadcast(firsts), "__bucket")
+    order = _fisher_yates(F.size("__items"), seed, F.col("__bucket"))
+    placed = shuffled.select("__first", F.posexplode(F.transform(order, lambda i: F.element_at("__items", i)["__row"])).alias("__pos", "__row"))
     place = F.col("__first") + F.col("__pos")
-    return placed.select(F.element_at("__items", F.col("__i"))["__row"].alias("__row"), F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot")).select("__row.*", "shard", "slot")
+    return placed.select("__row", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot")).select("__row.*", "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> None:
@@ -70,7 +108,8 @@ def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 0, bucket_
 
 
 def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    digests = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = assign_shards(digests, 40, seed=20)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Whole documents are shuffled, all their columns in one, so that no name can clash; the digests are those of the rows that come out."""
+    out = assign_shards(table(spark, sf_dir, "documents").select(F.struct("*").alias("document")), 40, seed=20)
+    text = F.coalesce("document.text", F.lit(""))
+    digests = [(F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    return out.select("document.doc_id", *digests, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -153,6 +153,34 @@ def test_sharding_writes_and_refuses(spark, tmp_path):
         sharding.assign_shards(spark.createDataFrame([(1, 2)], "a long, shard int"), 4)
 
 
+@pytest.mark.parametrize("repeats", [0, 1, 40])
+def test_sharding_by_either_way_of_counting(spark, repeats):
+    rows = [(i, "x") for i in range(100)] + [(i, "x") for i in range(repeats)] * 2
+    df, want = spark.createDataFrame(rows, "a long, b string"), by_hand(rows, 4, 1, 16)
+    for lookup in (0, 10, 1000):
+        out = sharding.assign_shards(df, 4, seed=1, bucket_rows=16, lookup=lookup).collect()
+        assert {(r.a, r.b, r.shard, r.slot) for r in out} == want and len(out) == len(rows)
+
+
+def test_whole_documents_are_shuffled_in_buckets_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    tables, write = {}, sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: tables.setdefault(name, write(df, name)))
+    df = docs(spark, [*ODD, *[(100 + i, prose(i, 300)) for i in range(60)], *[(77, "twin")] * 5]).withColumn("shard", F.lit("clash"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op3_two_pass_shuffle(spark, str(tmp_path)).collect()
+    moved = tables["shuffle-buckets"].select(F.explode("__items.__row.document").alias("d")).select("d.*")
+    assert sorted(map(repr, moved.collect())) == sorted(map(repr, df.collect()))
+    digests = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in df.collect()]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter(digests)
+    assert {(r.shard, r.slot) for r in out} == {(p % 40, p // 40) for p in range(len(digests))}
+
+    tables.clear()
+    long_rows = spark.createDataFrame([(i, [prose(i, 1000)]) for i in range(200)], "a long, b array<string>")
+    assert sharding.assign_shards(long_rows, 4, bucket_bytes=50_000).count() == 200
+    per_bucket = [sum(len(i["__row"].b[0]) for i in r["__items"]) for r in tables["shuffle-buckets"].collect()]
+    assert max(per_bucket) < 200_000 < 800_000 < sum(per_bucket)
+
+
 def test_line_runs(spark):
     long = ["L%d " % i + "x" * 90 for i in range(4)]
     texts = [(1, "\n".join(long)), (2, "own line\n" + "\n".join(long[1:3])), (3, "short\nshort\nshort"), (6, "\n".join(long)), (6, "\n".join(long)), *ODD]
