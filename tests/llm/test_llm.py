@@ -275,6 +275,27 @@ def test_tokens_equal_the_library():
         assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_a_text_of_new_words_is_encoded_in_one_call(monkeypatch):
+    import tiktoken
+
+    t, calls = library(), []
+    for name in ("encode", "encode_ordinary", "encode_to_numpy"):
+        plain = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, plain=plain, **kw: calls.append(text) or plain(self, text, **kw))
+    own = packing.byte_bpe()
+    text = prose(9, 5000)
+    assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert calls == [text]
+
+
+def test_tokens_equal_the_library_on_random_texts():
+    t, own, r = library(), packing.byte_bpe(), random.Random(12)
+    bits = [" ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff", "\0", "a", "don't", "'ll", "12", "½", "é", "e\u0301", "漢字", "🙂", "<|endoftext|>", "<|endoftext", "|>", ".", "...", "_"]
+    for _ in range(500):
+        text = "".join(r.choices(bits, k=r.randint(1, 30)))
+        assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_containment(spark):
     item = prose(5, 40)
     items = spark.createDataFrame([(1, item), (2, prose(6, 3)), (3, None), (4, "")], "item_id long, text string")
