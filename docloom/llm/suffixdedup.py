@@ -40,9 +40,9 @@ BUCKET_BYTES = 2_000_000
 #: Bytes of text whose anchors one bucket of the filter holds.
 FILTER_BYTES = 32_000_000
 TEXT_BYTES = 8_000_000
-#: Bytes that are searched for anchors at once; positions in a block take 24 bits.
+#: Bytes whose equal anchors and entries are collapsed at once.
 BLOCK = 1 << 22
-#: Strings that are hashed at once.
+#: Strings that are hashed at once; positions among them take 24 bits.
 _STRINGS = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,22 +69,31 @@ def entries(b: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, np.
     w = LENGTH - gram + 1
     if len(b) < LENGTH:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
-    h = _hashes(b, gram)
-    m = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-    width = 1
-    while 2 * width <= w:
-        m, width = np.minimum(m[:-width], m[width:]), 2 * width
-    if width < w:
-        m = np.minimum(m[: len(m) - (w - width)], m[w - width :])
-    anchor = (m & np.uint64(0xFFFFFF)).astype(np.int64)
-    ok = np.ones(len(anchor) + LENGTH, dtype=bool)
+    strings = len(b) - LENGTH + 1
+    ok = np.ones(len(b), dtype=bool)
     for e in ends.tolist():
         ok[max(0, e - LENGTH + 1) : e] = False
-    anchor = np.where(ok[: len(anchor)], anchor, -1)
-    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    count = np.diff(np.append(new, len(anchor)))
-    use = anchor[new] >= 0
-    return new[use], count[use], h[anchor[new[use]]]
+    first, at, hashes = [], [], []
+    for lo in range(0, strings, _STRINGS):
+        h = _hashes(b[lo : lo + _STRINGS + LENGTH - 1], gram)
+        m = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        width = 1
+        while 2 * width <= w:
+            m, width = np.minimum(m[:-width], m[width:]), 2 * width
+        if width < w:
+            m = np.minimum(m[: len(m) - (w - width)], m[w - width :])
+        anchor = np.where(ok[lo : lo + len(m)], (m & np.uint64(0xFFFFFF)).astype(np.int64), -1)
+        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        anchor = anchor[new]
+        first.append(new + lo)
+        at.append(np.where(anchor < 0, -1, anchor + lo))
+        hashes.append(h[anchor])
+    first, at, h = np.concatenate(first), np.concatenate(at), np.concatenate(hashes)
+    new = np.concatenate([[True], at[1:] != at[:-1]])  # an entry may go on in the next part
+    first, at, h = first[new], at[new], h[new]
+    count = np.diff(np.append(first, strings))
+    use = at >= 0
+    return first[use], count[use], h[use]
 
 
 def _compress(a: np.ndarray) -> bytes:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -319,6 +320,25 @@ def test_suffix_array_of_parts():
         assert gsaca.suffix_array(np.array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_entries_in_parts(monkeypatch):
+    g = np.random.default_rng(5)
+    b = g.integers(97, 99, 20_000).astype(np.uint8)
+    b[3_000:9_000] = 97
+    ends = np.array([30, 5_000, 5_049, 12_345, len(b)])
+    want = suffixdedup.entries(b, ends, suffixdedup.WIDE)
+    assert sum(want[1]) == sum(max(0, n - suffixdedup.LENGTH + 1) for n in np.diff(ends, prepend=0))
+    monkeypatch.setattr(suffixdedup, "_STRINGS", 700)
+    for x, y in zip(want, suffixdedup.entries(b, ends, suffixdedup.WIDE), strict=True):
+        assert x.tolist() == y.tolist()
+    monkeypatch.undo()
+    block = g.integers(0, 256, suffixdedup.BLOCK).astype(np.uint8)
+    tracemalloc.start()
+    suffixdedup.entries(block, np.array([len(block)]), suffixdedup.WIDE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(block)
+
+
 @pytest.mark.parametrize(("construction", "small"), [("windows", False), ("grouping", False), ("grouping", True)])
 def test_repeats(spark, construction, small):
     sizes = {"bucket_bytes": 500, "filter_bytes": 900, "home_bytes": 700} if small else {}
