@@ -10,6 +10,7 @@ from .linededup import OP4_SQL, op4_line_runs
 from .packing import op6_vector_packing
 from .repair import OP12_SQL, op12_conversation_repair
 from .resample import OP13_SQL, op13_importance_resampling
+from .setsketch import OP11_SQL, op11_setsketch
 from .sharding import op3_two_pass_shuffle
 from .simhash import op1_simhash
 from .suffixdedup import op8_suffix_dedup
@@ -26,7 +27,8 @@ QUERIES = {
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_setsketch": op11_setsketch,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }
-SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+SQL = {"op4_line_runs": OP4_SQL, "op7_benchmark_containment": OP7_SQL, "op5_license_digest": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_setsketch": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resampling": OP13_SQL}

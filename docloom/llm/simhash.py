@@ -182,11 +182,12 @@ def _sketch_keys(sketch):
     return F.array(*[F.xxhash64(F.lit(s * width + out), *[F.get(sketch, F.lit(s * width + i)) for i in range(width) if i != out]) for s in range(segments) for out in range(width)])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, screen=None) -> DataFrame:
     """Of pairs (a, b, u, v) of texts and their components, (u, v) of those whose texts are similar enough."""
     swap = F.col("a") > F.col("b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("v"))
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v")), "candidates")
+    pairs = pairs.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v"))
+    pairs = materialize(screen(pairs) if screen else pairs, "candidates")
     one, two = sets.select(F.col("t").alias("a"), F.col("s").alias("x")), sets.select(F.col("t").alias("b"), F.col("s").alias("y"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -223,16 +224,18 @@ def _prefix_pairs(crowded: DataFrame, sets: DataFrame, similarity: float) -> Dat
     return keyed.withColumnsRenamed({"t": "a", "root": "u"}).join(other.hint("merge"), "s").where((F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near).select("a", "b", "u", "v")
 
 
-def similar_roots(docs: DataFrame, text_col: str, rows: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(root, to): the components of roots (fp, root) that meet others, and what they become where texts are similar. rows: (k, fp, sketch)."""
-    named = rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    texts = materialize(named.join(roots, "fp").select(F.monotonically_increasing_id().alias("t"), "k", "root", "sketch"), "sketches")
-    keyed = texts.select("t", F.explode(_sketch_keys(F.col("sketch"))).alias("key"))
+def similar_roots(docs: DataFrame, text_col: str, texts: DataFrame, similarity: float, shingle: int, screen=None) -> DataFrame:
+    """(root, to): the components that meet others, and what they become where texts are similar.
+
+    texts, a written table that is deleted here: (t, k, root, size, keys): a number, the digest of a text, its component, its number of different
+    shingles, and the keys under which it meets others. ``screen`` takes pairs (a, b, u, v) and returns those that are worth a verification.
+    """
+    keyed = texts.select("t", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(keyed.join(counts.hint("merge"), "key"), "variants")
     # the text that meets most others is in the middle of its group, so most of the group links to it
     meets = met.groupBy("t").agg(F.sum("c").alias("met"))
-    asked = materialize(texts.join(meets.hint("merge"), "t").select("t", "k", "root", F.get("sketch", F.lit(SKETCH[0] * SKETCH[1])).alias("size"), "met"), "asked")
+    asked = materialize(texts.join(meets.hint("merge"), "t").select("t", "k", "root", "size", "met"), "asked")
     own = docs.select(text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(asked.select("k", "t").hint("merge"), "k").dropDuplicates(["t"])
     sets = materialize(own.select("t", _once(_shingles, "array<long>", shingle)(F.col("text")).alias("s")), "shingles")
     members = materialize(met.join(asked.select("t", "root", F.col("root").alias("was"), "size", "met").hint("merge"), "t"), "members")
@@ -242,7 +245,7 @@ def similar_roots(docs: DataFrame, text_col: str, rows: DataFrame, roots: DataFr
     def merge(members: DataFrame, pairs: DataFrame) -> DataFrame:
         """members with the components that they have after the links among pairs; so has was."""
         nonlocal was
-        links = _verified(pairs, sets, similarity)
+        links = _verified(pairs, sets, similarity, screen)
         components = connected_components(links)
         found = materialize(components, "components")
         renamed = found.select(F.col("node").alias("root"), F.col("root").alias("r")).hint("merge")
@@ -284,7 +287,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     linked = link_components(fps.select("fp", "n"), distance, crowd)
     roots = materialize(fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     if similarity is not None:
-        to = similar_roots(docs, text_col, rows.select("k", "fp", "sketch"), roots.select("fp", "root"), similarity, shingle)
+        named = rows.where(F.col("sketch").isNotNull()).groupBy("k").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+        size = F.get("sketch", F.lit(SKETCH[0] * SKETCH[1]))
+        texts = materialize(named.join(roots.select("fp", "root"), "fp").select(F.monotonically_increasing_id().alias("t"), "k", "root", size.alias("size"), _sketch_keys(F.col("sketch")).alias("keys")), "sketches")
+        to = similar_roots(docs, text_col, texts, similarity, shingle)
         roots = materialize(roots.join(to.hint("merge"), "root", "left").select("fp", "first", F.coalesce("to", "root").alias("root")), "roots")
     firsts = roots.groupBy("root").agg(F.min("first").alias("first"))
     return rows.drop("sketch").join(roots.select("fp", "root").join(firsts, "root").select("fp", "first"), "fp")
