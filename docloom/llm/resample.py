@@ -20,10 +20,16 @@ their names, are not read; resample passes them on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table, text_key
+from .common import materialize, table, text_key
 
 BUCKETS = 10_000
 NGRAM = 2
@@ -32,34 +38,54 @@ PERCENT = 25
 MIN_WORDS = 20
 #: More different scores than this can't occur.
 SPAN = 250_000
-_BLANKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-
-
-def _features(texts: DataFrame, keep: list[Column], buckets: int, ngram: int) -> DataFrame:
-    """keep, __words (their number), __buckets (one for each feature)."""
-    split = texts.select(*keep, F.filter(F.split(ascii_lower(F.coalesce(F.col("__text"), F.lit(""))), _BLANKS), lambda w: w != "").alias("__w"))
-    runs, bucket = [], lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(buckets)).cast("int")
-    for n in range(1, ngram + 1):
-        # the n words of a run come from n slices, so no lambda looks into the whole array
-        run, length = F.slice("__w", 1, F.greatest(F.size("__w") - (n - 1), F.lit(0))), F.greatest(F.size("__w") - (n - 1), F.lit(0))
-        for k in range(1, n):
-            run = F.zip_with(run, F.slice(F.col("__w"), k + 1, length), lambda a, b: F.concat(a, F.lit(" "), b))
-        runs.append(F.transform(run, bucket))
-    return split.select(*[F.col(c) for c in split.columns[:-1]], F.size("__w").alias("__words"), F.concat(*runs).alias("__buckets"))
-
-
-def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS, ngram: int = NGRAM) -> DataFrame:
-    """One row: ``gains``, an array with the gain of each bucket, in thousandths."""
-    both = docs.select(F.col(text_col).alias("__text"), F.lit(0).alias("t")).unionByName(target.select(F.col(target_col).alias("__text"), F.lit(1).alias("t")))
-    each = _features(both, [F.col("t")], buckets, ngram).select("t", F.explode("__buckets").alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.when(F.col("t") == 0, 1)).alias("s"), F.count(F.when(F.col("t") == 1, 1)).alias("t"))
-    # one row for each bucket, a fixed number, in one window
-    all_of = Window.partitionBy(F.lit(0))
-    whole = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["s", "t"])
-    s, t, total_s, total_t = (c.cast("double") for c in (F.col("s"), F.col("t"), F.sum("s").over(all_of), F.sum("t").over(all_of)))
-    gain = F.floor(F.lit(1000.0) * F.log((t + 1) * (total_s + buckets) / ((s + 1) * (total_t + buckets))))
-    by_bucket = whole.select("bucket", gain.alias("gain")).groupBy().agg(F.array_sort(F.collect_list(F.struct("bucket", "gain"))).alias("x"))
-    return by_bucket.select(F.transform("x", lambda x: x["gain"]).alias("gains"))
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_BLOCK = 1 << 20
+
+
+def feature_hashes(text: str | None, ngram: int = NGRAM) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Block by block: the number of words, and the CRC-32 of every run of 1, 2, ... words. A run's is carried on from that of the run before its last word."""
+    data, at, tail = (text or "").encode("utf-8", "surrogatepass").translate(_BYTES), 0, []
+    while at < len(data):
+        end = data.find(b" ", at + _BLOCK)
+        end = len(data) if end < 0 else end
+        words, skip = tail + data[at:end].split(), len(tail)
+        runs = list(map(crc32, words))
+        out = [np.array(runs[skip:], dtype=np.int64)]
+        for n in range(2, ngram + 1):
+            runs = list(map(crc32, words[n - 1 :], map(crc32, repeat(b" "), runs)))
+            out.append(np.array(runs[max(0, skip - n + 1) :], dtype=np.int64))
+        yield len(words) - skip, out
+        at, tail = end, words[len(words) - ngram + 1 :] if ngram > 1 else []
+
+
+def _counts(texts: DataFrame, name: str, buckets: int, ngram: int) -> DataFrame:
+    """(bucket, name): how many features fall to each bucket; one row for each bucket and task before the shuffle."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, held, length = np.zeros(buckets, dtype=np.int64), [], 0
+        for text in (text for part in parts for text in part["text"]):
+            for _, runs in feature_hashes(text, ngram):
+                held += runs
+                length += sum(map(len, runs))
+            if length > _BLOCK:
+                n += np.bincount(np.concatenate(held) % buckets, minlength=buckets)
+                held, length = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held) % buckets, minlength=buckets)
+        found = n.nonzero()[0]
+        yield pd.DataFrame({"bucket": found, "n": n[found]})
+
+    return texts.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(name))
+
+
+def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS, ngram: int = NGRAM) -> np.ndarray:
+    """The gain of each bucket, in thousandths."""
+    own = _counts(docs.select(F.col(text_col).alias("text")), "s", buckets, ngram)
+    counts = own.join(_counts(target.select(F.col(target_col).alias("text")), "t", buckets, ngram), "bucket", "full").na.fill(0)
+    found = counts.toPandas()  # one row for each bucket at most
+    s, t = np.zeros((2, buckets))
+    s[found["bucket"]], t[found["bucket"]] = found["s"], found["t"]
+    return np.floor(1000 * np.log((t + 1) * (s.sum() + buckets) / ((s + 1) * (t.sum() + buckets)))).astype(np.int64)
 
 
 def noise(id_: Column, seed: int = SEED) -> Column:
@@ -70,12 +96,22 @@ def noise(id_: Column, seed: int = SEED) -> Column:
 
 def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", buckets: int = BUCKETS, ngram: int = NGRAM, seed: int = SEED) -> DataFrame:
     """A row for each of docs: __id, __k (digest of the text), n_words, n_features, weight, score."""
-    one = materialize(gains(docs, target, text_col, target_col, buckets, ngram), "gains")
-    own = _features(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), [F.col("__id"), text_key(F.col("__text")).alias("__k")], buckets, ngram)
-    scored = own.crossJoin(F.broadcast(one))  # one row
-    total = F.aggregate(F.transform("__buckets", lambda b: F.get("gains", b)), F.lit(0).cast("long"), lambda a, b: a + b)
-    n = F.size("__buckets").cast("long")
-    out = scored.select("__id", "__k", F.col("__words").cast("long").alias("n_words"), n.alias("n_features"), F.when(n > 0, F.floor(total / n)).otherwise(F.lit(0).cast("long")).alias("weight"))
+    shared = docs.sparkSession.sparkContext.broadcast(gains(docs, target, text_col, target_col, buckets, ngram))  # as many numbers as buckets
+
+    @F.pandas_udf("n_words long, n_features long, weight long")
+    def weigh(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            rows = []
+            for text in texts:
+                words = features = total = 0
+                for n, runs in feature_hashes(text, ngram):
+                    words += n
+                    features += sum(map(len, runs))
+                    total += sum(int(shared.value[run % buckets].sum()) for run in runs)
+                rows.append((words, features, total // features if features else 0))
+            yield pd.DataFrame(rows, columns=["n_words", "n_features", "weight"])
+
+    out = docs.select(F.col(id_col).alias("__id"), text_key(F.col(text_col)).alias("__k"), weigh(F.col(text_col)).alias("x")).select("__id", "__k", "x.*")
     return out.withColumn("score", F.col("weight") + noise(F.col("__id"), seed))
 
 
