@@ -20,6 +20,7 @@ large ids come back as they were. Other columns, whatever their names, are not r
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,10 +43,15 @@ class ByteBpe:
     """Ids of byte_bpe_50k, as tokenizers gives them with add_special_tokens=False.
 
     A text is encoded in one call, whatever its words. The string of the vocabulary's one special token becomes that token wherever it
-    stands. Tests hold it against tokenizers.
+    stands. Tests hold it against tokenizers. The pattern's engine gives up on runs of about a million blanks, so a text is cut inside each long run: all
+    blanks of a run but the last one before a word, and all of them before a special token or the end, are one match of the pattern; that match is encoded
+    as the one piece it is.
     """
 
     SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+    LONG_RUN = 10_000
+    #: Unicode's White_Space, as the pattern means it.
+    BLANKS = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
     def __init__(self, ranks_file: str, pattern: str):
         import tiktoken
@@ -55,6 +61,14 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={self.SPECIAL: self.SPECIAL_ID})
 
     def encode(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        for run in self.BLANKS.finditer(text) if len(text) >= self.LONG_RUN else ():
+            end = run.end() if run.end() == len(text) or text.startswith(self.SPECIAL, run.end()) else run.end() - 1
+            parts += [self._encoded(text[at : run.start()]), np.array(self.encoding._encode_single_piece(text[run.start() : end]), dtype="<u4")]
+            at = end
+        return np.concatenate([*parts, self._encoded(text[at:])]) if parts else self._encoded(text)
+
+    def _encoded(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special={self.SPECIAL}).astype("<u4", copy=False)
 
 
@@ -76,8 +90,14 @@ def _ids_and_loss(tok, text, parts, end_id: int) -> tuple[np.ndarray, np.ndarray
     return ids, np.concatenate([[0], np.cumsum(np.repeat([bears for _, bears in encoded], [len(x) for x, _ in encoded]))])
 
 
+def _at_least_one(**limits: int | None) -> None:
+    if bad := [k for k, v in limits.items() if v is not None and v < 1]:
+        raise ValueError(f"a piece needs room for one id: {bad}")
+
+
 def cut_pieces(docs: DataFrame, tokenizer: Callable[[], object] = byte_bpe, max_tokens: int = MAX_TOKENS, max_loss: int | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts_col: str | None = None, with_ids: bool = False) -> DataFrame:
     """Rows of SCHEMA (and ``ids``, if asked for): the pieces of each document. parts_col: array of (text string, loss boolean), read instead of the text."""
+    _at_least_one(max_tokens=max_tokens, max_loss=max_loss)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, number = tokenizer(), TaskContext.get().partitionId() << 33
@@ -133,6 +153,7 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def pack(pieces: DataFrame, n_groups: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, group_items: int = GROUP_ITEMS) -> DataFrame:
     """pieces (SCHEMA, ids) with sequence_id and offset. sequence_id: unique; offset: ids before the piece in its sequence."""
+    _at_least_one(max_tokens=max_tokens, max_segments=max_segments, max_loss=max_loss)
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens], dtype=np.int64)
 
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
