@@ -1,15 +1,17 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass 1 scatters whole rows uniformly into buckets by a seeded hash of the row and writes the buckets out. Buckets are so many that one holds about
-``bucket_rows`` rows and ``bucket_bytes`` bytes at most, so it fits in a task's memory whatever the input's size and the rows' lengths. Pass 2 reads a
-bucket, which is in canonical order, and runs a seeded Fisher-Yates shuffle over its rows. A row's place in the whole order is its bucket's first place
-plus its place in the bucket; place p goes to shard ``p mod shards``, slot ``p div shards``, so shard sizes differ by at most one row (law ``rows``).
+Pass 1 scatters whole rows uniformly into buckets of about ``BUCKET_MEMORY`` bytes by a seeded hash of the row and writes the buckets out. The same hash cuts a bucket
+into parts of about ``bucket_rows`` rows and ``bucket_bytes`` bytes at most. Pass 2 runs a seeded Fisher-Yates shuffle over each part of a bucket in canonical
+order; as rows fall to parts uniformly too, the bucket as a whole is in uniform order, and its work is in proportion to its rows (a Fisher-Yates in
+expressions costs the square of what it runs over). A row's place in the whole order is its bucket's first place plus its place in the bucket; place p goes to shard ``p mod
+shards``, slot ``p div shards``, so shard sizes differ by at most one row (law ``rows``). Whole rows are shuffled once. The buckets' first places come from counts made before; they
+are a table that is merged with the rows by bucket, in the same partitioning, and is never broadcast by us. The number of partitions follows the bytes.
 
 The result depends on the rows, the seed, the row count and the parameters, never on partitions or on the order of
 input, so a recomputed task repeats it. Equal rows would meet in one bucket; they are numbered, ``COPIES`` at a
 time, and the number takes part in the hash, so a row that makes up a third of the table is spread like any other. Rows are first counted by a
 64-bit key: a row whose key occurs once has no equal and goes straight to its bucket, the others are counted by all their columns. The input is read
-two or three times and has to be the same each time. Nulls are values like others; texts of any length move with their row. An empty table gives an
+three or four times and has to be the same each time. Nulls are values like others; texts of any length move with their row. An empty table gives an
 empty result. Columns named shard or slot, or with a name that begins with ``__``, are refused.
 """
 
@@ -21,8 +23,11 @@ from pyspark.sql import types as T
 
 from .common import discard, materialize, table
 
-BUCKET_ROWS = 512
+BUCKET_ROWS = 64
 BUCKET_BYTES = 1 << 20
+#: Bytes of a bucket, in memory, and of the buckets of one task.
+BUCKET_MEMORY = 1 << 24
+TASK_MEMORY = 1 << 28
 #: Keys of repeated rows that are sent to all tasks; with more of them, all rows are counted by their columns.
 LOOKUP = 100_000
 #: Equal rows that one task numbers.
@@ -71,7 +76,9 @@ def assign_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int
     keyed = df.withColumn("__key", F.xxhash64(*row))
     keys = materialize(keyed.select("__key", size.alias("__bytes")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.sum("__bytes").alias("__bytes")), "shuffle-keys")
     total = keys.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("__n") > 1).alias("repeated")).first()
-    n_buckets = max(1, -(-total.rows // bucket_rows), -(-total.bytes // bucket_bytes))
+    n_parts = max(1, -(-total.rows // bucket_rows), -(-total.bytes // bucket_bytes))
+    per_bucket = max(1, n_parts * BUCKET_MEMORY // max(total.bytes, 1))
+    n_tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total.bytes // TASK_MEMORY))
 
     once = F.lit(1).cast("long").alias("__copy")
     if not total.repeated:
@@ -82,21 +89,24 @@ def assign_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int
     else:
         rows = _numbered(df)
     h = F.xxhash64(F.lit(seed), *row, F.col("__copy"))
-    scattered = rows.select(F.pmod(h, F.lit(n_buckets)).alias("__bucket"), F.struct(h.alias("__h"), F.struct(*row).alias("__row")).alias("__item")).repartition("__bucket")
-    gathered = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.array_sort(F.collect_list("__item")).alias("__items"))
-    gathered = materialize(gathered, "shuffle-buckets")
-    discard(keys)
-
-    sizes = gathered.select("__bucket", "__size", F.floor(F.col("__bucket") / RUN).alias("__run"))
-    runs = sizes.groupBy("__run").agg(F.sum("__size").alias("__total"))
+    part = F.pmod(h, F.lit(n_parts))
+    bucket = F.floor(part / per_bucket).alias("__bucket")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(rows.select(bucket).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size")).withColumn("__run", F.floor(F.col("__bucket") / RUN)), "shuffle-sizes")
+    runs = sizes.groupBy("__run").agg(F.sum("__size").alias("__total"))
     runs = runs.select("__run", F.coalesce(F.sum("__total").over(before(Window.orderBy("__run"))), F.lit(0)).alias("__base"))
     firsts = sizes.select("__bucket", "__run", F.coalesce(F.sum("__size").over(before(Window.partitionBy("__run").orderBy("__bucket"))), F.lit(0)).alias("__within"))
-    firsts = firsts.join(runs, "__run").select("__bucket", (F.col("__base") + F.col("__within")).alias("__first"))
+    firsts = firsts.join(runs, "__run").select("__bucket", (F.col("__base") + F.col("__within")).alias("__base"))
+
+    scattered = rows.select(bucket, part.alias("__part"), F.struct(h.alias("__h"), F.struct(*row).alias("__row")).alias("__item")).repartition(n_tasks, "__bucket")
+    based = scattered.join(firsts.repartition(n_tasks, "__bucket").hint("merge"), "__bucket")
+    parts = based.groupBy("__bucket", "__base", "__part").agg(F.count(F.lit(1)).alias("__size"), F.array_sort(F.collect_list("__item")).alias("__items"))
+    within = F.coalesce(F.sum("__size").over(before(Window.partitionBy("__bucket").orderBy("__part"))), F.lit(0))
+    gathered = materialize(parts.select("__part", (F.col("__base") + within).alias("__first"), "__items"), "shuffle-buckets")
+    discard(keys, sizes)
 
-    shuffled = gathered.join(F.broadcast(firsts), "__bucket")
-    order = _fisher_yates(F.size("__items"), seed, F.col("__bucket"))
-    placed = shuffled.select("__first", F.posexplode(F.transform(order, lambda i: F.element_at("__items", i)["__row"])).alias("__pos", "__row"))
+    order = _fisher_yates(F.size("__items"), seed, F.col("__part"))
+    placed = gathered.select("__first", F.posexplode(F.transform(order, lambda i: F.element_at("__items", i)["__row"])).alias("__pos", "__row"))
     place = F.col("__first") + F.col("__pos")
     return placed.select("__row", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot")).select("__row.*", "shard", "slot")
 
