@@ -80,9 +80,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         head = own.join(active.select("doc", "at", F.col("rank").alias("a")).hint("merge"), ["doc", "at"])
         tail = active.select("doc", F.col("at").alias("end"), F.col("rank").alias("b")).hint("merge")
         named = materialize(head.withColumn("end", F.col("at") + F.col("m") - run).join(tail, ["doc", "end"]).select("doc", "at", "m", "a", "b"), "named")
-        shared = named.groupBy("m", "a", "b").agg(F.min(here).alias("first"), F.max(here).alias("other")).where("first <> other").drop("other")
+        # written, so that the join below shuffles both sides itself: only such a join can be split where one interval has very many occurrences
+        shared = materialize(named.groupBy("m", "a", "b").agg(F.min(here).alias("first"), F.max(here).alias("other")).where("first <> other").drop("other"), "shared")
         gone.append(materialize(named.join(shared.hint("merge"), ["m", "a", "b"]).where(here != F.col("first")).select("doc", "at", "m"), "gone"))
-        discard(named)
+        discard(named, shared)
         left = active.select("doc", "at", "before", "first_n", F.col("rank").alias("a"))
         right = active.select("doc", (F.col("at") - run).alias("at"), "last_n", "upto", F.col("rank").alias("b"))
         # a run inside a stretch has too few characters without its first or without its last line
