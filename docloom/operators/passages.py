@@ -56,7 +56,14 @@ def slice_until(parts: Column, start: Callable[[Column], Column], stop: Callable
     return first - 1, found
 
 
+def is_json(c: Column) -> Column:
+    """The whole text is one JSON value. The parser passes over what follows a value, so the text is tried inside brackets and inside braces: no text is
+    complete in both unless it is a single value. An object with a repeated name counts as none."""
+    held = [F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"x":', "}"))]
+    return F.coalesce(held[0] & held[1], F.lit(False))
+
+
 def json_object(c: Column) -> Column:
     """The text itself if it is JSON, else from its first { to its last } if that is; else null."""
     inner = F.regexp_extract(c, "(?s)(\\{.*\\})", 1)
-    return F.coalesce(F.get_json_object(c, "$"), F.get_json_object(inner, "$"))
+    return F.coalesce(F.when(is_json(c), c), F.when(is_json(inner), inner))

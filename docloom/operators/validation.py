@@ -6,7 +6,7 @@ import json
 import math
 import re
 from collections.abc import Callable
-from decimal import Decimal
+from fractions import Fraction
 from typing import Any
 
 import pandas as pd
@@ -23,7 +23,7 @@ TYPES: dict[str, Callable[[Any], bool]] = {
     "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None,
     "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == math.floor(v),
+    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v == math.floor(v),
 }
 #: Keywords that say nothing about validity.
 NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment", "format", "deprecated"}
@@ -166,7 +166,7 @@ KEYWORDS: dict[str, Callable[[Any, dict, dict], Check]] = {
     "maximum": _limit("number", lambda v: v, lambda n, m: n > m, "is more than"),
     "exclusiveMinimum": _limit("number", lambda v: v, lambda n, m: n <= m, "is not more than"),
     "exclusiveMaximum": _limit("number", lambda v: v, lambda n, m: n >= m, "is not less than"),
-    "multipleOf": _limit("number", lambda v: v, lambda n, m: Decimal(str(n)) % Decimal(str(m)) != 0, "is not a multiple of"),
+    "multipleOf": _limit("number", lambda v: v, lambda n, m: not math.isfinite(n) or Fraction(str(n)) % Fraction(str(m)) != 0, "is not a multiple of"),
 }
 
 
@@ -194,7 +194,8 @@ def with_choices(schema: dict, path: list[str], choices: list) -> dict:
 
 
 def schema_errors(c: Column, schema: dict) -> Column:
-    """Array of ``path: message`` in order of paths; empty for a valid text, null for one that isn't JSON (nor has JSON from its first { to its last })."""
+    """Array of ``path: message`` in order of paths; empty for a valid text, null for one that isn't JSON (nor has JSON from its first { to its last }),
+    and for one with a number of over 4,300 digits or nested too deep to walk. No reply fails the job."""
     compile_schema(schema)  # fails here, not in a task
 
     @F.pandas_udf("array<string>")
@@ -204,7 +205,10 @@ def schema_errors(c: Column, schema: dict) -> Column:
         def one(t: str | None) -> list[str] | None:
             if t is None:
                 return None
-            found = check(json.loads(t), [])
+            try:
+                found = check(json.loads(t), [])
+            except (ValueError, RecursionError):  # numbers of thousands of digits, very deep nesting
+                return None
             return [f"{json.dumps(at, ensure_ascii=False)}: {m}" for at, m in sorted(found, key=lambda e: ([(isinstance(s, str), str(s) if isinstance(s, str) else s) for s in e[0]], e[1]))]
 
         return texts.map(one)

@@ -25,6 +25,7 @@ OLE_MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 END_OF_CHAIN = 0xFFFFFFFA
 PARA_TEXT = 67
 COMPRESSED = 1
+SIGNATURE, LOCKS = b"HWP Document File", {2: "encrypted", 4: "for distribution only"}
 #: Control characters that stand alone; every other one below 32 is followed by seven more units.
 SINGLE_UNITS = frozenset([0, 10, 13, *range(24, 32)])
 SCHEMA = "path string, format string, paragraphs array<struct<level int, tag int, text string>>, record_count long, para_text_count long, decompressed_bytes long, error string"
@@ -104,8 +105,12 @@ class CompoundFile:
 
 
 def raw_inflate(data: bytes) -> bytes:
-    """Deflate without a header; what stands before damage is kept."""
-    return zlib.decompressobj(-15).decompress(data)
+    """Deflate without a header. A stream that ends early is refused, and so is one of over MOST_BYTES."""
+    inflater = zlib.decompressobj(-15)
+    out = inflater.decompress(data, MOST_BYTES)
+    if not inflater.eof:
+        raise ValueError("the compressed stream is too long" if inflater.unconsumed_tail else "the compressed stream ends early")
+    return out
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -127,7 +132,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def unit_text(data: bytes) -> str:
-    """Text of UTF-16 units with control characters: line ends stay, tabs become blanks, other controls go with the units that belong to them."""
+    """Text of UTF-16 units with control characters: line ends and tabs stay, other controls go with the units that belong to them."""
     units = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2])
     out, i = [], 0
     while i < len(units):
@@ -137,7 +142,7 @@ def unit_text(data: bytes) -> str:
         elif u in (10, 13):
             out.append(10)
         elif u == 9:
-            out.append(32)
+            out.append(9)
         i += 1 if u >= 32 or u in SINGLE_UNITS else 8
     return struct.pack(f"<{len(out)}H", *out).decode("utf-16-le", "replace").strip()
 
@@ -146,9 +151,20 @@ def _number(name: str) -> int:
     return int((re.findall(r"\d+", name) or ["0"])[-1])
 
 
+def _flags(ole: CompoundFile) -> int:
+    """The flags of the file's header; a file without the header or its signature, or that can't be read without a key, is refused."""
+    header = ole.read("FileHeader") if "FileHeader" in ole.streams else b""
+    if len(header) < 40 or not header.startswith(SIGNATURE):
+        raise ValueError("no header of this format")
+    flags = struct.unpack_from("<I", header, 36)[0]
+    if locked := [name for bit, name in LOCKS.items() if flags & bit]:
+        raise ValueError(f"the document is {locked[0]}")
+    return flags
+
+
 def decode_hwp(data: bytes) -> dict:
     ole = CompoundFile(data)
-    flags = struct.unpack_from("<I", ole.read("FileHeader"), 36)[0] if "FileHeader" in ole.streams else 0
+    flags = _flags(ole)
     out = {"paragraphs": [], "record_count": 0, "para_text_count": 0, "decompressed_bytes": 0}
     for name in sorted((s for s in ole.streams if re.fullmatch(r"BodyText/Section\d+", s)), key=_number):
         body = raw_inflate(ole.read(name)) if flags & COMPRESSED else ole.read(name)
@@ -162,6 +178,12 @@ def decode_hwp(data: bytes) -> dict:
     return out
 
 
+#: What elements inside a paragraph stand for.
+MARKS = {"lineBreak": "\n", "tab": "\t", "nbSpace": " ", "fwSpace": " ", "hyphen": "-"}
+#: The most bytes that an entry of a package or a stream may become.
+MOST_BYTES = 1 << 28
+
+
 def decode_hwpx(data: bytes) -> dict:
     """Texts of the p elements of each section, sections by number; a p inside another is a paragraph of its own."""
     out = {"paragraphs": [], "record_count": 0, "para_text_count": 0, "decompressed_bytes": 0}
@@ -172,11 +194,19 @@ def decode_hwpx(data: bytes) -> dict:
         for child in e:
             if local(child) == "p":
                 continue
-            parts.append("\n" if local(child) == "lineBreak" else "".join(child.itertext()) if local(child) == "t" else text_of(child))
+            kind = local(child)
+            parts.append(MARKS[kind] if kind in MARKS else run_of(child) if kind == "t" else text_of(child))
         return "".join(parts)
 
+    def run_of(t: ET.Element) -> str:
+        """A run's text with the marks inside it."""
+        inside = [MARKS.get(local(e)) or run_of(e) for e in t]
+        return (t.text or "") + "".join(x + (e.tail or "") for x, e in zip(inside, t, strict=True))
+
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for name in sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=_number):
+            if z.getinfo(name).file_size > MOST_BYTES:
+                raise ValueError(f"{name} is larger than {MOST_BYTES} bytes")
             body = z.read(name)
             out["decompressed_bytes"] += len(body)
             if b"<!DOCTYPE" in body:
@@ -205,10 +235,8 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
             rows = []
             for p, content, kind in zip(pdf["path"], pdf["content"], pdf["format"], strict=True):
                 try:
-                    got, error = decoders[kind](content), None
-                except KeyError:
-                    got, error = {}, f"no decoder for {kind}"
-                except (ValueError, struct.error, zlib.error, zipfile.BadZipFile, ET.ParseError, NotImplementedError, RuntimeError) as e:
+                    got, error = (decoders[kind](content), None) if kind in decoders else ({}, f"no decoder for {kind}")
+                except (ValueError, struct.error, zlib.error, KeyError, IndexError, zipfile.BadZipFile, ET.ParseError, NotImplementedError, RuntimeError) as e:
                     got, error = {}, f"{type(e).__name__}: {e}"
                 rows.append((p, kind, got.get("paragraphs", []), got.get("record_count", 0), got.get("para_text_count", 0), got.get("decompressed_bytes", 0), error))
             yield pd.DataFrame(rows, columns=["path", "format", "paragraphs", "record_count", "para_text_count", "decompressed_bytes", "error"])
