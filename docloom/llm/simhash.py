@@ -231,8 +231,10 @@ def similar_roots(docs: DataFrame, text_col: str, texts: DataFrame, similarity:
     shingles, and the keys under which it meets others. ``screen`` takes pairs (a, b, u, v) and returns those that are worth a verification.
     """
     keyed = texts.select("t", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # what is joined with many rows of a key is written first: only a join that shuffles both sides itself can be split
+    counts = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     met = materialize(keyed.join(counts.hint("merge"), "key"), "variants")
+    discard(counts)
     # the text that meets most others is in the middle of its group, so most of the group links to it
     meets = met.groupBy("t").agg(F.sum("c").alias("met"))
     asked = materialize(texts.join(meets.hint("merge"), "t").select("t", "k", "root", "size", "met"), "asked")
@@ -258,9 +260,9 @@ def similar_roots(docs: DataFrame, text_col: str, texts: DataFrame, similarity:
     for turn in range(TURNS):
         order = F.struct(-F.col("met"), F.xxhash64("t"), "t", "root", "size") if turn == 0 else F.struct(F.lit(0).cast("long"), F.xxhash64("key", "t", F.lit(turn)), "t", "root", "size")
         mixed = members.groupBy("key").agg(F.min(order).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        pivots = mixed.select("key", F.col("p.t").alias("b"), F.col("p.root").alias("v"), F.col("p.size").alias("size_b"))
+        pivots = materialize(mixed.select("key", F.col("p.t").alias("b"), F.col("p.root").alias("v"), F.col("p.size").alias("size_b")), "pivots")
         met = materialize(members.join(pivots.hint("merge"), "key"), "members")
-        discard(members)
+        discard(members, pivots)
         stars = met.where(F.col("root") != F.col("v")).where(near).select(F.col("t").alias("a"), "b", F.col("root").alias("u"), "v")
         members = merge(met.drop("b", "v", "size_b"), stars)
         discard(met)
