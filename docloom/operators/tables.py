@@ -28,13 +28,18 @@ def last_before(df: DataFrame, group: str, order: list[str], value: Column, when
     return df.withColumn(name, F.last(F.when(when, value), ignorenulls=True).over(over))
 
 
-def representatives(vectors: DataFrame, id_col: str, group: str, vector: str, top: int = 2) -> DataFrame:
-    """(group, rank, id, cosine): each group's rows nearest to its mean, ties to the smaller id."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))
+def cosine_to_mean(vectors: DataFrame, group: str, vector: str, *cols: str) -> DataFrame:
+    """(cols, grp, cosine): each row's cosine with the mean of its group. A mean is one array, so a vector stays in its row."""
+    rows = vectors.select(*cols, F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))
     parts = rows.select("grp", F.posexplode("v").alias("d", "x")).groupBy("grp", "d").agg(F.avg("x").alias("m"))
     mean = parts.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("m"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = rows.join(small(mean, 10_000), "grp").select("grp", "id", F.round(dot("v", "m") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("m", "m"))), 6).alias("cosine"))
+    return rows.join(small(mean, 10_000), "grp").select(*cols, "grp", (dot("v", "m") / F.sqrt(dot("v", "v") * dot("m", "m"))).alias("cosine"))
+
+
+def representatives(vectors: DataFrame, id_col: str, group: str, vector: str, top: int = 2) -> DataFrame:
+    """(group, rank, id, cosine): each group's rows nearest to its mean, ties to the smaller id."""
+    near = cosine_to_mean(vectors, group, vector, id_col).select("grp", F.col(id_col).alias("id"), F.round("cosine", 6).alias("cosine"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= top)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_refusal
-from docloom.operators.keywords import small, words
+from docloom.operators.keywords import overlap, words
 from docloom.operators.paired import mcnemar, wilcoxon, with_p_values
 from docloom.operators.sentences import NORMALIZING, blank_run, excerpt, latin_ratio, normalize_symbols, normalize_whole, sentences
+from docloom.operators.tables import cosine_to_mean
 
 #: Parameters of the queries below.
 ALLOWED, MIN_ALLOCATION, SAMPLE = tuple(f"src{i}" for i in range(10)), 3, 100
@@ -51,11 +52,8 @@ def token_frequency_topn(spark, d):
 
 def overlap_retrieval_topk(spark, d):
     """Documents that share most distinct words with each benchmark item."""
-    docs = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    asked = _t(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    docs = docs.join(small(asked.select("word").distinct()), "word", "left_semi")
-    shared = docs.join(asked, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).where("rank <= 5")
+    found = overlap(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("score").cast("long").alias("shared"), "rank")
 
 
 def page_paragraphs(spark, d):
@@ -114,10 +112,7 @@ def elbow_choice(spark, d):
 
 def neyman_allocation(spark, d):
     """Rows to sample of each label, in proportion to its size and the spread of its vectors about their mean."""
-    long = _t(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    mean = long.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    cosine = F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("m") * F.col("m")))
-    rows = long.join(mean, ["label", "i"]).groupBy("label", "vec_id").agg((1 - cosine).alias("away"))
+    rows = cosine_to_mean(_t(spark, d, "embeddings"), "label", "embedding").select(F.col("grp").alias("label"), (1 - F.col("cosine")).alias("away"))
     size = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("away").alias("s"))
     total = size.agg(F.sum(F.col("n") * F.col("s")).alias("total"))
     return size.join(F.broadcast(total)).select("label", "n", F.round("s", 6).alias("spread"), F.greatest(F.round(SAMPLE * F.col("n") * F.col("s") / F.col("total")), F.lit(MIN_ALLOCATION)).cast("long").alias("allocated"))
