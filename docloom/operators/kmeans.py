@@ -51,7 +51,10 @@ def seeds(vectors: DataFrame, id_col: str, vector_col: str, k: int, restarts: in
 
 
 def sweep(vectors: DataFrame, id_col: str, vector_col: str, ks: list[int], restarts: int = 3, steps: int = 10, seed: int = 42) -> dict[int, tuple[float, np.ndarray]]:
-    """For each k (wcss, centroids) of its best restart, after so many Lloyd steps or when none moves. An empty cluster keeps its centroid."""
+    """For each k (wcss, centroids) of its best restart, after so many Lloyd steps or when none moves.
+
+    An empty cluster's centroid moves to the row farthest from its own; of several empty ones each takes the next farthest.
+    """
     first = seeds(vectors, id_col, vector_col, max(ks), restarts, seed)
     centres = {(k, r): first[r][:k].copy() for k in ks for r in range(restarts)}
     rows = vectors.select(F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
@@ -61,6 +64,7 @@ def sweep(vectors: DataFrame, id_col: str, vector_col: str, ks: list[int], resta
 
         def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             total: dict = {}
+            far: dict = {}
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -70,29 +74,49 @@ def sweep(vectors: DataFrame, id_col: str, vector_col: str, ks: list[int], resta
                     own = d.argmin(axis=1)
                     n, s = np.bincount(own, minlength=len(c)), np.zeros_like(c)
                     np.add.at(s, own, x)
+                    near = d[np.arange(len(x)), own]
+                    last = np.argsort(-near, kind="stable")[: len(c)]
+                    far[key] = sorted([*far.get(key, []), *((float(near[i]), tuple(x[i])) for i in last)], reverse=True)[: len(c)]
                     part = (n, s, np.bincount(own, d[np.arange(len(x)), own], minlength=len(c)))
                     total[key] = part if key not in total else tuple(a + b for a, b in zip(total[key], part, strict=True))
             for (k, r), (n, s, w) in total.items():
-                yield pd.DataFrame({"k": k, "r": r, "c": np.arange(k), "n": n, "s": list(s), "w": w})
+                yield pd.DataFrame({"k": k, "r": r, "c": np.arange(k), "n": n, "s": list(s), "w": w, "far": None})
+                yield pd.DataFrame([(k, r, -1, 0, list(v), 0.0, d) for d, v in far[k, r]], columns=["k", "r", "c", "n", "s", "w", "far"])
 
-        parts = rows.mapInPandas(sums, "k int, r int, c int, n long, s array<double>, w double")
-        add = lambda c: F.aggregate(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        parts = rows.mapInPandas(sums, "k int, r int, c int, n long, s array<double>, w double, far double")
         moved = False
-        got = parts.groupBy("k", "r", "c").agg(F.sum("n").alias("n"), add("s").alias("s"), F.sum("w").alias("w")).collect()
-        wcss = dict.fromkeys(centres, 0.0)
-        for row in got:
-            wcss[row.k, row.r] += row.w
-            if row.n and step < steps:
-                new = np.array(row.s) / row.n
-                moved |= bool(np.abs(new - now[row.k, row.r][row.c]).max() > 1e-12)
-                centres[row.k, row.r] = centres[row.k, row.r].copy()
-                centres[row.k, row.r][row.c] = new
+        added = parts.where("c >= 0").select("k", "r", "c", "n", "w", F.posexplode("s").alias("i", "x"))
+        # as many numbers as the centroids have come to the driver; a position is summed up before and after the shuffle
+        got = added.groupBy("k", "r", "c", "i").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("x").alias("x")).toPandas()
+        wcss = {key: float(got[(got.k == key[0]) & (got.r == key[1]) & (got.i == 0)].w.sum()) for key in centres}
+        if step == steps:
+            break
+        size = got[got.i == 0].groupby(["k", "r", "c"]).n.sum()
+        for (k, r), c in now.items():
+            own = got[(got.k == k) & (got.r == r)]
+            new = c.copy()
+            sums_of = np.zeros_like(c)
+            sums_of[own.c, own.i] = own.x
+            n = np.array([size.get((k, r, j), 0) for j in range(k)])
+            new[n > 0] = sums_of[n > 0] / n[n > 0, None]
+            if len(own) and (n == 0).any():
+                empty = np.nonzero(n == 0)[0]
+                farthest = parts.where((F.col("k") == k) & (F.col("r") == r) & F.col("far").isNotNull()).orderBy(F.desc("far"), F.desc("s")).limit(len(empty)).collect()
+                for j, row in zip(empty, farthest):
+                    new[j] = row.s
+            moved |= bool(len(own)) and bool(np.abs(new - c).max() > 1e-12)
+            centres[k, r] = new
         if not moved:
             break
     best = {k: min((wcss[k, r], r) for r in range(restarts)) for k in ks}
     return {k: (w, now[k, r]) for k, (w, r) in best.items()}
 
 
+def final(vectors: DataFrame, id_col: str, vector_col: str, k: int, restarts: int = 3, steps: int = 10, seed: int = 1337) -> tuple[float, np.ndarray]:
+    """(wcss, centroids) for the k that was chosen, from twice as many restarts and other seeds."""
+    return sweep(vectors, id_col, vector_col, [k], 2 * restarts, steps, seed)[k]
+
+
 def assigned(vectors: DataFrame, vector_col: str, centres: np.ndarray, name: str = "cluster") -> DataFrame:
     """vectors with the number of the nearest centroid; null where there is no vector."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,7 @@ def bootstrap_mean(df: DataFrame, value: Column, resamples: int = 1000, seed: in
     """
     counts = df.select(value.cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("x")
         n = int(f.k.sum())
         means = np.random.default_rng(seed).multinomial(n, f.k / n, resamples) @ f.x.to_numpy() / n
@@ -78,3 +79,56 @@ def bootstrap_mean(df: DataFrame, value: Column, resamples: int = 1000, seed: in
 
     out = counts.groupBy(F.lit(0).alias("g")).applyInPandas(run, "n long, mean double, low double, high double")
     return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("mean").alias("mean"), F.max("low").alias("low"), F.max("high").alias("high"))
+
+
+#: Chances of a count of at most 0, 1, 2... in a Poisson distribution of mean 1, as far as 53 bits can tell.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(19)])
+_ROWS = 512
+
+
+def _weights(h: np.ndarray, xors: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """How often each row, by its hash, is drawn in each resample."""
+    z = (h[:, None] ^ xors) * factors
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)).astype(np.float64) / 2.0**53, "right").astype(np.float64)
+
+
+def bootstrap(df: DataFrame, group: list[str], row_id: list[str], parts: dict[str, Column], statistic: Callable[[dict[str, Column]], Column], resamples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(group, n, value, low, high): percentile interval of any statistic of sums, per group.
+
+    ``parts``: what is summed up, a null counts as 0; ``statistic`` makes the value of the sums (``n`` among them, the number of rows). In each resample a row is drawn a Poisson number
+    of times, from a hash of its id and the resample, so a task draws its rows by itself, a recomputed task draws the same, and partial sums add up: a
+    row per task, group and resample is shuffled. Rows of one id are drawn together. A resample that draws no row of a group doesn't
+    count for it. Without rows there is no group.
+    """
+    r = np.random.default_rng(seed)
+    xors, factors = r.integers(0, 1 << 64, (2, resamples), dtype=np.uint64)
+    factors |= np.uint64(1)
+    names = list(parts)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        kept: dict[tuple, tuple] = {}
+        for pdf in batches:
+            for key, f in pdf.groupby(pdf["__key"]):
+                kept.setdefault(key, tuple(f[g].iloc[0] for g in group))
+                for at in range(0, len(f), _ROWS):
+                    g = f.iloc[at : at + _ROWS]
+                    x = np.column_stack([np.ones(len(g)), g[names].fillna(0.0).to_numpy(dtype=np.float64)])
+                    w = np.column_stack([np.ones(len(g)), _weights(g["__h"].to_numpy().view(np.uint64), xors, factors)])
+                    total[key] = total.get(key, 0.0) + w.T @ x
+        for key, s in total.items():
+            out = pd.DataFrame(s, columns=["n", *names]).assign(resample=np.arange(-1, resamples))
+            yield out.assign(**dict(zip(group, kept[key])))[[*group, "resample", "n", *names]]
+
+    rows = df.select(*group, F.xxhash64(*row_id, F.lit(seed)).alias("__h"), F.to_json(F.struct(*group)).alias("__key") if group else F.lit("").alias("__key"), *[c.cast("double").alias(n) for n, c in parts.items()])
+    kinds = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in group)
+    schema = f"{kinds + ', ' if group else ''}resample int, n double, " + ", ".join(f"`{n}` double" for n in names)
+    drawn = rows.mapInPandas(sums, schema).groupBy(*group, "resample").agg(*[F.sum(n).alias(n) for n in ["n", *names]]).where("n > 0")
+    value = drawn.select(*group, "resample", "n", statistic({n: F.col(n) for n in ["n", *names]}).alias("value"))
+    own, other = F.col("resample") < 0, F.col("resample") >= 0
+    ends = [50 * (1 - level) / 100, 50 * (1 + level) / 100]
+    return value.groupBy(*group).agg(
+        F.max(F.when(own, F.col("n"))).cast("long").alias("n"), F.max(F.when(own, F.col("value"))).alias("value"),
+        *[F.percentile(F.when(other, F.col("value")), F.lit(e)).alias(name) for e, name in zip(ends, ("low", "high"))],
+    )

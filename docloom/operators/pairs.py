@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -19,9 +19,14 @@ TASKS = 20_000
 DECIMALS = 6
 
 
+def _usable(id_col: str, vector_col: str) -> Column:
+    """A vector that is null, or holds a null or a number that isn't finite, is in no pair, and so is one without an id."""
+    return F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def pair_map(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, report: Callable, schema: str, block: int = BLOCK) -> DataFrame:
     """Rows of report(ids_a, groups_a, ids_b, groups_b, scores, valid) for every two blocks; valid marks each pair once (id_a < id_b)."""
-    vectors = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+    vectors = vectors.where(_usable(id_col, vector_col))
     blocks = max(1, -(-vectors.count() // block))
     own = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     whole = own.groupBy("block").agg(F.collect_list(F.struct("id", "grp", "v")).alias("s")).select("block", "s.id", "s.grp", "s.v")
@@ -107,25 +112,41 @@ def within_group(vectors: DataFrame, id_col: str, vector_col: str, group_col: st
         s = scores[i, j]
         return pd.DataFrame({"grp": ga[i], "n": 1, "s": s, "q": s * s}).groupby("grp", as_index=False).sum()
 
-    parts = pair_map(vectors, id_col, vector_col, group_col, report, "grp long, n long, s double, q double").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    parts = pair_map(vectors, id_col, vector_col, group_col, report, f"grp {dict(vectors.dtypes)[group_col]}, n long, s double, q double").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     return parts.select("grp", "n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), 6).alias("std"))
 
 
-def silhouette(vectors: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
-    """One row: the mean silhouette of unit vectors under Euclidean distance. Rows alone in their group take no part."""
+def silhouettes(vectors: DataFrame, id_col: str, vector_col: str, labellings: list[str]) -> DataFrame:
+    """(labelling, n, silhouette): the mean silhouette of unit vectors under Euclidean distance, for each of several columns of groups. Rows alone in their group take no part.
+
+    The distances of two blocks are worked out once, for all labellings. A null group is one of its own.
+    """
+    labels = {c: k for k, c in enumerate(labellings)}
+    rows = vectors.select(F.col(id_col), F.col(vector_col), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labellings]).alias("__groups"))
+    kind = dict(rows.dtypes)[id_col]
 
     def report(ia, ga, ib, gb, scores, valid):
         d, out = np.sqrt(np.maximum(0.0, 2 - 2 * scores)), []
         once = np.isin(ia[:1], ib).any()  # a block meets itself, in whatever order
         d = np.where(ia[:, None] == ib[None, :], 0.0, d)
         for mine, own, others, m in ((ia, ga, gb, d), (ib, gb, ga, d.T))[: 1 if once else 2]:
-            for g in np.unique(others):
-                out.append(pd.DataFrame({"id": mine, "own": own, "other": g, "d": m[:, others == g].sum(axis=1)}))
+            own, others = np.stack(own), np.stack(others)
+            for k in labels.values():
+                groups, of = np.unique(others[:, k], return_inverse=True)
+                sums = m @ (of[:, None] == np.arange(len(groups))).astype(float)
+                out.append(pd.DataFrame({"k": k, "id": np.repeat(mine, len(groups)), "own": np.repeat(own[:, k], len(groups)), "other": np.tile(groups, len(mine)), "d": sums.ravel()}))
         return pd.concat(out)
 
-    sums = pair_map(vectors, id_col, vector_col, group_col, report, "id long, own long, other long, d double").groupBy("id", "own", "other").agg(F.sum("d").alias("d"))
-    sizes = vectors.groupBy(F.col(group_col).cast("long").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    mean = sums.join(sizes, "other").select("id", F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("size") - 1, F.lit(0))).alias("a"), F.when(F.col("own") != F.col("other"), F.col("d") / F.col("size")).alias("b"))
-    per = mean.groupBy("id").agg(F.max("a").alias("a"), F.min("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"))
+    sums = pair_map(rows, id_col, vector_col, "__groups", report, f"k int, id {kind}, own string, other string, d double").groupBy("k", "id", "own", "other").agg(F.sum("d").alias("d"))
+    sizes = rows.where(_usable(id_col, vector_col)).select(F.posexplode("__groups").alias("k", "other")).groupBy("k", "other").agg(F.count(F.lit(1)).alias("size"))
+    mean = sums.join(sizes, ["k", "other"]).select("k", "id", F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("size") - 1, F.lit(0))).alias("a"), F.when(F.col("own") != F.col("other"), F.col("d") / F.col("size")).alias("b"))
+    per = mean.groupBy("k", "id").agg(F.max("a").alias("a"), F.min("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    every = vectors.sparkSession.createDataFrame([(k, c) for c, k in labels.items()], "k int, labelling string")
+    found = per.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"))
+    return every.join(found, "k", "left").select("labelling", F.coalesce("n", F.lit(0)).alias("n"), "silhouette")
+
+
+def silhouette(vectors: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
+    """One row (n, silhouette) for one column of groups."""
+    return silhouettes(vectors, id_col, vector_col, [group_col]).select("n", "silhouette")

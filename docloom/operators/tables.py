@@ -28,6 +28,19 @@ def last_before(df: DataFrame, group: str, order: list[str], value: Column, when
     return df.withColumn(name, F.last(F.when(when, value), ignorenulls=True).over(over))
 
 
+def interleaved(labels: DataFrame, bodies: DataFrame, group: str, at: str, order: str) -> DataFrame:
+    """Labels and bodies of each group in one order: a label comes before the first body that stands at its place or after; labels without one come last.
+
+    Both have the columns (group, at, order, ...); order parts rows of one kind at one place. The result has ``place`` (from 1), ``is_label`` and, for labels, ``opens``:
+    the order of the body that it opens, or null.
+    """
+    both = labels.withColumn("is_label", F.lit(True)).unionByName(bodies.withColumn("is_label", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(group).orderBy(F.col(at), F.desc("is_label"), F.col(order))
+    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    opens = F.first(F.when(~F.col("is_label"), F.col(order)), ignorenulls=True).over(ahead)
+    return both.select(*both.columns, F.row_number().over(w).alias("place"), F.when(F.col("is_label"), opens).alias("opens"))
+
+
 def cosine_to_mean(vectors: DataFrame, group: str, vector: str, *cols: str) -> DataFrame:
     """(cols, grp, cosine): each row's cosine with the mean of its group. A mean is one array, so a vector stays in its row."""
     rows = vectors.select(*cols, F.col(group).alias("grp"), F.col(vector).cast("array<double>").alias("v"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import articles
+from docloom.operators.paired import bootstrap
+from docloom.operators.tables import interleaved
 from docloom.sources import corpus
 
 #: Where a chunk of the test documents begins, for they have no articles.
@@ -39,7 +41,23 @@ def decoded_texts(spark, d):
     return x.select("doc_id", "d.encoding", "d.error", F.md5(F.col("d.text")).alias("digest"), F.md5(F.col("wide")).alias("wide"), F.md5(F.col("cut")).alias("cut"))
 
 
-QUERIES = {f.__name__: f for f in (article_chunks, grounding_select, decoded_texts)}
+def interleaved_rows(spark, d):
+    """Clicks as labels among a user's other events: the order of all, and the event that each click opens."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    both = interleaved(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), "user_id", "ts", "event_id")
+    return both.select("user_id", "event_id", "is_label", "place", "opens")
+
+
+def bootstrap_by_language(spark, d):
+    """Per language the difference of mean lengths of good and bad documents, with its interval."""
+    docs = _docs(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("quality is not null")
+    good, n = F.col("quality") == 1, F.col("n_chars")
+    parts = {"a": F.when(good, n), "na": good.cast("int"), "b": F.when(~good, n), "nb": (~good).cast("int")}
+    out = bootstrap(docs, ["lang"], ["doc_id"], parts, lambda s: s["a"] / F.nullif(s["na"], F.lit(0.0)) - s["b"] / F.nullif(s["nb"], F.lit(0.0)), 500)
+    return out.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("value", "low", "high")])
+
+
+QUERIES = {f.__name__: f for f in (interleaved_rows, bootstrap_by_language, article_chunks, grounding_select, decoded_texts)}
 
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 SQL = {
@@ -56,5 +74,8 @@ c AS (SELECT * FROM (SELECT w.lang, w.source, place, coalesce(b.doc_id, f.doc_id
 s AS (SELECT lang, max(spent) AS spent, count(*) AS taken FROM c GROUP BY 1),
 r AS (SELECT * FROM (SELECT h.*, coalesce(taken, 0) AS taken, coalesce(spent, 0) + sum(least(n, 2800)) OVER (PARTITION BY h.lang ORDER BY rank) AS upto, row_number() OVER (PARTITION BY h.lang ORDER BY rank) AS nth FROM h LEFT JOIN s USING (lang) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = h.lang AND c.doc_id = h.doc_id)) WHERE upto <= {BUDGET} AND nth <= greatest({MOST} - taken, 1))
 SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY pass, o))::INT AS place, doc_id, source, covers FROM (SELECT lang, 0 AS pass, place AS o, doc_id, source, true AS covers FROM c UNION ALL SELECT lang, 1, rank, doc_id, source, false FROM r)""",
+    "interleaved_rows": """WITH l AS (SELECT * FROM events WHERE event_type = 'click'), b AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
+o AS (SELECT l.event_id, b.event_id AS opens FROM l ASOF LEFT JOIN b ON l.user_id = b.user_id AND l.ts <= b.ts)
+SELECT user_id, e.event_id, event_type = 'click' AS is_label, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'click', e.event_id))::INT AS place, opens FROM events e LEFT JOIN o ON o.event_id = e.event_id WHERE event_type IS NOT NULL""",
     "decoded_texts": """SELECT doc_id, CASE WHEN text IS NOT NULL AND (text <> '' OR doc_id % 3 = 0) THEN 'utf-8-sig' END AS encoding, CASE WHEN text = '' AND doc_id % 3 <> 0 THEN 'empty' END AS error, CASE WHEN text <> '' OR doc_id % 3 = 0 THEN md5(text) END AS digest, md5(text) AS wide, md5(text || chr(65533)) AS cut FROM documents""",
 }

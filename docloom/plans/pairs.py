@@ -30,7 +30,7 @@ def similarity_histogram(spark, d):
 
 
 def within_label_pairs(spark, d):
-    return pairs.within_group(_v(spark, d), *_ARGS)
+    return pairs.within_group(_v(spark, d), *_ARGS).withColumn("grp", F.col("grp").cast("long"))
 
 
 def silhouette_by_label(spark, d):
@@ -48,7 +48,10 @@ def k_sweep(spark, d):
     """wcss and mean silhouette for k from 2 to 6; the elbow is told, the first best silhouette is chosen."""
     v = _v(spark, d).select("vec_id", "embedding")
     found = kmeans.sweep(v, "vec_id", "embedding", [2, 3, 4, 5, 6])
-    rows = [(k, float(w), pairs.silhouette(kmeans.assigned(v, "embedding", c).withColumn("cluster", F.col("cluster").cast("long")), "vec_id", "embedding", "cluster").first()["silhouette"]) for k, (w, c) in found.items()]
+    for k, (_, centres) in found.items():
+        v = kmeans.assigned(v, "embedding", centres, f"k{k}")
+    mean = {r.labelling: r.silhouette for r in pairs.silhouettes(v, "vec_id", "embedding", [f"k{k}" for k in found]).collect()}
+    rows = [(k, float(w), mean[f"k{k}"]) for k, (w, _) in found.items()]
     bend, best = kmeans.elbow({k: w for k, w, _ in rows}), max(s for _, _, s in rows if s is not None)
     chosen = min(k for k, _, s in rows if s == best)
     return spark.createDataFrame([(k, round(w, 6), s, k == bend, k == chosen) for k, w, s in rows], "k int, wcss double, silhouette double, is_elbow boolean, is_chosen boolean")
