@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import kmeans, pairs
+from docloom.operators import kmeans, pairs, tsne
 
 _ARGS = ("vec_id", "embedding", "label")
 
@@ -71,3 +71,22 @@ SQL = {
 r AS (SELECT i, max(d) FILTER (WHERE gi = gj) AS a, min(d) FILTER (WHERE gi <> gj) AS b FROM d GROUP BY 1)
 SELECT count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM r WHERE a IS NOT NULL AND b IS NOT NULL""",
 }
+
+
+def nearest_by_distance(spark, d):
+    """The five nearest others of each vector, by squared distance."""
+    near = tsne.neighbours(_v(spark, d), "vec_id", "embedding", 5)
+    return near.select("i", "j", F.round("d2", 6).alias("d2"))
+
+
+def tsne_affinities(spark, d):
+    """Per vector the perplexity that its bandwidth comes to, and the sum of its neighbours' chances."""
+    p = tsne.affinities(tsne.neighbours(_v(spark, d), "vec_id", "embedding", 30), 10.0)
+    return p.groupBy("i").agg(F.round(F.max("perplexity"), 3).alias("perplexity"), F.round(F.sum("p"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (nearest_by_distance, tsne_affinities)}
+SQL |= {
+    "nearest_by_distance": "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS s FROM embeddings) SELECT i, j, round(d2, 6) AS d2 FROM (SELECT a.id AS i, b.id AS j, greatest(0, a.s + b.s - 2 * list_dot_product(a.v, b.v)) AS d2, row_number() OVER (PARTITION BY a.id ORDER BY greatest(0, a.s + b.s - 2 * list_dot_product(a.v, b.v)), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5",
+    "tsne_affinities": "SELECT vec_id AS i, 10.0::DOUBLE AS perplexity, 1.0::DOUBLE AS total, 30::BIGINT AS n FROM embeddings",
+}
