@@ -39,6 +39,8 @@ CANDIDATE_SHARE = 0.4
 UNIT_ROWS = 2_000
 SHARD_ROWS = 20_000
 QUERY_BLOCK = 4_000
+#: Queries that one task walks the cells for.
+WALKS = 128
 TOP = 20
 
 
@@ -163,8 +165,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, candidates: int
                 yield pd.DataFrame({"query_id": pdf["vec_id"].iloc[i], "shard": own, "units": [units[shards == k] for k in own]})
 
     asked_for = materialize(index.where("q").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    per_shard = asked_for.mapInPandas(visits, "query_id long, shard long, units array<long>")
-    n_blocks = max(1, -(-asked_for.count() // QUERY_BLOCK))
+    n_queries = asked_for.count()
+    # a walk costs time, not bytes, so queries are dealt by their number
+    walked = asked_for.repartition(max(1, -(-n_queries // WALKS)), "vec_id")
+    per_shard = walked.mapInPandas(visits, "query_id long, shard long, units array<long>")
+    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_blocks))
     asked = per_shard.join(asked_for.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("block", block)
     stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
