@@ -50,25 +50,46 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: Digests of the canonical forms of whole licences too long to stand here, as their stewards publish them (title, preamble and appendix included).
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+#: Any spelling that has an equivalent. A text without one is left as it is by all replacements in turn.
+_ANY_SPELLING = "\\b(?:" + "|".join(a for a, _ in SPELLINGS) + ")\\b"
+
 
 def canonical(text: Column) -> Column:
     """The normal form that is hashed."""
     c = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
     c = F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " "))
-    return reduce(lambda x, s: F.regexp_replace(x, f"\\b{s[0]}\\b", s[1]), SPELLINGS, c)
+    # inside a lambda, so that the text is worked out once
+    return F.transform(F.array(c), lambda x: F.when(F.regexp_like(x, F.lit(_ANY_SPELLING)), reduce(lambda y, s: F.regexp_replace(y, f"\\b{s[0]}\\b", s[1]), SPELLINGS, x)).otherwise(x))[0]
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, license): license is null where the whole text is no known licence. known: (license, text).
+def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> DataFrame:
+    """(id, digest, license): license is null where the whole text is no known licence. known: (license, text); digests: (license, digest) of further ones.
 
     The digest side is unique per digest (the first name in order stands), so rows are never multiplied; a digest that a
     third of all texts share meets a broadcast table, or is split by the adaptive join when the table is too long for it.
     """
-    table_ = known.where(F.trim(canonical(F.col("text"))) != "").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    table_ = known.where(F.trim(canonical(F.col("text"))) != "").select(digest(F.col("text")).alias("digest"), "license")
+    table_ = table_.union(known.sparkSession.createDataFrame([(d, n) for n, d in digests], "digest string, license string")).groupBy("digest").agg(F.min("license").alias("license"))
     if known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN:
         table_ = F.broadcast(table_)
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("digest")).join(table_, "digest", "left").select(id_col, "digest", "license")
@@ -88,7 +109,7 @@ def _sql(column: str) -> str:
 
 OP5_SQL = f"""
 WITH known(license, text) AS (VALUES {", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in KNOWN)}),
-k AS (SELECT sha256({_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),
+k AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_sql("text")}) AS digest, license FROM known UNION ALL VALUES {", ".join(f"('{d}', '{n}')" for n, d in KNOWN_DIGESTS)}) GROUP BY 1),
 d AS (SELECT doc_id, sha256({_sql("text")}) AS digest FROM documents)
 SELECT d.doc_id, d.digest, k.license FROM d LEFT JOIN k ON d.digest = k.digest
 """

@@ -238,3 +238,27 @@ def test_long_runs_of_blanks(spark, monkeypatch):
     for bad in ({"max_tokens": 0}, {"max_loss": 0}):
         with pytest.raises(ValueError, match="room"):
             packing.cut_pieces(docs(spark, []), **bad)
+
+
+def test_whole_licences_by_digest(spark):
+    import os
+
+    from docloom.llm import licenses
+
+    folder = "/usr/share/common-licenses"
+    names = [("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")]
+    if not all(os.path.exists(f"{folder}/{n}") for n, _ in names):
+        pytest.skip("no licence texts on this machine")
+    texts = [open(f"{folder}/{n}", encoding="utf-8").read() for n, _ in names]
+    rows = [(i, t.upper().replace(" ", "   ").replace("\n", " \n\n")) for i, t in enumerate(texts)] + [(i + 10, t + " and one word") for i, t in enumerate(texts)]
+    known = spark.createDataFrame(licenses.KNOWN, "license string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs(spark, rows), known).collect()}
+    assert got == {0: "GPL-3.0", 1: "Apache-2.0", 2: "MPL-2.0", 10: None, 11: None, 12: None}
+
+
+def test_spellings_in_turn(spark):
+    from docloom.llm import licenses
+
+    texts = ["sub licence", "The behaviour, WHILST authorised.", "nothing here", "", None, "licenced licence sub-licence fulfil"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(licenses.canonical(F.col("t"))).collect()]
+    assert got == ["sublicense", "the behavior while authorized", "nothing here", "", "", "licensed license sublicense fulfill"]
