@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Groups whose means may become literals of a plan.
+MOST_GROUPS = 1_000
+
 
 def _table(pairs: list[tuple[int, list[float]]]):
     return F.array(*[F.struct(F.lit(int(c)).cast("long").alias("c"), F.array(*[F.lit(float(x)) for x in v]).alias("m")) for c, v in pairs])
@@ -18,7 +21,9 @@ def assign(vectors: DataFrame, vector_col: str, centroids: list[tuple[int, list[
 
 
 def means(vectors: DataFrame, vector_col: str, group: str) -> list[tuple[int, list[float]]]:
-    """(group, mean vector) of every group, in order; for groups whose number is bounded."""
+    """(group, mean vector) of every group, in order. More groups than MOST_GROUPS are refused, for the means come to the driver and into the plan."""
+    if vectors.select(group).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     parts = vectors.select(F.col(group).alias("g"), F.posexplode(F.col(vector_col).cast("array<double>")).alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("m"))
     rows = parts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m")).orderBy("g").select("g", "m.m").collect()
     return [(r.g, list(r.m)) for r in rows]

@@ -61,7 +61,17 @@ def without_escapes(c: Column) -> Column:
 
 
 def unescape_xml(c: Column) -> Column:
-    """The five named entities; & last, so that nothing is unescaped twice."""
+    """Numeric references and the five named entities; & last, so that nothing is unescaped twice. A number that is no character stays as it is."""
+    pattern = "&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+    def character(m: Column) -> Column:
+        code = F.when(F.regexp_like(m, F.lit("^&#[xX]")), F.conv(F.substring(m, 4, 8).substr(F.lit(1), F.length(m) - 4), 16, 10)).otherwise(F.substring(m, 3, 8).substr(F.lit(1), F.length(m) - 3)).cast("long")
+        real = ((code == 9) | (code == 10) | (code == 13) | ((code >= 32) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))) & (code != 38)
+        # a code point in four bytes of UTF-32, as char() knows the first 256 only
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code == 38, "&amp;").otherwise(m)
+
+    both = F.transform(F.array(F.struct(F.split(c, pattern, -1).alias("p"), F.regexp_extract_all(c, F.lit(pattern), 0).alias("m"))), lambda s: F.concat(F.get(s["p"], F.lit(0)), F.array_join(F.zip_with(s["m"], F.slice(s["p"], 2, F.size(s["p"])), lambda m, r: F.concat(character(m), r)), "")))[0]
+    c = F.when(F.contains(c, F.lit("&#")), both).otherwise(c)
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(mark))
     return c

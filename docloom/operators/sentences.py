@@ -18,7 +18,7 @@ def normalize_symbols(c: Column) -> Column:
 PARTING = r"[\t\n\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{25A1}\x{25A0}\x{25CB}\x{25CF}\x{25E6}\x{25AA}\x{2022}\x{203B}\x{2502}\x{2514}\x{2518}\x{2500}\x{250C}\x{2510}|_`]+"
 KEPT = r"\x{20}-\x{7E}\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}"
 #: In turn: what is replaced by what. Two passes for marks side by side.
-NORMALIZING = ((r"[\x{FFFD}\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]", ""), (PARTING, " "), (" ([.,:;)!?])", r"\1"), (rf"\([^{KEPT.replace('20', '21', 1)}]+", "("), (f"[^{KEPT}]", ""), (" +", " "), (r"([.?!])([^ )\"'])", r"\1 \2"), (r"([.?!])([^ )\"'])", r"\1 \2"))
+NORMALIZING = ((r"[\x{FFFD}\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]+", ""), (PARTING, " "), (" ([.,:;)!?])", r"\1"), (rf"\([^{KEPT.replace('20', '21', 1)}]+", "("), (f"[^{KEPT}]+", ""), (" +", " "), (r"([.?!])([^ )\"'])", r"\1 \2"), (r"([.?!])([^ )\"'])", r"\1 \2"))
 
 
 def normalize_whole(c: Column) -> Column:

@@ -43,3 +43,24 @@ def test_guards(spark, tmp_path):
     gate = checks.output_gate(files, ["a.md", "b.md", "c.md", "d.md"], F.col("faults")).first()
     assert (gate.status, gate.failures) == ("FAIL", ["b.md: empty", "c.md: short", "d.md: missing"])
     assert tuple(checks.output_gate(files, ["a.md"], F.col("faults")).first()) == ("PASS", []) and checks.gold_evaluation(spark, "none").first().evaluated is False
+
+
+def test_exact_signed_ranks(spark):
+    from itertools import product
+
+    from docloom.operators import paired
+
+    values = [1.5, -2.0, 3.0, -4.5, 5.0, 6.0, 7.0]
+    low = min(sum(r for r, v in zip(range(1, 8), values) if v > 0), sum(r for r, v in zip(range(1, 8), values) if v < 0))
+    want = sum(min(s := sum(r for r, x in zip(range(1, 8), signs) if x), 28 - s) <= low for signs in product((0, 1), repeat=7)) / 2**7
+    p = lambda v: paired.wilcoxon_p(spark.createDataFrame([(x, 0.0) for x in v] + [(None, 1.0)], "a double, b double"), F.col("a"), F.col("b")).first()
+    assert p(values).p_value == pytest.approx(want) and p(values).ties == 0
+    tied, zero = p([*values, -3.0]), p([*values, 0.0])
+    assert (tied.ties, zero.ties) == (2, 1) and tied.p_value == pytest.approx(paired.chi2_tail(tied.z**2)) and p([]).p_value is None
+
+
+def test_numeric_references(spark):
+    from docloom.operators.fields import unescape_xml
+
+    cases = {"&#44032;&#x1F600;x&#65;": "가😀xA", "&#0;&#xD800;&#1114112;&#38;lt;": "&#0;&#xD800;&#1114112;&lt;", "a &lt;&amp;amp;": "a <&amp;", "&#": "&#", "": "", None: None}
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in cases], "c string").coalesce(1).select(unescape_xml(F.col("c"))).collect()] == list(cases.values())
