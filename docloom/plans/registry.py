@@ -10,7 +10,7 @@ from docloom.operators.keywords import bm25, distinctive_words
 from docloom.operators.paired import kappa, mcnemar, transitions
 from docloom.operators.similarity import group_gap
 from docloom.operators.tables import js_distance, last_before, pivot_counts, representatives, rollup_rates, segments
-from docloom.plans import articles, calls, checks, extraction, fields, jsonwalk, matrices, narrative, pairs, passages, reports
+from docloom.plans import articles, calls, checks, extraction, fields, jsonwalk, matrices, narrative, pairs, passages, reports, runs
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,7 +143,7 @@ count(*) FILTER (WHERE trim(split_part(regexp_replace(text, '(?s)<think>.*?</thi
     "paired_kappa": "SELECT n, round((same / n - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, (count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE toxic = 1) + count(*) FILTER (WHERE quality = 0) * count(*) FILTER (WHERE toxic = 0)) / (count(*) * count(*)) AS pe FROM labels)",
 }
 
-for _module in (pairs, reports, narrative, jsonwalk, matrices, articles, calls, checks):
+for _module in (pairs, reports, narrative, jsonwalk, matrices, articles, calls, checks, runs):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 QUERIES |= passages.QUERIES

@@ -64,3 +64,13 @@ def test_numeric_references(spark):
 
     cases = {"&#44032;&#x1F600;x&#65;": "가😀xA", "&#0;&#xD800;&#1114112;&#38;lt;": "&#0;&#xD800;&#1114112;&lt;", "a &lt;&amp;amp;": "a <&amp;", "&#": "&#", "": "", None: None}
     assert [r[0] for r in spark.createDataFrame([(c,) for c in cases], "c string").coalesce(1).select(unescape_xml(F.col("c"))).collect()] == list(cases.values())
+
+
+def test_a_second_reading(spark):
+    from docloom.operators import runs
+
+    rows = [("a", "b", "x", "y", "가나", "가나다라"), ("a", " ", "x", "y", "가", ""), ("a", None, "x", None, "가", "가나"), ("a", "b", "x", "y", "가", "가나다"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, s string, t string").coalesce(1)
+    took = lambda always: [(tuple(r.fields), r.added, r.adopted, r.richer) for (r,) in df.select(runs.taken_over({"a": F.col("a"), "b": F.col("b")}, {"a": F.col("c"), "b": F.col("d")}, F.col("s"), F.col("t"), always=always)).collect()]
+    assert took(False) == [(("a", "b"), [], False, False), (("a", "y"), ["b"], True, False), (("a", None), [], True, True), (("a", "b"), [], False, False), ((None, None), [], False, False)]
+    assert [x[2] for x in took(True)] == [True] * 5
