@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_shuffles, materialize
 
 
 def _mark(edges: DataFrame):
@@ -20,7 +20,7 @@ def _mark(edges: DataFrame):
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) longs, any direction. Returns (node, root), root the least node of the component, for nodes with an edge."""
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
+    mark, steps = _mark(e), 0
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("x")).select("x.*").where("u <> v").distinct()
         new = materialize(small, "edges")
         discard(e)
-        e, old, mark = new, mark, _mark(new)
+        e, old, mark, steps = new, mark, _mark(new), steps + 1
+        if steps % 3 == 0:
+            free_shuffles(e.sparkSession)
         if mark == old:
             break
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, text_key
+from .common import discard, free_shuffles, materialize, table, text_key
 from .components import connected_components
 
 SHINGLE = 4
@@ -254,6 +254,7 @@ def similar_roots(docs: DataFrame, text_col: str, texts: DataFrame, similarity:
         out, old = [materialize(x.join(renamed, "root", "left").withColumn("root", F.coalesce("r", "root")).select(x.columns), "members") for x in (members, was)], was
         was = out[1]
         discard(links, components, found, old)
+        free_shuffles(members.sparkSession)
         return out[0]
 
     near = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-9
