@@ -133,7 +133,13 @@ def within_budget(df: DataFrame, group: str, required: str, order: list, cost: C
     return rows.where(F.col("__covers") | F.col("__fits")).select(*df.columns, F.col("__rank").alias("rank"), F.col("__covers").alias("covers"))
 
 
-def rows_by_height(items: Column, factor: float = 0.6, least: float = 8.0) -> Column:
+#: Fixed values of page layout: how far below its first an item begins a new row, in mean heights and at least; between which shares of a page's items its gutter lies, the
+#: least share of their span that it is wide, and the least items of a page that has one.
+ROW_HEIGHTS, ROW_LEAST = 0.6, 8.0
+GUTTER_FROM, GUTTER_TO, GUTTER_WIDTH, GUTTER_ITEMS = 0.10, 0.65, 0.06, 6
+
+
+def rows_by_height(items: Column, factor: float = ROW_HEIGHTS, least: float = ROW_LEAST) -> Column:
     """items: array of (y, height, ...) in order of y. The number of each item's row: a new one begins over max(factor * mean height, least) below its row's first."""
     mean = F.aggregate(items, F.lit(0.0), lambda s, x: s + x["height"]) / F.size(items)
     start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
@@ -146,11 +152,11 @@ def rows_by_height(items: Column, factor: float = 0.6, least: float = 8.0) -> Co
     return F.aggregate(items, start, step)["rows"]
 
 
-def gutter(items: DataFrame, page: str, x: str, least_items: int = 6) -> DataFrame:
+def gutter(items: DataFrame, page: str, x: str, least_items: int = GUTTER_ITEMS) -> DataFrame:
     """(page, gutter): the middle of the widest gap between neighbouring x from 10 % to 65 % of the items, of at least 6 % of their span, with two on each side; else null."""
     w = Window.partitionBy(page)
     at = items.where(F.col(x).isNotNull()).select(page, F.col(x).cast("double").alias("x"), F.row_number().over(w.orderBy(x)).alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.lag(F.col(x).cast("double")).over(w.orderBy(x)).alias("before"), (F.max(x).over(w) - F.min(x).over(w)).alias("span"))
-    inside = (F.col("i") - 1 >= 0.10 * F.col("n")) & (F.col("i") - 1 <= 0.65 * F.col("n")) & (F.col("i") > 2) & (F.col("n") - F.col("i") >= 1) & (F.col("n") >= least_items)
-    wide = inside & (F.col("x") - F.col("before") >= 0.06 * F.col("span"))
+    inside = (F.col("i") - 1 >= GUTTER_FROM * F.col("n")) & (F.col("i") - 1 <= GUTTER_TO * F.col("n")) & (F.col("i") > 2) & (F.col("n") - F.col("i") >= 1) & (F.col("n") >= least_items)
+    wide = inside & (F.col("x") - F.col("before") >= GUTTER_WIDTH * F.col("span"))
     best = F.max(F.when(wide, F.struct((F.col("x") - F.col("before")).alias("gap"), (-F.col("i")).alias("i"), ((F.col("x") + F.col("before")) / 2).alias("middle"))))
     return at.groupBy(page).agg(best.getField("middle").alias("gutter"))

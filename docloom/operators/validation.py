@@ -220,17 +220,23 @@ def _is_blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+#: Error codes, and the levels of support that need an id.
+NO_NAME, FOREIGN_ID, UNSUPPORTED = "P02_EMPTY_CAUSE_NAME", "P02_HALLUCINATED_SOURCE_ID", "P02_UNSUPPORTED_HIGH_CONFIDENCE"
+NO_CODE, UNKNOWN_CODE = "P03_EMPTY_LABEL_CODE", "P03_UNKNOWN_LABEL_CODE"
+NEEDS_ID = ("HIGH", "MEDIUM")
+
+
 def cause_errors(causes: Column, allowed: Column) -> Column:
     """Array of error codes, a code for each fault, of causes (cause_name, support_level, fact_ids, evidence_ids).
 
     A blank name; per list of ids, one that isn't allowed; a HIGH or MEDIUM support without any id. Null causes are none, null lists are empty.
     """
     ids = lambda x, n: F.coalesce(x[n], F.array().cast("array<string>"))
-    cited = lambda x, n: F.when(F.size(F.array_except(ids(x, n), allowed)) > 0, "P02_HALLUCINATED_SOURCE_ID")
+    cited = lambda x, n: F.when(F.size(F.array_except(ids(x, n), allowed)) > 0, FOREIGN_ID)
     bare = lambda x: F.size(ids(x, "fact_ids")) + F.size(ids(x, "evidence_ids")) == 0
     faults = lambda x: F.array(
-        F.when(_is_blank(x["cause_name"]), "P02_EMPTY_CAUSE_NAME"), cited(x, "fact_ids"), cited(x, "evidence_ids"),
-        F.when(x["support_level"].isin("HIGH", "MEDIUM") & bare(x), "P02_UNSUPPORTED_HIGH_CONFIDENCE"),
+        F.when(_is_blank(x["cause_name"]), NO_NAME), cited(x, "fact_ids"), cited(x, "evidence_ids"),
+        F.when(x["support_level"].isin(*NEEDS_ID) & bare(x), UNSUPPORTED),
     )
     given = F.filter(causes, lambda x: x.isNotNull())
     return F.coalesce(F.array_compact(F.flatten(F.transform(given, faults))), F.array().cast("array<string>"))
@@ -239,11 +245,11 @@ def cause_errors(causes: Column, allowed: Column) -> Column:
 def code_errors(codes: Column, known: Column) -> Column:
     """struct(errors, total, good, empty, unknown) of an array of label codes; a blank one is empty, one that isn't known unknown."""
     items = F.coalesce(codes, F.array().cast("array<string>"))
-    fault = F.transform(items, lambda x: F.when(_is_blank(x), "P03_EMPTY_LABEL_CODE").when(~F.array_contains(known, x), "P03_UNKNOWN_LABEL_CODE"))
+    fault = F.transform(items, lambda x: F.when(_is_blank(x), NO_CODE).when(~F.array_contains(known, x), UNKNOWN_CODE))
 
     def counted(f: Column) -> Column:
         bad = F.array_compact(f)
-        empty = F.size(F.filter(bad, lambda x: x == "P03_EMPTY_LABEL_CODE"))
+        empty = F.size(F.filter(bad, lambda x: x == NO_CODE))
         return F.struct(bad.alias("errors"), F.size(f).alias("total"), (F.size(f) - F.size(bad)).alias("good"), empty.alias("empty"), (F.size(bad) - empty).alias("unknown"))
 
     # inside a lambda, so that the faults are worked out once
