@@ -60,8 +60,10 @@ def _read(c: Column, of: Account, first: bool) -> Column:
     head = F.regexp_like(c, F.lit(loose(*of.headings))) if of.headings else none
     before = F.regexp_replace(c, f"(?s){loose(*of.headings)}.*$", "") if of.headings else c
     said = F.when(alone | order, "").when(head, clean_value(before) if first else without_margin(before, of.margin)).otherwise(without_margin(c, of.margin))
-    bare = F.regexp_like(said, F.lit(f"^{loose(*of.headings)}$")) if of.headings else none
-    return F.struct(said.alias("said"), ((F.length(said) >= of.least) & ~bare).alias("told"), (~alone & (order | head)).alias("ends"))
+    bare = lambda x: F.regexp_like(x, F.lit(f"^{loose(*of.headings)}$")) if of.headings else none
+    # inside a lambda, so that the line is cleaned once
+    once = F.array(F.struct(said.alias("said"), (~alone & (order | head)).alias("ends")))
+    return F.transform(once, lambda x: F.struct(x["said"].alias("said"), ((F.length(x["said"]) >= of.least) & ~bare(x["said"])).alias("told"), x["ends"].alias("ends")))[0]
 
 
 def account(lines: Column, of: Account = ACCIDENT) -> Column:
