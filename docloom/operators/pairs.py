@@ -1,7 +1,8 @@
-"""All pairs of vectors, block by block: every task multiplies two blocks and returns only what its report needs.
+"""All pairs of vectors, block by block: every task holds one block, reads the others in turn and returns only what its report needs.
 
-The work is quadratic by definition. Each block of about ``BLOCK`` rows meets each other block under an equality join on the
-pair of block numbers, so memory is bounded by two blocks and no pair is written out unless a report asks for it.
+The work is quadratic by definition; what is shuffled and written is not. The vectors are dealt into blocks of up to ``BLOCK`` rows once, as Parquet in the
+shared folder, and a task reads there the blocks that its own one meets, so no row is shuffled twice, memory is bounded by two blocks, a tile
+of scores and what the report keeps for the rows of a block, and no pair is written out unless a report asks for it.
 """
 
 from __future__ import annotations
@@ -10,11 +11,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
-TASKS = 20_000
+from docloom.sources.matrices import _at, scratch
+
+#: Rows and bytes of a block at most, and rows below which a block isn't cut for the sake of more tasks.
+BLOCK, BLOCK_BYTES, LEAST = 4096, 1 << 24, 256
+#: Rows of a tile of scores and of the other side's, few enough for a processor's cache.
+TILE, WIDE = 256, 512
+#: Sums that a report on groups holds at most before it returns them.
+CELLS = 1 << 22
 #: Scores are ranked as rounded to so many decimals, ties to the smaller ids, so that the order of summation doesn't matter.
 DECIMALS = 6
 
@@ -24,99 +33,252 @@ def _usable(id_col: str, vector_col: str) -> Column:
     return F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def pair_map(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, report: Callable, schema: str, block: int = BLOCK) -> DataFrame:
-    """Rows of report(ids_a, groups_a, ids_b, groups_b, scores, valid) for every two blocks; valid marks each pair once (id_a < id_b)."""
+def pair_map(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, report: Callable, schema: str, both: bool = False, block: int = BLOCK) -> DataFrame:
+    """Rows of a report over all pairs. With ``both`` a block meets every block, so that its rows see all others; else each pair comes once.
+
+    ``report(ids, groups)`` makes what a block keeps: ``add(at, ids, groups, scores, valid)`` takes (and may overwrite) the scores of its rows in the slice ``at`` with rows of the same or another block, ``valid``
+    marks the pairs that count (None: all), and may return a table of rows; ``rows()`` returns the rest.
+    """
+    spark = vectors.sparkSession
     vectors = vectors.where(_usable(id_col, vector_col))
-    blocks = max(1, -(-vectors.count() // block))
+    n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector_col)), F.lit(1))).first()
+    most = max(1, min(block, BLOCK_BYTES // (8 * max(width, 1))))
+    blocks = max(1, -(-n // most), min(-(-n // LEAST), 2 * spark.sparkContext.defaultParallelism))
     own = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    whole = own.groupBy("block").agg(F.collect_list(F.struct("id", "grp", "v")).alias("s")).select("block", "s.id", "s.grp", "s.v")
-    a = whole.select(F.col("block").alias("lo"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("hi"), F.col("id").alias("ia"), F.col("grp").alias("ga"), F.col("v").alias("va"))
-    b = whole.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lo"), F.col("block").alias("hi"), F.col("id").alias("ib"), F.col("grp").alias("gb"), F.col("v").alias("vb"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                ia, ib = np.asarray(r.ia), np.asarray(r.ib)
-                ga, gb = np.asarray(r.ga), np.asarray(r.gb)
-                scores = np.stack(r.va) @ np.stack(r.vb).T
-                valid = ia[:, None] < ib[None, :] if r.lo == r.hi else np.ones(scores.shape, bool)
-                yield report(ia, ga, ib, gb, scores, valid)
-
-    # few pairs of blocks a task, as Arrow batches are counted in rows and a row holds two blocks
-    tasks = min(blocks * (blocks + 1) // 2, TASKS)
-    return a.join(b, ["lo", "hi"]).repartition(tasks, "lo", "hi").mapInPandas(run, schema)
-
-
-def _pairs(ia, ib, s, rows, cols) -> pd.DataFrame:
-    i, j = ia[rows], ib[cols]
-    return pd.DataFrame({"id_a": np.minimum(i, j), "id_b": np.maximum(i, j), "similarity": s[rows, cols]})
+    path = f"{scratch(spark)}/blocks"
+    own.repartition(blocks, "block").sortWithinPartitions("block", "id").write.partitionBy("block").parquet(path)
+    # the numbers of blocks that have rows, as many as there are tasks
+    known = sorted(r.block for r in spark.read.schema(f"id {own.schema['id'].dataType.simpleString()}, block long").parquet(path).select("block").distinct().collect())
+
+    def read(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        files, root = _at(path)
+        t = pq.read_table(f"{root}/block={number}", filesystem=files, columns=["id", "grp", "v"], partitioning=None).combine_chunks()
+        v, grp = t["v"].combine_chunks(), t["grp"]
+        if len(set(v.value_lengths().to_pylist())) > 1:
+            raise ValueError("vectors of different lengths")
+        groups = np.array(grp.to_pylist(), dtype=object) if pa.types.is_list(grp.type) else grp.to_numpy()
+        return t["id"].to_numpy(), groups, v.flatten().to_numpy().reshape(len(t), -1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for place in (p for part in parts for p in part["id"]):
+            ia, ga, x = read(known[place])
+            kept, half = report(ia, ga), len(known) // 2
+            # a ring: each block meets the half of the blocks that follows it, and of two opposite ones the first meets the second
+            ahead = len(known) if both else half + 1 if len(known) % 2 or place < half else half
+            for step in range(ahead):
+                ib, gb, y = (ia, ga, x) if not step else read(known[(place + step) % len(known)])
+                for c in range(0, len(ib), WIDE):
+                    for r in range(0, len(ia), TILE):
+                        at, to = slice(r, r + TILE), slice(c, c + WIDE)
+                        valid = None if step else ia[at, None] != ib[None, to] if both else ia[at, None] < ib[None, to]
+                        if valid is None or valid.any():
+                            out = kept.add(at, ib[to], gb[to], x[at] @ y[to].T, valid)
+                            if out is not None:
+                                yield out
+            yield kept.rows()
+
+    return spark.range(0, len(known), 1, max(1, len(known))).mapInPandas(run, schema)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a's and b's groups are equal; an unknown one equals none."""
+    codes = pd.factorize(np.concatenate([a, b]))[0]
+    return np.where(codes[: len(a)] < 0, -2, codes[: len(a)])[:, None] == codes[None, len(a) :]
+
+
+class _Extremes:
+    """The ``top`` pairs of largest sign * similarity, ties to the smaller ids."""
+
+    def __init__(self, ids: np.ndarray, groups: np.ndarray, top: int, sign: int):
+        self.ids, self.top, self.sign = ids, top, sign
+        self.best = (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def add(self, at, ids, groups, scores, valid):
+        key, full = scores if self.sign > 0 else np.negative(scores, out=scores), len(self.best[0]) == self.top
+        if valid is not None:
+            key[~valid] = -np.inf
+        bar = self.best[0][-1] if full else -np.inf
+        rows, cols = np.nonzero(key > bar - 10.0**-DECIMALS)  # rounding moves none farther
+        if not len(rows):
+            return
+        key, own = np.round(key[rows, cols], DECIMALS) + 0.0, self.ids[at]
+        a, b = np.minimum(own[rows], ids[cols]), np.maximum(own[rows], ids[cols])
+        if full:
+            last = self.best[1][-1], self.best[2][-1]
+            keep = (key > bar) | ((key == bar) & ((a < last[0]) | ((a == last[0]) & (b < last[1]))))
+            key, a, b = key[keep], a[keep], b[keep]
+        if len(key) > self.top:
+            # everything that ties with the last place stays, so that ids decide
+            keep = key >= np.partition(key, len(key) - self.top)[len(key) - self.top]
+            key, a, b = key[keep], a[keep], b[keep]
+        key, a, b = (np.concatenate(x) for x in zip(self.best, (key, a, b)))
+        order = np.lexsort((b, a, -key))[: self.top]
+        self.best = key[order], a[order], b[order]
+
+    def rows(self) -> pd.DataFrame:
+        key, a, b = self.best
+        return pd.DataFrame({"id_a": a, "id_b": b, "similarity": self.sign * key + 0.0})
 
 
 def extreme_pairs(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, top: int = 50, largest: bool = True) -> DataFrame:
     """(id_a, id_b, similarity) of the ``top`` most (or least) similar pairs."""
-    sign = -1 if largest else 1
+    every = pair_map(vectors, id_col, vector_col, group_col, lambda ids, groups: _Extremes(ids, groups, top, 1 if largest else -1), "id_a long, id_b long, similarity double")
+    return every.orderBy(F.desc("similarity") if largest else F.asc("similarity"), "id_a", "id_b").limit(top)
 
-    def report(ia, ga, ib, gb, scores, valid):
-        s = np.round(scores, DECIMALS) + 0.0
-        rows, cols = np.nonzero(valid)
-        out = _pairs(ia, ib, s, rows, cols)
-        # everything that ties with the last place stays, so that ids decide over all blocks
-        bar = np.partition(sign * out.similarity.to_numpy(), top - 1)[top - 1] if len(out) > top else np.inf
-        return out[sign * out.similarity <= bar].assign(k=sign * out.similarity).sort_values(["k", "id_a", "id_b"]).head(top).drop(columns="k")
 
-    every = pair_map(vectors, id_col, vector_col, group_col, report, "id_a long, id_b long, similarity double")
-    return every.orderBy(F.desc("similarity") if largest else F.asc("similarity"), "id_a", "id_b").limit(top)
+class Nearest:
+    """For each row of a block the k others of largest key, ties to the smaller id.
+
+    ``rough(own groups, other groups, scores)`` is a key (it may overwrite the scores) and ``settled`` what keys are ranked as; it keeps their order and raises none by more than ``slack``.
+    """
+
+    def __init__(self, ids: np.ndarray, groups: np.ndarray, k: int, rough: Callable, settled: Callable, slack: float, names: list[str]):
+        self.ids, self.groups, self.k, self.rough, self.settled, self.slack, self.names = ids, groups, k, rough, settled, slack, names
+        self.keys, self.near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), ids.dtype)
+
+    def add(self, at, ids, groups, scores, valid):
+        key = self.rough(self.groups[at], groups, scores)
+        if valid is not None:
+            key[~valid] = -np.inf
+        bar, last = self.keys[at, -1], self.near[at, -1]
+        mask = key >= (bar - self.slack)[:, None]
+        if np.count_nonzero(mask) > 8 * self.k * len(bar) and key.shape[1] > self.k:
+            mask &= key >= (self.settled(np.partition(key, -self.k, axis=1)[:, -self.k]) - self.slack)[:, None]
+        rows, cols = np.nonzero(mask)
+        found = self.settled(key[rows, cols])
+        keep = found > bar[rows]
+        ties = np.nonzero((found == bar[rows]) & np.isfinite(found))[0]
+        keep[ties] = ids[cols[ties]] < last[rows[ties]]
+        if not keep.any():
+            return
+        rows, found, ids = rows[keep], found[keep], ids[cols[keep]]
+        some = np.unique(rows)
+        row = np.concatenate([rows, np.repeat(some, self.k)])
+        found, ids = np.concatenate([found, self.keys[at][some].ravel()]), np.concatenate([ids, self.near[at][some].ravel()])
+        real = np.isfinite(found)
+        row, found, ids = row[real], found[real], ids[real]
+        order = np.lexsort((ids, -found, row))
+        row, found, ids = row[order], found[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.keys[at.start + row[keep], place[keep]], self.near[at.start + row[keep], place[keep]] = found[keep], ids[keep]
+
+    def rows(self) -> pd.DataFrame:
+        row, place = np.nonzero(np.isfinite(self.keys))
+        return pd.DataFrame(dict(zip(self.names, (self.ids[row], self.near[row, place], self.keys[row, place])))).drop_duplicates(self.names[:2])
 
 
 def knn_edges(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, k: int = 4) -> DataFrame:
     """(id_a, id_b, similarity): undirected edges from every row to its k nearest others."""
-
-    def report(ia, ga, ib, gb, scores, valid):
-        s, out = np.round(scores, DECIMALS) + 0.0, []
-        for mine, others, m in ((ia, ib, s), (ib, ia, s.T)):
-            m = np.where(mine[:, None] == others[None, :], -np.inf, m)
-            order = np.lexsort((np.broadcast_to(others, m.shape), -m), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(mine)), order.shape[1])
-            f = pd.DataFrame({"i": mine[rows], "j": others[order.ravel()], "similarity": m[rows, order.ravel()]})
-            out.append(f[np.isfinite(f.similarity)])
-        return pd.concat(out).drop_duplicates(["i", "j"])
-
-    near = pair_map(vectors, id_col, vector_col, group_col, report, "i long, j long, similarity double")
+    names = ["i", "j", "similarity"]
+    rounded = lambda key: np.round(key, DECIMALS) + 0.0
+    near = pair_map(vectors, id_col, vector_col, group_col, lambda ids, groups: Nearest(ids, groups, k, lambda ga, gb, scores: scores, rounded, 10.0**-DECIMALS, names), "i long, j long, similarity double", True)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "j"))).where(F.col("rank") <= k)
     return ranked.groupBy(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
 
+class _Ends:
+    def __init__(self, ids: np.ndarray, groups: np.ndarray):
+        self.lo, self.hi = np.inf, -np.inf
+
+    def add(self, at, ids, groups, scores, valid):
+        s = scores if valid is None else scores[valid]
+        self.lo, self.hi = min(self.lo, s.min()), max(self.hi, s.max())
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"lo": [self.lo], "hi": [self.hi]} if self.lo <= self.hi else {"lo": [], "hi": []}, dtype=float)
+
+
+class _Counts:
+    def __init__(self, ids: np.ndarray, groups: np.ndarray, lo: float, hi: float, bins: int):
+        self.groups, self.lo, self.hi, self.bins = groups, lo, hi, bins
+        self.counts = np.zeros(2 * bins, np.int64)
+
+    def add(self, at, ids, groups, scores, valid):
+        if self.hi == self.lo:
+            bin_ = np.zeros(scores.shape, np.int32)
+        else:
+            scores -= self.lo
+            scores /= self.hi - self.lo
+            scores *= self.bins
+            bin_ = scores.astype(np.int32)
+            np.clip(bin_, 0, self.bins - 1, out=bin_)
+        bin_ += ~_same(self.groups[at], groups) * np.int32(self.bins)
+        self.counts += np.bincount(bin_.ravel() if valid is None else bin_[valid], minlength=2 * self.bins)
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"bin": np.arange(1, self.bins + 1), "intra": self.counts[: self.bins], "inter": self.counts[self.bins :]})
+
+
 def pair_histogram(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, bins: int = 50) -> DataFrame:
     """(bin, intra_count, inter_count) from the least to the largest similarity; the last bin holds its upper edge."""
+    lo, hi = pair_map(vectors, id_col, vector_col, group_col, _Ends, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+    parts = pair_map(vectors, id_col, vector_col, group_col, lambda ids, groups: _Counts(ids, groups, lo, hi, bins), "bin int, intra long, inter long")
+    return parts.groupBy("bin").agg(F.sum("intra").alias("intra_count"), F.sum("inter").alias("inter_count")).where("intra_count + inter_count > 0")
 
-    def ends(ia, ga, ib, gb, scores, valid):
-        s = scores[valid]
-        return pd.DataFrame({"lo": [s.min()], "hi": [s.max()]} if s.size else {"lo": [], "hi": []}, dtype=float)
 
-    lo, hi = pair_map(vectors, id_col, vector_col, group_col, ends, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+class _Inside:
+    """Number, sum and sum of squares of similarities inside the groups, by rows first."""
 
-    def counts(ia, ga, ib, gb, scores, valid):
-        at = np.zeros(scores.shape, int) if hi == lo else np.minimum(np.floor((scores - lo) / (hi - lo) * bins), bins - 1).astype(int)
-        same = ga[:, None] == gb[None, :]
-        return pd.DataFrame({"bin": np.arange(1, bins + 1), "intra": np.bincount(at[valid & same], minlength=bins), "inter": np.bincount(at[valid & ~same], minlength=bins)})
+    def __init__(self, ids: np.ndarray, groups: np.ndarray):
+        self.groups, self.n, self.s, self.q = groups, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
 
-    parts = pair_map(vectors, id_col, vector_col, group_col, counts, "bin int, intra long, inter long")
-    return parts.groupBy("bin").agg(F.sum("intra").alias("intra_count"), F.sum("inter").alias("inter_count")).where("intra_count + inter_count > 0")
+    def add(self, at, ids, groups, scores, valid):
+        same = _same(self.groups[at], groups)
+        if valid is not None:
+            same &= valid
+        scores *= same
+        self.n[at] += np.count_nonzero(same, axis=1)
+        self.s[at] += scores.sum(axis=1)
+        self.q[at] += np.einsum("ij,ij->i", scores, scores)
+
+    def rows(self) -> pd.DataFrame:
+        some = self.n > 0
+        return pd.DataFrame({"grp": self.groups[some], "n": self.n[some], "s": self.s[some], "q": self.q[some]}).groupby("grp", as_index=False).sum()
 
 
 def within_group(vectors: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
     """(grp, n, mean, std) of the similarities of pairs inside each group; std of the population."""
-
-    def report(ia, ga, ib, gb, scores, valid):
-        i, j = np.nonzero(valid & (ga[:, None] == gb[None, :]))
-        s = scores[i, j]
-        return pd.DataFrame({"grp": ga[i], "n": 1, "s": s, "q": s * s}).groupby("grp", as_index=False).sum()
-
-    parts = pair_map(vectors, id_col, vector_col, group_col, report, f"grp {dict(vectors.dtypes)[group_col]}, n long, s double, q double").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    parts = pair_map(vectors, id_col, vector_col, group_col, _Inside, f"grp {dict(vectors.dtypes)[group_col]}, n long, s double, q double").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     return parts.select("grp", "n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), 6).alias("std"))
 
 
+class _Distances:
+    """Sums of each row's distances to the groups of every labelling; with very many groups they are returned in parts."""
+
+    def __init__(self, ids: np.ndarray, groups: np.ndarray):
+        self.ids, self.groups = ids, groups
+        self._clear()
+
+    def _clear(self):
+        self.place: dict[tuple[int, str], int] = {}
+        self.sums = np.zeros((len(self.ids), 0))
+
+    def add(self, at, ids, groups, scores, valid):
+        d = scores  # overwritten step by step, as a tile fits a processor's cache
+        d *= -2.0
+        d += 2.0
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+        if valid is not None:
+            d[~valid] = 0.0
+        found = [pd.factorize(groups[:, k]) for k in range(groups.shape[1])]
+        places = [self.place.setdefault((k, g), len(self.place)) for k, (_, names) in enumerate(found) for g in names]
+        of = np.concatenate([codes[:, None] == np.arange(len(names)) for codes, names in found], axis=1).astype(float)
+        if len(self.place) > self.sums.shape[1]:
+            self.sums = np.pad(self.sums, ((0, 0), (0, len(self.place) - self.sums.shape[1])))
+        self.sums[at, places] += d @ of
+        if self.sums.size > CELLS:
+            out = self.rows()
+            self._clear()
+            return out
+
+    def rows(self) -> pd.DataFrame:
+        k, other = np.array([k for k, _ in self.place], np.int64), np.array([g for _, g in self.place], object)
+        rows, cols = np.repeat(np.arange(len(self.ids)), len(k)), np.tile(np.arange(len(k)), len(self.ids))
+        return pd.DataFrame({"k": k[cols], "id": self.ids[rows], "own": self.groups[rows, k[cols]], "other": other[cols], "d": self.sums.ravel()})
+
+
 def silhouettes(vectors: DataFrame, id_col: str, vector_col: str, labellings: list[str]) -> DataFrame:
     """(labelling, n, silhouette): the mean silhouette of unit vectors under Euclidean distance, for each of several columns of groups. Rows alone in their group take no part.
 
@@ -125,20 +287,7 @@ def silhouettes(vectors: DataFrame, id_col: str, vector_col: str, labellings: li
     labels = {c: k for k, c in enumerate(labellings)}
     rows = vectors.select(F.col(id_col), F.col(vector_col), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labellings]).alias("__groups"))
     kind = dict(rows.dtypes)[id_col]
-
-    def report(ia, ga, ib, gb, scores, valid):
-        d, out = np.sqrt(np.maximum(0.0, 2 - 2 * scores)), []
-        once = np.isin(ia[:1], ib).any()  # a block meets itself, in whatever order
-        d = np.where(ia[:, None] == ib[None, :], 0.0, d)
-        for mine, own, others, m in ((ia, ga, gb, d), (ib, gb, ga, d.T))[: 1 if once else 2]:
-            own, others = np.stack(own), np.stack(others)
-            for k in labels.values():
-                groups, of = np.unique(others[:, k], return_inverse=True)
-                sums = m @ (of[:, None] == np.arange(len(groups))).astype(float)
-                out.append(pd.DataFrame({"k": k, "id": np.repeat(mine, len(groups)), "own": np.repeat(own[:, k], len(groups)), "other": np.tile(groups, len(mine)), "d": sums.ravel()}))
-        return pd.concat(out)
-
-    sums = pair_map(rows, id_col, vector_col, "__groups", report, f"k int, id {kind}, own string, other string, d double").groupBy("k", "id", "own", "other").agg(F.sum("d").alias("d"))
+    sums = pair_map(rows, id_col, vector_col, "__groups", _Distances, f"k int, id {kind}, own string, other string, d double", True).groupBy("k", "id", "own", "other").agg(F.sum("d").alias("d"))
     sizes = rows.where(_usable(id_col, vector_col)).select(F.posexplode("__groups").alias("k", "other")).groupBy("k", "other").agg(F.count(F.lit(1)).alias("size"))
     mean = sums.join(sizes, ["k", "other"]).select("k", "id", F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("size") - 1, F.lit(0))).alias("a"), F.when(F.col("own") != F.col("other"), F.col("d") / F.col("size")).alias("b"))
     per = mean.groupBy("k", "id").agg(F.max("a").alias("a"), F.min("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.pairs import pair_map
+from docloom.operators.pairs import Nearest, pair_map
 
 #: Width of a cell of the grid, and the least and most cells along an axis of a map of so many dimensions.
 CELL, LEAST, MOST = 0.3, 10, {1: 4000, 2: 500, 3: 40}
@@ -26,17 +26,14 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> Data
     squared = F.aggregate(F.col(vector_col).cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
     kind = dict(vectors.dtypes)[id_col]
 
-    def report(ia, sa, ib, sb, scores, valid):
-        d2, out = np.maximum(0.0, sa[:, None] + sb[None, :] - 2 * scores), []
-        for mine, others, m in ((ia, ib, d2), (ib, ia, d2.T)):
-            m = np.where(mine[:, None] == others[None, :], np.inf, m)
-            order = np.lexsort((np.broadcast_to(others, m.shape), m), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(mine)), order.shape[1])
-            f = pd.DataFrame({"i": mine[rows], "j": others[order.ravel()], "d2": m[rows, order.ravel()]})
-            out.append(f[np.isfinite(f.d2)])
-        return pd.concat(out).drop_duplicates(["i", "j"])
-
-    near = pair_map(vectors.withColumn("__squared", squared), id_col, vector_col, "__squared", report, f"i {kind}, j {kind}, d2 double")
+    def rough(sa: np.ndarray, sb: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        scores *= 2
+        scores -= sa[:, None] + sb[None, :]
+        return scores
+
+    settled = lambda key: np.minimum(key, 0.0)
+    near = pair_map(vectors.withColumn("__squared", squared), id_col, vector_col, "__squared", lambda ids, groups: Nearest(ids, groups, k, rough, settled, 0.0, ["i", "j", "d2"]), f"i {kind}, j {kind}, d2 double", True)
+    near = near.withColumn("d2", F.abs("d2"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

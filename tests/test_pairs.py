@@ -58,3 +58,45 @@ def test_silhouette(case, spark):
     r = pairs.silhouette(df.where("id is not null and v is not null"), *ARGS).first()
     assert (r.n, r.silhouette) == (23, pytest.approx(np.mean(score), abs=1e-6))
     assert pairs.silhouette(df.limit(0), *ARGS).first().n == 0 and pairs.pair_histogram(df.limit(0), *ARGS).count() == 0
+
+
+@pytest.mark.parametrize("report", [pairs.extreme_pairs, pairs.knn_edges, pairs.pair_histogram, pairs.within_group, pairs.silhouette])
+def test_blocks_are_not_shuffled_to_each_other(case, report):
+    # a join of all blocks with all others shuffles every vector once a block; silhouette joins sizes of groups only
+    df = case[0].where("id is not null and v is not null")
+    plan = report(df, *ARGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "Join Inner, ((lo" not in plan
+
+
+def test_neighbours_come_once_a_row(case, monkeypatch):
+    # no row returns neighbours from each block it meets
+    df, _, _ = case
+    seen, real = [], pairs.pair_map
+    monkeypatch.setattr(pairs, "pair_map", lambda *a: seen.append(real(*a)) or seen[-1])
+    pairs.knn_edges(df, *ARGS)
+    assert seen[0].count() == 23 * 4
+
+
+def test_copies_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 3)
+    monkeypatch.setattr(pairs, "WIDE", 4)
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.normal(size=(4, 3)), [30, 9, 1, 1], axis=0)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    n = len(m)
+    df = spark.createDataFrame([(i, i % 2, m[i].tolist()) for i in rng.permutation(n).tolist()], "id long, g long, v array<double>")
+    s = np.round(m @ m.T, 6) + 0.0
+    want = sorted((-s[i, j], i, j) for i in range(n) for j in range(i + 1, n))
+    assert [(r.id_a, r.id_b) for r in pairs.extreme_pairs(df, *ARGS, top=40).collect()] == [x[1:] for x in want[:40]]
+    least = sorted((s[i, j], i, j) for i in range(n) for j in range(i + 1, n))
+    assert [(r.id_a, r.id_b) for r in pairs.extreme_pairs(df, *ARGS, top=40, largest=False).collect()] == [x[1:] for x in least[:40]]
+    edges = {(min(i, j), max(i, j)) for i in range(n) for j in sorted(set(range(n)) - {i}, key=lambda j: (-s[i, j], j))[:4]}
+    assert {(r.id_a, r.id_b) for r in pairs.knn_edges(df, *ARGS).collect()} == edges
+    assert sum(r.intra_count + r.inter_count for r in pairs.pair_histogram(df, *ARGS).collect()) == n * (n - 1) // 2
+
+
+def test_many_groups_return_in_parts(case, monkeypatch):
+    df = case[0].where("id is not null and v is not null")
+    whole = pairs.silhouette(df, *ARGS).first()
+    monkeypatch.setattr(pairs, "CELLS", 1)
+    assert pairs.silhouette(df, *ARGS).first() == whole
