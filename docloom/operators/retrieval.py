@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Asked words (a row for each question and word) up to which questions go to the documents; beyond, documents go to the questions by a join.
 QUESTION_ROWS = 200_000
-#: Scores that are held at a time.
-_CELLS = 1 << 22
+#: Scores, and words by the questions that ask for them, that are held at a time; a document isn't split.
+_CELLS = 1 << 20
 
 Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -48,18 +48,27 @@ def best_documents(docs: DataFrame, asked: DataFrame, part: Part, top: int) -> D
         """Blocks of (ids, scores by question)."""
         ids, words, bonus = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
         ends = words.offsets.to_numpy()
-        found = pc.fill_null(pc.index_in(words.values, value_set=known), -1).to_numpy()
         size = max(1, _CELLS // max(len(questions), 1))
         for first in range(0, len(ids), size):
             last = min(first + size, len(ids))
-            mine, lengths = found[ends[first] : ends[last]], np.diff(ends[first : last + 1])
+            held, lengths = words.values.slice(ends[first], ends[last] - ends[first]), np.diff(ends[first : last + 1])
+            mine = pc.fill_null(pc.index_in(held, value_set=known), -1).to_numpy()
             doc = np.repeat(np.arange(last - first), lengths)[mine >= 0]
             entry, tf = np.unique(doc * len(terms) + mine[mine >= 0], return_counts=True)
             doc, term = entry // max(len(terms), 1), entry % max(len(terms), 1)
             value, times = part(tf, lengths[doc]), begin[term + 1] - begin[term]
-            flat = np.repeat(np.arange(len(entry)), times)
-            ask = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[term], times)
-            sums = np.bincount(of[ask] * (last - first) + doc[flat], weights=weight[ask] * value[flat], minlength=len(questions) * (last - first)).reshape(len(questions), -1)
+            sums = np.empty((len(questions), last - first))
+            edge = np.searchsorted(doc, np.arange(last - first + 1))
+            rows = np.concatenate([[0], np.cumsum(times)])[edge]  # words by questions in the documents before
+            a = 0
+            while a < last - first:
+                b = max(a + 1, int(np.searchsorted(rows, rows[a] + _CELLS, side="right")) - 1)
+                own = slice(edge[a], edge[b])
+                some = times[own]
+                flat = np.repeat(np.arange(edge[a], edge[b]), some)
+                ask = np.arange(len(flat)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(begin[term[own]], some)
+                sums[:, a:b] = np.bincount(of[ask] * (b - a) + doc[flat] - a, weights=weight[ask] * value[flat], minlength=len(questions) * (b - a)).reshape(len(questions), -1)
+                a = b
             yield ids[first:last], np.where(sums != 0, np.round(sums + bonus[first:last], 6), -np.inf)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

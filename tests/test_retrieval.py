@@ -40,3 +40,27 @@ def test_the_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUESTION_ROWS", 0)
     assert [run(keywords.bm25), run(keywords.overlap)] == near
     assert keywords.bm25(docs.limit(0), asked, "id", "t", "q", "t").count() == 0 and keywords.overlap(docs, asked.limit(0), "id", "t", "q", "t").count() == 0
+
+
+def test_words_by_questions_are_held_in_parts(spark, monkeypatch):
+    # every document has words that every question asks for: a batch of them times the questions isn't held at once
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, "aa bb cc dd") for i in range(50)], "id long, t string").coalesce(1)
+    asked = spark.createDataFrame([(q, "aa bb cc dd") for q in range(20)], "q long, t string")
+    want = sorted(tuple(x) for x in keywords.overlap(docs, asked, "id", "t", "q", "t").collect())
+    monkeypatch.setattr(retrieval, "_CELLS", 1000)
+    largest, real = spark.sparkContext.accumulator(0), np.bincount
+
+    def counted(x, **k):
+        largest.add(int(len(x) > 1000))
+        return real(x, **k)
+
+    class Numpy:
+        bincount = staticmethod(counted)
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(retrieval, "np", Numpy())
+    assert sorted(tuple(x) for x in keywords.overlap(docs, asked, "id", "t", "q", "t").collect()) == want and largest.value == 0
