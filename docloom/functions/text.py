@@ -39,9 +39,12 @@ def quality(c: Column) -> Column:
 
     Spaces, control and replacement characters aren't visible. Characters are counted by taking runs of the others out.
     """
-    left = lambda inside: F.length(F.regexp_replace(c, f"[{inside}]+", ""))
+    left = lambda text, inside: F.length(F.regexp_replace(text, f"[{inside}]+", ""))
     points = F.greatest(F.length(c), F.lit(1))
-    visible = left(SPACES + CONTROLS + r"\x{FFFD}")
-    replaced, controls = F.length(c) - left(r"\x{FFFD}"), F.length(c) - left(CONTROLS)
-    q = 0.55 * left("^" + MEANINGFUL) / F.greatest(visible, F.lit(1)) + 0.45 * F.least(F.lit(1.0), F.log1p(visible) / F.log1p(F.lit(FULL_LENGTH))) - 1.5 * replaced / points - controls / points
+    # no meaningful character is counted below, so the whole text is gone through once and what else is in it, a small part, thrice
+    rest = F.regexp_replace(c, f"[{MEANINGFUL}]+", "")
+    others = F.length(rest)
+    visible = F.length(c) - others + left(rest, SPACES + CONTROLS + r"\x{FFFD}")
+    replaced, controls = others - left(rest, r"\x{FFFD}"), others - left(rest, CONTROLS)
+    q = 0.55 * (F.length(c) - others) / F.greatest(visible, F.lit(1)) + 0.45 * F.least(F.lit(1.0), F.log1p(visible) / F.log1p(F.lit(FULL_LENGTH))) - 1.5 * replaced / points - controls / points
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
