@@ -23,16 +23,8 @@ CELL, LEAST, MOST = 0.3, 10, {1: 4000, 2: 500, 3: 40}
 
 def neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """(i, j, d2): the k nearest others of every row, ties to the smaller id. All pairs are computed, block by block."""
-    squared = F.aggregate(F.col(vector_col).cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
     kind = dict(vectors.dtypes)[id_col]
-
-    def rough(sa: np.ndarray, sb: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        scores *= 2
-        scores -= sa[:, None] + sb[None, :]
-        return scores
-
-    settled = lambda key: np.minimum(key, 0.0)
-    near = pair_map(vectors.withColumn("__squared", squared), id_col, vector_col, "__squared", lambda ids, groups: Nearest(ids, groups, k, rough, settled, 0.0, ["i", "j", "d2"]), f"i {kind}, j {kind}, d2 double", True)
+    near = pair_map(vectors, id_col, vector_col, id_col, lambda ids, groups: Nearest(ids, groups, k, ["i", "j", "d2"], True), f"i {kind}, j {kind}, d2 double", True)
     near = near.withColumn("d2", F.abs("d2"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

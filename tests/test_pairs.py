@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from docloom.operators import pairs
+from docloom.operators import pairs, tsne
+from docloom.operators.pairs import pair_map as in_whole_blocks
 
 ARGS = ("id", "v", "g")
 
@@ -100,3 +101,50 @@ def test_many_groups_return_in_parts(case, monkeypatch):
     whole = pairs.silhouette(df, *ARGS).first()
     monkeypatch.setattr(pairs, "CELLS", 1)
     assert pairs.silhouette(df, *ARGS).first() == whole
+
+
+def test_equal_vectors_are_equally_near(spark):
+    # nearness of a copy must not depend on where it stands in a tile: ids decide
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(40, 37)) * rng.uniform(0.1, 3, size=(40, 1))
+    m = np.concatenate([m] * 30 + [m[:7]])
+    n = len(m)
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(n)], "id long, v array<double>")
+    distance = ((m[:40, None] - m[None, :40]) ** 2).sum(axis=2)
+    np.fill_diagonal(distance, 0)
+    got = {}
+    for r in tsne.neighbours(df, "id", "v", 35).collect():
+        got.setdefault(r.i, []).append((r.d2, r.j))
+    for i in range(n):
+        want = sorted((distance[i % 40, j % 40], j) for j in range(n) if j != i)[:35]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_blocks_are_large(spark):
+    # every block is read once a block, so their number must not grow with the rows before memory asks for it
+    df = spark.range(40000).selectExpr("id", "id % 3 AS g", "array(cos(id), sin(id)) AS v")
+    found = in_whole_blocks(df, *ARGS, lambda ids, groups: pairs._Extremes(ids, groups, 5, 1), "id_a long, id_b long, similarity double")
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_keys_that_32_bits_cannot_tell(spark):
+    # near ties, a length that overflows 32 bits and one that underflows
+    rng = np.random.default_rng(2)
+    m = np.concatenate([1 + 1e-9 * rng.normal(size=(60, 5)), 1e30 * rng.normal(size=(5, 5)), 1e-30 * rng.normal(size=(5, 5))])
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(len(m))], "id long, v array<double>")
+    got = {}
+    for r in tsne.neighbours(df, "id", "v", 4).collect():
+        got.setdefault(r.i, []).append((r.d2, r.j))
+    for i in range(len(m)):
+        want = sorted((float(((m[i] - m[j]) ** 2).sum()), j) for j in range(len(m)) if j != i)[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_sums_by_groups_are_returned_in_parts(monkeypatch):
+    monkeypatch.setattr(pairs, "RETURNED", 10)
+    rng = np.random.default_rng(1)
+    ids, groups, v = np.arange(50), np.array([[str(i % 4)] for i in range(50)], dtype=object), rng.normal(size=(50, 3))
+    kept = pairs._Distances(ids, groups)
+    list(kept.meet(v, v, ids, groups, lambda at, to: None))
+    tables = list(kept.rows())
+    assert max(map(len, tables)) <= 10 and sum(map(len, tables)) == 200
