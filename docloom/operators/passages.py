@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +15,12 @@ def line_windows(text: str | None, max_chars: int = 5000, overlap: int = 3) -> l
 
     A line that is longer than a window stands alone in one. Null and empty texts have no window.
     """
-    if not text:
-        return []
-    upto = np.concatenate([[0], np.cumsum([len(x) + 1 for x in text.split("\n")])])
+    return _windows([len(x) for x in text.split("\n")], max_chars, overlap) if text else []
+
+
+def _windows(lengths: Sequence[int], max_chars: int, overlap: int) -> list[tuple[int, int]]:
+    """The windows of lines of so many characters."""
+    upto = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64) + 1)])
     # by first line: the last one that fits, and where the window after it begins
     number = np.arange(1, len(upto))
     last = np.maximum(np.searchsorted(upto, upto[:-1] + max_chars, side="right") - 1, number)
@@ -29,13 +32,19 @@ def line_windows(text: str | None, max_chars: int = 5000, overlap: int = 3) -> l
 
 
 def overlap_windows(docs: DataFrame, id_col: str, text_col: str, max_chars: int = 5000, overlap: int = 3) -> DataFrame:
-    """(id, pos, first, last) of every window; a document is cut inside its own row."""
-
-    @F.pandas_udf("array<struct<first:int,last:int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"first": a, "last": b} for a, b in line_windows(t, max_chars, overlap)])
-
-    return docs.select(id_col, F.posexplode(cut(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "w")).select(id_col, "pos", "w.*")
+    """(id, pos, first, last) of every window; a document is cut inside its own row, by the lengths of its lines alone, so that no text goes to Python."""
+
+    @F.arrow_udf("array<struct<first:int,last:int>>")
+    def cut(lengths: pa.Array) -> pa.Array:
+        found, ends = [np.empty((0, 2), np.int32)], [0]
+        for row in lengths:
+            found.append(np.array(_windows(row.values.to_numpy(), max_chars, overlap), np.int32))
+            ends.append(ends[-1] + len(found[-1]))
+        first, last = (pa.array(np.ascontiguousarray(x)) for x in np.concatenate(found).T)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([first, last], ["first", "last"]))
+
+    lines = docs.where(F.col(text_col) != "").select(id_col, F.transform(F.split(text_col, "\n"), F.length).alias("lengths"))
+    return lines.select(id_col, F.posexplode(cut("lengths")).alias("pos", "w")).select(id_col, "pos", "w.*")
 
 
 def until_boundary(parts: DataFrame, group: str, order: str, start: Column, stop: Column, most: int = 12) -> DataFrame:

@@ -87,3 +87,15 @@ def test_records(spark, tmp_path):
     grid = spark.createDataFrame([(1, "a"), (1, None), (2, "a")], "x int, y string")
     assert [tuple(r) for r in remaining(grid, grid.where("x = 1"), ["x", "y"]).collect()] == [(2, "a")]
     assert last_of_each(spark.createDataFrame([(1, 1, "p"), (1, 2, "q")], "k int, o int, v string"), "k", "o").first().v == "q"
+
+
+def test_no_text_goes_to_python_for_windows(spark):
+    from docloom.operators.passages import overlap_windows
+
+    texts = ["\n".join("x" * (7 * k % 23) for k in range(60)), "", None, "a", "\n", "\n\n\n", "é" * 90 + "\nb", "\U0001f600" * 40 + "\n\n" + "c" * 30 + "\r\nd\n", "one.two\\n|\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = overlap_windows(docs, "id", "t", 50, 2)
+    want = {(i, pos, *w) for i, t in enumerate(texts) for pos, w in enumerate(line_windows(t, 50, 2))}
+    assert {tuple(r) for r in found.collect()} == want
+    plan = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython" in x)
+    assert "cut(lengths" in plan
