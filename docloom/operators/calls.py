@@ -7,14 +7,15 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Makes, in a task, the function that answers a list of requests (dicts) with as many replies.
 Client = Callable[[], Callable[[list[dict]], list[Any]]]
-_ROW = "request_key string, reply string, error string, attempts int"
+_ROW, _TYPES = "request_key string, reply string, error string, attempts int", (pa.string(), pa.string(), pa.string(), pa.int32())
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,28 +57,30 @@ def call_model(df: DataFrame, request: Column, client: Client, store: str, reply
     todo = asked.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.first("__request").alias("__request"))
     todo = write(todo.repartition(F.col("__key")).sortWithinPartitions("__key"), "requests")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = None
         files, root = _store(store)
         files.create_dir(root, recursive=True)
         for part in parts:
-            part = part.sort_values("__key", ignore_index=True)
-            for at in range(0, len(part), batch):
-                own = part.iloc[at : at + batch]
-                name = f"{root}/{hashlib.sha256(''.join(own['__key']).encode()).hexdigest()}.json"
+            # requests become Python's a batch at a time; what Spark hands over at once stays in Arrow's memory
+            order = pc.sort_indices(part.column("__key"))
+            for at in range(0, len(order), batch):
+                own = part.take(order.slice(at, batch))
+                keys = own.column("__key").to_pylist()
+                name = f"{root}/{hashlib.sha256(''.join(keys).encode()).hexdigest()}.json"
                 if files.get_file_info(name).type == fs.FileType.File:
                     with files.open_input_stream(name) as f:
                         rows = json.loads(f.read())
                 else:
                     answer = answer or client()
-                    got = _answered(answer, [json.loads(r) for r in own["__request"]], tries)
-                    rows = [[k, *g] for k, g in zip(own["__key"], got, strict=True)]
+                    got = _answered(answer, [json.loads(r) for r in own.column("__request").to_pylist()], tries)
+                    rows = [[k, *g] for k, g in zip(keys, got, strict=True)]
                     with files.open_output_stream(f"{name}.{id(own)}.new") as f:
                         f.write(json.dumps(rows, ensure_ascii=False).encode())
                     files.move(f"{name}.{id(own)}.new", name)
-                yield pd.DataFrame(rows, columns=["request_key", "reply", "error", "attempts"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], ["request_key", "reply", "error", "attempts"])
 
-    replies = write(todo.mapInPandas(run, _ROW), "replies").withColumnRenamed("request_key", "__key")
+    replies = write(todo.mapInArrow(run, _ROW), "replies").withColumnRenamed("request_key", "__key")
     read = F.get_json_object(F.concat(F.lit('{"r":'), "reply", F.lit("}")), "$.r") if reply == "string" else F.from_json(F.concat(F.lit('{"r":'), "reply", F.lit("}")), f"r {reply}")["r"]
     return asked.join(replies.withColumn("reply", read), "__key", "left").drop("__key", "__request")
 

@@ -57,6 +57,15 @@ def test_errors_are_rows(spark, tmp_path):
     assert calls.call_model(df.limit(0), F.struct("t"), logged(tmp_path / "log"), str(tmp_path / "s")).count() == 0
 
 
+def test_requests_come_to_python_a_batch_at_a_time(spark, tmp_path):
+    # in tables of pandas all requests that Spark hands over at once are Python strings
+    df = spark.range(50).selectExpr("concat('t', id) AS t")
+    out = calls.call_model(df, F.struct("t"), logged(tmp_path / "log"), str(tmp_path / "s"), batch=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert {r.t: r.reply for r in out.collect()} == {f"t{i}": f"T{i}" for i in range(50)}
+
+
 def test_vectors_have_length_one(spark, tmp_path):
     df = spark.createDataFrame([("abc",), ("",), (None,)], "t string")
     client = lambda: lambda rs: [[3.0 * len(r["text"]), 4.0 * len(r["text"])] for r in rs]
