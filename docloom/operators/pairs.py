@@ -380,9 +380,10 @@ def silhouettes(vectors: DataFrame, id_col: str, vector_col: str, labellings: li
     labels = {c: k for k, c in enumerate(labellings)}
     rows = vectors.select(F.col(id_col), F.col(vector_col), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labellings]).alias("__groups"))
     kind = dict(rows.dtypes)[id_col]
-    sums = pair_map(rows, id_col, vector_col, "__groups", _Distances, f"k int, id {kind}, own string, other string, d double", True).groupBy("k", "id", "own", "other").agg(F.sum("d").alias("d"))
+    sums = pair_map(rows, id_col, vector_col, "__groups", _Distances, f"k int, id {kind}, own string, other string, d double", True).repartition("k", "id").groupBy("k", "id", "own", "other").agg(F.sum("d").alias("d"))
     sizes = rows.where(_usable(id_col, vector_col)).select(F.posexplode("__groups").alias("k", "other")).groupBy("k", "other").agg(F.count(F.lit(1)).alias("size"))
-    mean = sums.join(sizes, ["k", "other"]).select("k", "id", F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("size") - 1, F.lit(0))).alias("a"), F.when(F.col("own") != F.col("other"), F.col("d") / F.col("size")).alias("b"))
+    # Spark takes the sums for as few rows as there are blocks, and would send them all to the driver to broadcast them; they are rows times groups, the sizes one row a group
+    mean = sums.join(F.broadcast(sizes), ["k", "other"]).select("k", "id", F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("size") - 1, F.lit(0))).alias("a"), F.when(F.col("own") != F.col("other"), F.col("d") / F.col("size")).alias("b"))
     per = mean.groupBy("k", "id").agg(F.max("a").alias("a"), F.min("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     every = vectors.sparkSession.createDataFrame([(k, c) for c, k in labels.items()], "k int, labelling string")
     found = per.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"))

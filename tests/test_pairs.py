@@ -148,3 +148,17 @@ def test_sums_by_groups_are_returned_in_parts(monkeypatch):
     list(kept.meet(v, v, ids, groups, lambda at, to: None))
     tables = list(kept.rows())
     assert max(map(len, tables)) <= 10 and sum(map(len, tables)) == 200
+
+
+def test_sums_of_rows_are_not_broadcast(case):
+    # rows times groups of them would pass through the driver; the sizes of groups are the small side
+    df = case[0].where("id is not null and v is not null")
+    plan = pairs.silhouettes(df.withColumn("h", df.id % 2), "id", "v", ["g", "h"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_sums_of_rows_are_shuffled_once(case):
+    # by row alone: what is then summed up by group and by row stays where it is; the other shuffles are of the sizes of groups and of the results
+    df = case[0].where("id is not null and v is not null")
+    plan = pairs.silhouettes(df.withColumn("h", df.id % 2), "id", "v", ["g", "h"])._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(k#" in line and "id#" in line for line in plan.splitlines()) == 1
